@@ -23,7 +23,9 @@ END = 0
 #: Lengths of at least this share of the capacity are large; so few fit that a bin's contents are a short list.
 LARGE = 0.25
 GROUPS = 96
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Words that the tokenizer encodes at once; its results are many times their size.
+ENCODED = 4000
 
 
 @lru_cache(maxsize=1)
@@ -45,9 +47,10 @@ def token_ids(texts: list[str | None], path: str) -> list[bytes]:
         known.clear()
         missing = set().union(*words)
     new = list(missing)
-    encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-    for word, e in zip(new, encoded):
-        known[word] = np.array(e.ids, "<u4").tobytes()
+    for a in range(0, len(new), ENCODED):
+        part = new[a : a + ENCODED]
+        encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+        known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(part, encoded))
     get, end = known.__getitem__, np.array([END], "<u4").tobytes()
     return [b"".join(map(get, w)) + end for w in words]
 

@@ -18,7 +18,7 @@ from .common import small_batches, table
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: How many distinct pre-tokens a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Fixed: how byte-level BPE cuts a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -86,8 +86,8 @@ class Merges:
 
     def learn(self, tokens: set[str]) -> None:
         new = list(tokens)
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
             self.known.update(zip(part, self.count_symbols(part).tolist()))
 
     def counts(self, texts: list[str | None]) -> list[int]:

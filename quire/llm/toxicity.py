@@ -26,7 +26,7 @@ FOLDS = 5
 PENALTY = 0.05
 PREFIXES = (4, 5)
 CATEGORIES = ("explicit", "severe", "toxic")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
