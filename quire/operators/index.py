@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-DIM, DEPTH, FINAL, RRF_K = 512, 20, 8, 60
+DIM, DEPTH, FINAL, RRF_K, POOL = 512, 20, 8, 60, 40
 
 
 def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -76,5 +78,22 @@ def retrieve(chunks: DataFrame, questions: DataFrame, depth: int = DEPTH, k: int
     return fuse(dense(hashed(posts), questions, depth), bm25(posts, questions, n, mean or 1.0, depth), k)
 
 
+def overlap(question: Column, text: Column) -> Column:
+    """The share of a question's distinct tokens that a text has; 0 for a question without any."""
+    asked = F.array_distinct(X.tokens(question))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, X.tokens(text))), F.size(asked)), F.lit(0.0))
+
+
+def rerank(pool: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = FINAL, score: Callable[[Column, Column], Column] = overlap) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the k best of a wider pool of hits by a score of question and text.
+
+    score: a column expression or pandas UDF. Equal scores keep the order of the pool. Only the pool's chunks are read.
+    """
+    both = pool.select("question_id", "chunk_id", F.col("rank").alias("was")).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions, "question_id")
+    scored = both.withColumn("score", score(F.col("question"), F.col("text")).cast("double"))
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "was")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "chunk_id", "score", "rank")
+
+
 def metadata(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("book_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.avg("char_count").alias("average_chunk_chars"), F.countDistinct("doc_id").alias("chapter_count"))

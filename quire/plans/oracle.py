@@ -192,6 +192,17 @@ ORACLE_SQL = {
     "dense_topk_hash": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM dense",
     "hybrid_rrf": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 9) AS score FROM hits",
     "rrf_chapter_filter": f"WITH {_HITS} SELECT question_id, chunk_id, rank FROM hits JOIN chunks USING (chunk_id) WHERE chapter = 'doc-' || question_id",
+    "reranked_topk": f"""WITH {_HITS.replace("QUALIFY rank <= 8", "QUALIFY rank <= 40")}, scored AS (
+          SELECT question_id, chunk_id, rank AS was, coalesce(len(list_intersect({_TOKENS("b.text")}, {_TOKENS("c.text")}))::DOUBLE / nullif(len(list_distinct({_TOKENS("b.text")})), 0), 0) AS score
+          FROM hits JOIN chunks c USING (chunk_id) JOIN benchmark b ON item_id = question_id)
+        SELECT question_id, chunk_id, (row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, was))::INT AS rank, round(score, 6) AS score FROM scored QUALIFY rank <= 8""",
+    "summary_cache": """
+        WITH k AS (SELECT doc_id, sha256(text) AS key FROM documents), c AS (SELECT key, max(doc_id) AS value FROM k WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY key)
+        SELECT doc_id, value::VARCHAR AS value FROM k LEFT JOIN c USING (key)""",
+    "chapter_markdown": f"WITH {_PIECES} SELECT book_id, doc_id, '## ' || chapter || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY piece) || chr(10) AS markdown FROM pieces GROUP BY book_id, doc_id, chapter",
+    "page_headings": "SELECT page_id, coalesce(" + ", ".join(
+        "nullif(" + _ONE(f"regexp_replace(regexp_extract(html, '(?is)<h{n}(?:\\s[^>]*)?>(.*?)</h{n}>', 1), '<[^>]*>', '', 'g')") + ", '')" for n in (1, 2, 3)
+    ) + ", regexp_replace(regexp_extract(url, '([^/.?#]*)[^/]*$', 1), '[-_]+', ' ', 'g')) AS heading FROM pages",
     "label_topk": """
         WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5 AND v.label = 3)
         SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""",

@@ -86,6 +86,13 @@ def rrf_chapter_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.where(X.names_chapter(F.col("chapter"), wanted)).select("question_id", "chunk_id", "rank")
 
 
+def reranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a pool of 40 hits by the tokens they share with the question."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    hits = index.rerank(index.retrieve(chunks, questions, k=index.POOL), chunks, questions)
+    return hits.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def label_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of label 3 to the first five vectors, by cosine; the filter goes to the scan."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -199,6 +206,29 @@ def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).join(chapter, "doc_id").select("chunk_id", F.substring(X.says(X.CONTEXT, head), 1, 500).alias("context"))
 
 
+def summary_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents find a summary under their text's key, if those of the labelled ones were kept; the last counts."""
+    keyed = _docs(spark, sf_dir).select("doc_id", X.digest(F.col("text"), 40).alias("key"))
+    kept = _table(spark, sf_dir, "labels").select("doc_id").distinct().join(keyed, "doc_id").select("key", F.col("doc_id").alias("pos"), F.col("doc_id").alias("value"))
+    hits, misses = thematic.cached(keyed, kept)
+    return hits.select("doc_id", F.col("value").cast("string").alias("value")).unionByName(misses.select("doc_id", F.lit(None).cast("string").alias("value")))
+
+
+def chapter_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chapter as Markdown: its title, then its blocks."""
+    blocks = F.sort_array(F.collect_list(F.struct("piece", "text")))
+    pieces = chunking.line_pieces(_docs(spark, sf_dir)).groupBy("book_id", "doc_id", "chapter").agg(blocks.alias("b"))
+    body = F.array_join(F.transform("b", lambda x: x["text"]), "\n\n")
+    return pieces.select("book_id", "doc_id", F.concat(F.lit("## "), "chapter", F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))
+
+
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names a page as a chapter: its first h1, else h2, else h3, else the last part of its address."""
+    heading = lambda n: F.nullif(X.collapse(F.regexp_replace(F.regexp_extract("html", rf"(?is)<h{n}(?:\s[^>]*)?>(.*?)</h{n}>", 1), "<[^>]*>", "")), F.lit(""))
+    stem = F.regexp_replace(F.regexp_extract("url", r"([^/.?#]*)[^/]*$", 1), "[-_]+", " ")
+    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce(heading(1), heading(2), heading(3), stem).alias("heading"))
+
+
 def location_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.floor(F.col(c) / 2000).cast("int")
     label = X.location(F.col("chapter"), F.col("book_id"), page("char_start"), page("char_end"))
@@ -215,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf,
-        rrf_chapter_filter, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
-        raft_examples, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, context_prefixes, location_labels, library_listing,
+        rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
+        raft_examples, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, context_prefixes, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )
 }

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import chunking, synthesis, thematic
-from quire.sources import books
+from quire.operators import chunking, index, synthesis, thematic
+from quire.sources import artifacts, books
+from quire.streaming import postings
 
 
 def literal_packer(chars, heading, target, overlap, most):
@@ -98,3 +99,44 @@ def test_model_header():
     assert head["parameter_count"] == 12 and head["metadata"] == {"general.architecture": "x"}
     with pytest.raises(ValueError, match="truncated in tensors"):
         books.gguf_header(io.BytesIO(data[:-4]))
+
+
+def a_book(spark, name, *texts):
+    return chunking.of_documents(spark.createDataFrame([(n, t, name) for n, t in enumerate(texts)], "doc_id long, text string, source string"))
+
+
+def test_index_again_replaces_a_book_and_no_other(spark, tmp_path):
+    folder = str(tmp_path)
+    artifacts.write_index(a_book(spark, "a", "one two", "three").unionByName(a_book(spark, "b", "four")), folder)
+    artifacts.write_index(a_book(spark, "a", "five").unionByName(a_book(spark, "c", "six")), folder)
+    artifacts.write_index(a_book(spark, "c", "!"), folder)
+    got = artifacts.read_index(spark, folder)
+    assert {(r.book_id, r.text) for r in got["chunks"].collect()} == {("a", "five"), ("b", "four"), ("c", "!")}
+    assert {r.token for r in got["postings"].collect()} == {"five", "four"}
+    assert [r.book_id for r in artifacts.read_index(spark, folder, "b")["vectors"].select("book_id").distinct().collect()] == ["b"]
+
+
+def test_invalid_training_examples_write_nothing(spark, tmp_path):
+    rows = [("e1", True, [("system", "s"), ("user", "<doc id=\"1\">x</doc>"), ("assistant", "yes [2]")], "train")]
+    bad = spark.createDataFrame(rows, "example_id string, answerable boolean, messages array<struct<role:string,content:string>>, split string")
+    with pytest.raises(ValueError, match="bad citations"):
+        artifacts.write_training(bad, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_rerank_orders_by_score_then_pool(spark):
+    pool = spark.createDataFrame([(1, c, n) for n, c in enumerate("abc", 1)], "question_id long, chunk_id string, rank int")
+    chunks = spark.createDataFrame([("a", "none"), ("b", "red"), ("c", "The RED fox")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "red fox fox")], "question_id long, question string")
+    got = index.rerank(pool, chunks, asked, 2).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("c", 1.0), ("b", 0.5)]
+
+
+def test_streamed_postings_equal_those_of_the_last_texts(spark, tmp_path):
+    into, table, progress = (str(tmp_path / x) for x in ("in", "table", "progress"))
+    schema = "doc_id long, text string, source string"
+    spark.createDataFrame([(1, "a b a", "s"), (2, "c", "s")], schema).write.mode("append").parquet(into)
+    postings.append_postings(postings.arriving(spark, into), table, progress).awaitTermination()
+    spark.createDataFrame([(2, "…", "s"), (3, None, "s"), (4, "d", "s")], schema).write.mode("append").parquet(into)
+    postings.append_postings(postings.arriving(spark, into), table, progress).awaitTermination()
+    assert sorted((r.doc_id, r.token, r.tf) for r in postings.latest(spark, table).collect()) == [(1, "a", 2), (1, "b", 1), (4, "d", 1)]
