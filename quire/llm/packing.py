@@ -27,6 +27,9 @@ GROUPS = 96
 REMEMBERED = 400_000
 #: Words that the tokenizer encodes at once; its results are many times their size.
 ENCODED = 4000
+#: Words that go to it as one text, and the special token between them.
+TOGETHER = 100
+APART = "<|endoftext|>"
 
 
 @lru_cache(maxsize=1)
@@ -55,6 +58,21 @@ def _units(text: str | None) -> list[bytes]:
     return data.split()
 
 
+def _encoded(tokenizer, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:  # noqa: ANN001
+    """Each unit with its ids. A special token always stands alone, so units with one between them keep their ids.
+
+    A unit that may hold such a token's string itself is a text of its own.
+    """
+    plain = [u for u in units if b"<|" not in u]
+    groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)] + [[u] for u in units if b"<|" in u]
+    texts = [APART.join(u.decode("utf-8", "replace") for u in group) for group in groups]
+    apart = tokenizer.token_to_id(APART)
+    for group, encoding in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        ids = np.array(encoding.ids, "<u4")
+        cuts = np.flatnonzero(ids == apart).tolist() if len(group) > 1 else []
+        yield from zip(group, (ids[a:b].tobytes() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])), strict=True)
+
+
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, with END at the end; each unit is encoded once."""
     tokenizer, known = _tokenizer(path)
@@ -65,9 +83,7 @@ def token_ids(texts: list[str | None], path: str) -> list[bytes]:
         missing = set().union(*words)
     new = list(missing)
     for a in range(0, len(new), ENCODED):
-        part = new[a : a + ENCODED]
-        encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(part, encoded))
+        known.update(_encoded(tokenizer, new[a : a + ENCODED]))
     get, end = known.__getitem__, np.array([END], "<u4").tobytes()
     return [b"".join(map(get, w)) + end for w in words]
 
