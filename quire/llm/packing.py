@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -36,6 +37,7 @@ APART = "<|endoftext|>"
 def _tokenizer(path: str):  # noqa: ANN202
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each core a task; threads of its own would only contend
     return Tokenizer.from_file(path), {}
 
 
