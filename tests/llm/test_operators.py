@@ -216,6 +216,44 @@ def test_passages(spark):
     assert passages.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def edited(rng, words, inserted, deleted):
+    out = list(words)
+    for _ in range(inserted):
+        out.insert(rng.randrange(10, len(out) - 10), "".join(rng.choices("hijk", k=6)))
+    for _ in range(deleted):
+        del out[rng.randrange(10, len(out) - 10)]
+    return out
+
+
+def test_passages_with_insertions_and_deletions(spark):
+    rng = random.Random(19)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, similar = [], []
+    while len(texts) < 240:
+        a = prose(rng, rng.randint(54, 80)).split()
+        b = edited(rng, a, *rng.choice([(1, 0), (0, 1), (1, 1)]))
+        x, y = grams(a), grams(b)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9 and len(b) >= 50:
+            similar.append(len(texts) + 1)
+            texts += [" ".join(prose(rng, rng.randint(20, 90)).split() + w + prose(rng, 40).split()) for w in (a, b)]
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert sum((i, i - 1) in got for i in similar) >= 0.97 * len(similar)
+    assert all(i - j == 1 and i % 2 for i, j in got)
+
+
+def test_every_copy_and_partner_of_a_passage(spark):
+    rng = random.Random(20)
+    whole, twice = prose(rng, 50).split(), prose(rng, 55).split()
+    short = [" ".join(prose(rng, 30).split() + whole[i % 4 : i % 4 + 46] + prose(rng, 30).split()) for i in range(120)]
+    texts = [" ".join(prose(rng, 20).split() + whole), *short, " ".join(whole + prose(rng, 20).split())]
+    texts += [" ".join(twice), " ".join(twice + prose(rng, 70).split() + twice + prose(rng, 70).split() + twice)]
+    docs = docs_of(spark, texts)
+    got = {(r.doc_id, r.start_word, r.other_id) for r in passages.repeated_passages(docs).collect()}
+    assert got == {(121, 0, 0), (123, 0, 122), (123, 125, 122), (123, 250, 122)}
+    cut = {r.doc_id: r.text for r in passages.cut_repeats(docs).collect()}
+    assert len(cut[123].split()) == 140 and len(cut[121].split()) == 20
+
+
 def test_compact_windows_hold_each_subsequence_once():
     values = np.random.default_rng(1).permutation(120).astype(np.uint64)
     windows = passages.compact_windows(values, 10)
