@@ -69,6 +69,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(ids, F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _fingerprint_column(text_col: str) -> Column:
+    @F.pandas_udf("long")
+    def found(text):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(_fingerprints(text.tolist()).view(np.int64))
+
+    return found(text_col)
+
+
 def pivots(n: int = PIVOTS) -> np.ndarray:
     """The reference fingerprints: the same pseudo-random ones in each task."""
     return np.random.default_rng(SEED).integers(0, 2**64, n, np.uint64)
@@ -162,6 +172,18 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     return met.mapInArrow(run, "u long, v long").distinct()
 
 
+def _parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, part, component_id, copies): simhash_components with part, the component's least fingerprint."""
+    found = cut(fingerprints(docs, id_col, text_col))
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    parts = components(links(distinct.select("fp"), max_bits))
+    named = distinct.join(parts, distinct["fp"] == parts["node"], "left")
+    named = named.select("fp", "least", "copies", F.coalesce("component", "fp").alias("part"))
+    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "part").select(F.col("fp").alias("f"), "part", "component_id", "copies")
+    return found.join(named, found["fp"] == named["f"]).drop("f")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id, copies): a row for each row of docs.
 
@@ -170,14 +192,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     white space has fingerprint 0. Repeated rows all stay; a null id stays null and never names a component unless it
     has no other. Other columns are ignored; an empty table gives an empty result.
     """
-    found = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    parts = components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(parts, distinct["fp"] == parts["node"], "left")
-    named = named.select("fp", "least", "copies", F.coalesce("component", "fp").alias("part"))
-    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "part").select(F.col("fp").alias("f"), "component_id", "copies")
-    return found.join(named, found["fp"] == named["f"]).select("doc_id", "fp", "component_id", "copies")
+    return _parts(docs, id_col, text_col, max_bits).select("doc_id", "fp", "component_id", "copies")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +201,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row for each component: that of the least doc_id, and one of several equal rows of it."""
+    """docs with one row for each component: of its least doc_id, then of its least fingerprint; one of several such rows.
+
+    A component is told by its fingerprints, never by an id, so rows of one id or of null id whose texts lie in
+    different components don't stand for each other. A null id is chosen where its component has no other.
+    """
     columns = docs.columns
-    chosen = simhash_components(docs).groupBy("component_id").count().select(F.col("component_id").alias("_kept"))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    found = cut(_parts(docs).select("doc_id", "fp", "part"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    chosen = found.groupBy("part").agg(F.min(order).alias("c")).select(F.col("c.doc_id").alias("_kept"), F.col("c.fp").alias("_kept_fp"))
+    several = found.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_several"))
+    chosen = cut(chosen.join(several, F.col("_kept").eqNullSafe(F.col("doc_id"))).drop("doc_id"))
+
+    plain, mixed = chosen.where("not _several"), chosen.where("_several")
+    kept = docs.join(plain, docs["doc_id"].eqNullSafe(plain["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    ids = mixed.select("_kept").distinct()
+    marked = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi").withColumn("_fp", _fingerprint_column("text"))
+    same = marked["doc_id"].eqNullSafe(mixed["_kept"]) & (marked["_fp"] == mixed["_kept_fp"])
+    return kept.select(*columns).unionByName(marked.join(mixed, same, "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*columns))

@@ -69,6 +69,15 @@ def test_simhash(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(fps)
 
 
+def test_keep_one_never_drops_a_component(spark):
+    rng = random.Random(21)
+    a, b, c, d, e, f = (prose(rng, 120) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, e), (4, d), (5, f), (5, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert Counter(got) == Counter([(None, a), (None, b), (1, c), (2, d), (2, e), (5, f)])
+
+
 def test_hot_keys_are_dealt_and_joined_whole(spark):
     rng = random.Random(4)
     fps = {0}
