@@ -14,7 +14,7 @@ from .common import cut, small_batches, table
 
 #: A path wins on its host with this share of the pages' votes.
 WINNING_SHARE = 0.2
-#: The container a page votes for is the deepest that still holds this share of its running text.
+#: A winning path is taken on pages of whose text it holds this share.
 TEXT_SHARE = 0.8
 #: Hosts up to which the table of winning paths, a few short strings for each, is broadcast.
 BROADCAST_HOSTS = 50_000
@@ -142,47 +142,50 @@ class Page:
                     self._in_link -= popped[0] == "a"
                 return
 
-    def scores(self) -> list[float]:
-        """The running text in each container and those within it: characters outside links, less those in links."""
-        out = [0.0] * len(self.containers)
-        for container, text, linked in self.blocks:
-            out[container] += max(0, len(text) - 2 * linked)
+    def held(self) -> list[int]:
+        """The characters of text in each container and those within it."""
+        out = [0] * len(self.containers)
+        for container, text, _ in self.blocks:
+            out[container] += len(text)
         for n in range(len(out) - 1, 0, -1):
             out[self.containers[n][1]] += out[n]
         return out
 
-    def best(self, among: list[int], scores: list[float]) -> int | None:
-        """The deepest of these containers that holds TEXT_SHARE of what the fullest holds; None without text."""
-        most = max((scores[n] for n in among), default=0)
-        if most <= 0:
-            return None
-        full = [n for n in among if scores[n] >= TEXT_SHARE * most]
-        return max(full, key=lambda n: (self.containers[n][0].count(">"), scores[n], -n))
+    def best(self) -> str | None:
+        """The path of the deepest container that holds all text but noise; None without text."""
+        held = self.held()
+        full = [n for n, size in enumerate(held) if size == held[0]]
+        return self.containers[full[-1]][0] if held[0] else None
 
-    def usable(self) -> list[int]:
-        return [n for n, (_, _, noise) in enumerate(self.containers) if not noise]
+    def _in_article(self, n: int) -> bool:
+        return any(step.split(".")[0] in ("article", "main") for step in self.containers[n][0].split(">"))
 
     def text(self, winners: list[str]) -> str:
-        """The blocks below the containers of the winning path that fits best, or of the page's own if none is there."""
-        scores, usable = self.scores(), self.usable()
-        own = self.best(usable, scores)
-        chosen = self.best([n for n in usable if self.containers[n][0] in winners], scores)
-        if chosen is None or own is None:
-            chosen = own
-        if chosen is None:
-            return ""
-        path, inside = self.containers[chosen][0], set()
-        for n, (p, parent, noise) in enumerate(self.containers):
-            if not noise and (p == path or parent in inside):
-                inside.add(n)
-        return "\n".join(text for container, text, _ in self.blocks if container in inside)
+        """All blocks, or those in the winning path that holds most of them.
+
+        A winning path counts if it lies in an article or main and leaves out no block of one, and if it holds
+        TEXT_SHARE of the page's text.
+        """
+        kept, most = self.blocks, 0
+        total = sum(len(text) for _, text, _ in self.blocks)
+        for path in winners:
+            inside: set[int] = set()
+            for n, (p, parent, noise) in enumerate(self.containers):
+                if not noise and (p == path or parent in inside):
+                    inside.add(n)
+            blocks = [block for block in self.blocks if block[0] in inside]
+            size = sum(len(text) for _, text, _ in blocks)
+            whole = all(n in inside or not self._in_article(n) for n, *_ in self.blocks)
+            if size > most and size >= TEXT_SHARE * total and whole and any(self._in_article(n) for n in inside if self.containers[n][0] == path):
+                kept, most = blocks, size
+            elif size == total:
+                return "\n".join(text for _, text, _ in self.blocks)
+        return "\n".join(text for _, text, _ in kept)
 
 
 def vote(source: str) -> tuple[str, float] | None:
-    page = Page(source)
-    scores = page.scores()
-    chosen = page.best(page.usable(), scores)
-    return None if chosen is None else (page.containers[chosen][0], 1.0)
+    chosen = Page(source).best()
+    return None if chosen is None else (chosen, 1.0)
 
 
 def host_of(url: Column) -> Column:
@@ -211,8 +214,9 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with _text: each page's main text, its blocks joined by line feeds; empty if it has none.
 
-    Every page votes for the generalised path (tags with their first class, numbers levelled) of its best container;
-    each is then read again at its host's winning paths. A page without any of them falls back on its own best one. A
+    Every page votes for the generalised path (tags with their first class, numbers levelled) of the deepest
+    container that holds all its text but noise; each is then read again at its host's winning paths. They only leave
+    out text outside article and main, a fifth of a page at most; a page that they don't fit keeps all but noise. A
     null page is empty, a null or malformed url belongs to the host "". Markup that is cut off or badly nested is read
     as far as it goes. Repeated rows vote each; other columns stay; an empty table stays empty.
     """

@@ -225,6 +225,23 @@ def test_passages(spark):
     assert passages.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_html_keeps_all_but_noise(spark):
+    long = "<p>" + "A long running text. " * 40 + "</p>"
+    nested = f'<article><h1>Head</h1><p>Lead</p><div class="body">{long}</div><p>End</p></article>'
+    sections = f'<main><section class="a">{long}</section><section class="b"><p>Other part</p></section></main>'
+    minority = f'<article><p>Teaser</p></article><div class="story">{long}<p>More of it</p></div>'
+    loose = f"<article>{long}</article><div><p>Stray words of the template</p></div>"
+    links = '<ul><li><a href="/1">First entry</a></li><li><a href="/2">Second entry</a></li></ul>'
+    one = f"<article>{long}</article>"
+    bodies = [nested, sections, minority, links, loose, *[one] * 12]
+    df = spark.createDataFrame([(i, "http://c.org/", PAGE.format(x)) for i, x in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r._text.split("\n") for r in html.extract(df).collect()}
+    text = ("A long running text. " * 40).strip()
+    assert got[0] == ["Head", "Lead", text, "End"] and got[1] == [text, "Other part"]
+    assert got[2] == ["Teaser", text, "More of it"] and got[3] == ["First entry", "Second entry"]
+    assert all(got[i] == [text] for i in range(4, 17))
+
+
 def edited(rng, words, inserted, deleted):
     out = list(words)
     for _ in range(inserted):
