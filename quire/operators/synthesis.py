@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.operators.answers import render
+from quire.operators.thematic import numbered
 
 SEED, MAX_CHUNKS, PER_CHUNK, DISTRACTORS, NEGATIVE_RATIO = 13, 100, 2, 4, 0.15
 VAL_RATIO = 0.1
@@ -101,8 +102,8 @@ def raft(kept: DataFrame, chunks: DataFrame, title: str = "the book", k: int = D
     its own in a ring of the book's chunks and takes the next k that aren't its golden one, so pairs meet k + 1
     chunks each and never the whole book.
     """
-    ring = Window.partitionBy("book_id").orderBy(drawn(F.col("chunk_id"), seed=seed), "chunk_id")
-    ringed = chunks.select("book_id", "chunk_id", "text", "chapter", (F.row_number().over(ring) - 1).alias("place"))
+    drawn_ids = chunks.select("book_id", "chunk_id", drawn(F.col("chunk_id"), seed=seed).alias("o"))
+    ringed = numbered(drawn_ids, F.substring("o", 1, 3), "o", "chunk_id").select("book_id", "chunk_id", (F.col("n") - 1).alias("place"))
     sizes = ringed.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
     begin = F.pmod(F.conv(F.substring(drawn(F.col("pair_id"), seed=seed), 1, 8), 16, 10).cast("long"), F.col("n"))
     step = F.explode(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(k).cast("long")))).alias("step")
@@ -110,7 +111,7 @@ def raft(kept: DataFrame, chunks: DataFrame, title: str = "the book", k: int = D
     near = near.withColumn("place", F.pmod(F.col("begin") + F.col("step"), F.col("n"))).join(ringed, ["book_id", "place"])
     near = near.where("chunk_id <> golden")
     first = Window.partitionBy("pair_id").orderBy("step")
-    picked = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("pair_id", "chunk_id", "text", F.lit(False).alias("is_golden"))
+    picked = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).join(chunks.select("chunk_id", "text"), "chunk_id").select("pair_id", "chunk_id", "text", F.lit(False).alias("is_golden"))
     coin = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("coin"), F.lit(str(seed)), F.col("pair_id"))), 1, 8), 16, 10).cast("double") / 2.0**32
     positive = kept.withColumn("answerable", coin >= ratio)
     golden = positive.where("answerable").join(chunks.select("chunk_id", "text"), "chunk_id").select("pair_id", "chunk_id", "text", F.lit(True).alias("is_golden"))

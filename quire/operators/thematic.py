@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 
 WINDOW, MAP_TOP_K, MAX_SOURCE, MAX_SUMMARY, MIN_SUMMARY = 4, 6, 6000, 1200, 10
+#: Document ids in a block of those that are numbered together.
+NUMBERED = 4096
 #: Fixed: a completion with one of these isn't a summary.
 UNUSABLE = ("i'm sorry", "as an ai", "cannot summarize", "couldn't find")
 
@@ -22,12 +24,30 @@ def summarise(source: Column) -> Column:
     return F.when((F.length(text) >= MIN_SUMMARY) & ~bad & (F.trim(source) != ""), text)
 
 
+def numbered(rows: DataFrame, block: Column, *order: str) -> DataFrame:
+    """rows with n, their number from 1 within their book_id in the given order, along which `block` must not fall.
+
+    Rows are numbered within each block and moved on by the sizes of the blocks before it, so no task holds a book.
+    """
+    rows = rows.withColumn("block", block)
+    sizes = rows.groupBy("book_id", "block").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("book_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("book_id").alias("_book"), F.col("block").alias("_block"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("book_id", "block").orderBy(*order)
+    joined = rows.withColumn("_own", F.row_number().over(within)).join(offsets, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("block").eqNullSafe(F.col("_block")))
+    return joined.withColumn("n", (F.col("_own") + F.col("_offset")).cast("int")).drop("block", "_book", "_block", "_own", "_offset")
+
+
 def chapters(chunks: DataFrame) -> DataFrame:
     """Level 1: (node_id, book_id, level, n, title, children, chunk_ids, summary), one for each chapter."""
     by = chunks.groupBy("book_id", "doc_id", "chapter").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", "text"))).alias("c"))
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
+    thin = numbered(chunks.select("book_id", "doc_id", "chapter").distinct(), F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
+    thin = thin.select("n", *(F.col(c).alias(f"_{c}") for c in ("book_id", "doc_id", "chapter")))
+    same = F.lit(True)
+    for c in ("book_id", "doc_id", "chapter"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     source = F.array_join(F.transform("c", lambda x: x["text"]), "\n\n")
-    df = by.select("book_id", "chapter", n.alias("n"), F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), summarise(source).alias("summary"))
+    df = by.join(thin, same).select("book_id", "chapter", "n", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), summarise(source).alias("summary"))
     return df.select(F.format_string("%s:chapter:%d", "book_id", "n").alias("node_id"), "book_id", F.lit(1).alias("level"), "n", F.col("chapter").alias("title"), F.array().cast("array<string>").alias("children"), "chunk_ids", "summary")
 
 

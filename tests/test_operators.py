@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import struct
 import zipfile
 
@@ -92,6 +93,19 @@ def test_books_from_files(spark, tmp_path):
     assert [(r.book_id, r.chapter, r.type, r.text) for r in rows] == [("b", "b", "paragraph", "intro"), ("b", "A", "paragraph", "text"), ("my-book", "First", "paragraph", "Some & more")]
 
 
+def test_books_are_numbered_in_blocks(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(-9000, 60000), 300)
+    docs = spark.createDataFrame([(i, f"text of {i}", "ab"[i % 2]) for i in ids], "doc_id long, text string, source string")
+    got = thematic.numbered(docs.select("doc_id", F.col("source").alias("book_id")), F.floor(F.col("doc_id") / 4096), "doc_id").collect()
+    for book in "ab":
+        assert [r.doc_id for r in sorted((r for r in got if r.book_id == book), key=lambda r: r.n)] == sorted(i for i in ids if "ab"[i % 2] == book)
+        assert sorted(r.n for r in got if r.book_id == book) == list(range(1, 1 + sum("ab"[i % 2] == book for i in ids)))
+    one = thematic.chapters(chunking.of_documents(docs))
+    numbered = re.findall(r"row_number\(\) windowspecdefinition\((\w+)#\d+L?, (\w+)#", one._jdf.queryExecution().optimizedPlan().toString())
+    assert ("book_id", "block") in numbered and ("book_id", "doc_id") not in numbered and one.count() == 300
+
+
 def test_model_header():
     s = lambda t: struct.pack("<Q", len(t)) + t.encode()
     data = b"GGUF" + struct.pack("<IQQ", 3, 1, 1) + s("general.architecture") + struct.pack("<I", 8) + s("x") + s("w") + struct.pack("<IQQIQ", 2, 3, 4, 0, 0)
