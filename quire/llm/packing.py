@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, sliced, table
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -96,13 +96,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     pid is the task and rank the piece's number among those of its length there.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, pid = [0] * (capacity + 1), TaskContext.get().partitionId()
         names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1).to_pylist(), path)):
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
@@ -308,7 +307,6 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence[at], offset[at] = bins[row] + ranks[at] - first[row], offsets[row]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    small_batches(spark, 20_000)
     placed = ranked.withColumn("_to", place("length", "rank"))
     kept = [c for c in cut_pieces.columns if c not in ("pid", "rank")]
     return placed.select(*kept, "_to.sequence_id", "_to.offset")

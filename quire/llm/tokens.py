@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -124,10 +124,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns ignored, and an empty table gives an empty result.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = merges(path).counts(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
