@@ -15,6 +15,8 @@ ROW_BYTES = 16
 CELLS = 4096
 #: The same in the rounds after the first, which probe up to SHARDS ranges at once.
 FINE_CELLS = 256
+#: Cells that each shard is cut into to number its rows.
+PLACES = 64
 #: A splitter may miss its target by this share of a shard, or by what lies on a single key.
 TOLERANCE = 0.002
 
@@ -97,6 +99,30 @@ def _not_below(keys: list[str], bound: tuple) -> Column:
     return out
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """df (shard, _key, _tie) with slot: its place in its shard by (_key, _tie).
+
+    Quantiles of each shard's own keys cut it into cells of about equal numbers of rows, wherever the keys lie; a key
+    that fills several of them is cut by its ties. Rows are numbered within a cell, on from the cells before it.
+    """
+    at = [i / PLACES for i in range(1, PLACES)]
+    quantiles = df.groupBy(F.col("shard").alias("_s")).agg(F.percentile_approx("_key", F.lit(at)).alias("_q"))
+    df = df.join(F.broadcast(quantiles), F.col("shard") == F.col("_s"))  # a row per shard
+    cell = F.struct(
+        F.size(F.filter("_q", lambda q: q < F.col("_key"))).alias("below"),
+        F.size(F.filter("_q", lambda q: q == F.col("_key"))).alias("here"),
+    )
+    often = F.col("_c.here") > 1  # all between two equal quantiles is one key, which comes after the rest of its cell
+    df = df.withColumn("_c", cell).withColumn("_t", F.when(often, F.shiftright("_tie", 58)).otherwise(F.lit(-64).cast("long")))
+    df = df.withColumn("_c", F.col("_c.below"))
+    group = ["shard", "_c", "_t"]
+    running = Window.partitionBy("shard").orderBy("_c", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*group, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_key", "_tie"))
+    return df.withColumn("_place", place - 1).join(starts, group).withColumn("slot", (F.col("_start") + F.col("_place")).cast("long"))
+
+
 def shard(rows: DataFrame, key: str, size: Column, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """rows with shard and slot: ranges of the key, in order, of near-equal total size.
 
@@ -104,43 +130,24 @@ def shard(rows: DataFrame, key: str, size: Column, shards: int = SHARDS, toleran
     their other columns and then by their place in the input, so a key with very many rows, or even equal rows, is
     split like any other. Rows are written once to the checkpoint folder, so that every counting pass and the final
     exchange see the same ones: pass just the columns to be carried. slot counts from 0 in a shard without gaps, in the
-    order of the keys. More shards than rows leave some empty; an empty table gives an empty result. The columns
-    _key, _tie, _size, _cell must not be there.
+    order of the keys. More shards than rows leave some empty; an empty table gives an empty result. Input columns
+    named shard or slot are replaced, all others stay, whatever their names.
     """
-    spread = F.xxhash64(*[F.col(c) for c in rows.columns], F.monotonically_increasing_id())
-    df = rows.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_key": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_tie": spread})
-    df = cut(df)
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    spread = F.xxhash64(*(rows[c] for c in kept), F.monotonically_increasing_id())
+    key_of = F.coalesce(rows[key].cast("long"), F.lit(-(2**63)))
+    df = cut(rows.select(F.struct(*(rows[c] for c in kept)).alias("_row"), key_of.alias("_key"), spread.alias("_tie"), F.coalesce(size, F.lit(0)).cast("long").alias("_size")))
     keys = ["_key", "_tie"]
     thin = df.select(*keys, "_size")
     total, n, lo, hi = thin.agg(F.sum("_size"), F.count(F.lit(1)), F.min("_key"), F.max("_key")).first()
     if not n:
-        return df.select(*rows.columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return df.select("_row.*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     targets = [total * i // shards for i in range(1, shards)]
     bounds = splitters(thin, keys, lo, hi, sorted(set(targets)), tolerance * total / shards)
     shard_of = F.lit(0)
     for target in targets:
         shard_of = shard_of + _not_below(keys, bounds[target]).cast("int")
-    # Places: the rows before a cell come from exact counts of the (at most CELLS by CELLS of a hot key) cells.
-    heavy = thin.groupBy("_key").count().where(F.col("count") > max(10_000, n // CELLS)).select("_key")
-    heavy = [r["_key"] for r in heavy.limit(CELLS).collect()]
-    cell = _cell(F.col("_key"), lo, hi, CELLS)
-    within = F.when(F.col("_key").isin(heavy), F.shiftright("_tie", 52)).otherwise(F.lit(0)) if heavy else F.lit(0)
-    df = df.withColumns({"shard": shard_of, "_c": cell, "_t": within.cast("long")})
-    group = ["shard", "_c", "_k", "_t"]
-    # A heavy key divides its cell: rows of the cell before it, its own cells, and rows after it.
-    if heavy:
-        before = F.lit(0)
-        for k in heavy:
-            before = before + (F.col("_key") > F.lit(k)).cast("int")
-        df = df.withColumn("_k", before * 2 + F.col("_key").isin(heavy).cast("int"))
-    else:
-        df = df.withColumn("_k", F.lit(0))
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    running = Window.partitionBy("shard").orderBy("_c", "_k", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, F.coalesce(F.sum("rows").over(running), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("_key", "_tie"))
-    df = df.withColumn("_place", place - 1).join(starts, group)
-    return df.select(*rows.columns, "shard", (F.col("_start") + F.col("_place")).cast("long").alias("slot"))
+    return _placed(df.withColumn("shard", shard_of)).select("_row.*", "shard", "slot")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
