@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, sliced, table
 
 #: Labelled rows that a model is fitted on at most, those with the least hash of their id.
 MAX_ROWS = 10_000
-MAX_FEATURES = 1500
 MIN_ROWS = 3
 #: A feature counts if it is this many standard deviations more frequent among toxic rows than chance has it.
 MIN_DEVIATIONS = 4.0
@@ -110,6 +109,7 @@ class Chain:
     categories: tuple[str, ...]
     models: list[Linear] = field(default_factory=list)
     feature_of: dict[int, int] = field(default_factory=dict)
+    width: int = 0
     threshold: float = 2.0
 
     def probabilities(self, x: Rows) -> np.ndarray:
@@ -118,24 +118,39 @@ class Chain:
             out = np.column_stack((out, model.predict(x, out)))
         return out if self.models else np.zeros((x.n, len(self.categories)))
 
-    def fit(self, x: Rows, labels: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    def fit(self, x: Rows, toxic: np.ndarray, fold: np.ndarray, chosen: Callable[[int | None], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Fits the chain; returns the out-of-fold probabilities.
 
-        What a later model learns from is what it will see: for each row, an earlier category's probability comes from
-        a model that was fitted without the row's fold.
+        chosen(f) tells which features count, and which of them are strong, from the rows outside fold f (None: from
+        all). What a later model learns from is what it will see: for each row, an earlier category's probability comes
+        from a model whose features, category labels and weights owe nothing to the row's fold.
         """
+        folds = [f for f in range(FOLDS) if (fold == f).any() and not (fold == f).all()]
+        parts = {f: self._part(x, toxic, *chosen(f)) for f in [None, *folds]}
         held_out = np.zeros((x.n, 0))
-        for k in range(labels.shape[1]):
-            y = labels[:, k].astype(float)
-            self.models.append(Linear.fit(x, held_out, y))
+        for k in range(len(self.categories)):
+            own, labels = parts[None]
+            self.models.append(Linear.fit(own, held_out, labels[k]))
             p = np.zeros(x.n)
-            for f in range(FOLDS):
-                test = fold == f
-                if test.any() and not test.all():
-                    p[test] = Linear.fit(x.some(~test), held_out[~test], y[~test]).predict(x.some(test), held_out[test])
+            for f in folds:
+                (own, labels), test = parts[f], fold == f
+                p[test] = Linear.fit(own.some(~test), held_out[~test], labels[k][~test]).predict(own.some(test), held_out[test])
             held_out = np.column_stack((held_out, p))
         return held_out
 
+    @staticmethod
+    def _part(x: Rows, toxic: np.ndarray, counts: np.ndarray, strong: np.ndarray) -> tuple[Rows, list[np.ndarray]]:
+        """x with the features that count, and the labels of each category.
+
+        `explicit` is a toxic row with a strong feature, `severe` one with more of them than the median explicit row.
+        """
+        kept = counts[x.column]
+        own = Rows(x.row[kept], x.column[kept], x.n, x.width)
+        n_strong = np.bincount(own.row, strong[own.column].astype(float), x.n)
+        explicit = (toxic > 0) & (n_strong > 0)
+        severe = explicit & (n_strong > np.median(n_strong[explicit])) if explicit.any() else explicit
+        return own, [explicit.astype(float), severe.astype(float), toxic]
+
     def tune(self, p: np.ndarray, y: np.ndarray) -> None:
         """The threshold of the last category with the best F1 on out-of-fold probabilities, amid the gap it lies in."""
         order = np.argsort(-p, kind="stable")
@@ -146,60 +161,67 @@ class Chain:
         self.threshold = float(max((p[order[best]] + after) / 2, MIN_THRESHOLD))
 
 
-def _select(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features that tell toxic rows, by their number there times the log of how much more frequent they are."""
-    names, at = np.unique(feature, return_inverse=True)
-    yes = np.bincount(at, toxic[row], len(names))
-    no = np.bincount(at, 1 - toxic[row], len(names))
-    more = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((1 - toxic).sum() + 1))
-    expected = (yes + no) * toxic.mean()
-    clear = (yes >= MIN_ROWS) & (yes - expected > MIN_DEVIATIONS * np.sqrt(expected))
-    gain = np.where(clear, yes * np.maximum(more, 0), 0)
-    chosen = np.lexsort((names, -gain))[:MAX_FEATURES]
-    chosen = chosen[gain[chosen] > 0]
-    return names[chosen], (no[chosen] == 0) & (yes[chosen] >= 2 * MIN_ROWS)
+def _telling(yes: Column, no: Column, all_yes: Column, all_no: Column) -> tuple[Column, Column]:
+    """(counts, strong) of a feature from its numbers of toxic and other rows, and those of all rows.
 
+    A feature counts if it is MIN_DEVIATIONS standard deviations more frequent among toxic rows than chance has it; it
+    is strong if no other row has it.
+    """
+    expected = (yes + no) * all_yes / (all_yes + all_no)
+    counts = (yes >= MIN_ROWS) & (yes - expected > MIN_DEVIATIONS * F.sqrt(expected))
+    return F.coalesce(counts, F.lit(False)), F.coalesce(counts & (no == 0) & (yes >= 2 * MIN_ROWS), F.lit(False))
 
-def fit_chain(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
-    """A chain for the label `toxic` and two categories before it that are read off the labelled rows.
 
-    docs: doc_id, text. labels: doc_id, toxic (0, 1 or null: left out). At most max_rows labelled rows are used. The
-    labels know one category; `explicit` is a toxic row with a feature that only toxic rows have, and `severe` one with
-    more of them than the median explicit row. Without toxic and other rows the chain is empty and finds nothing toxic.
-    """
-    spark = docs.sparkSession
+def _featured(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, fold, toxic, features) of at most max_rows labelled documents."""
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # The bound on the rows bounds the broadcast.
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "_toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sorted(features(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
 
-    small_batches(spark)
-    got = rows.select(F.col("doc_id").cast("long"), "text", F.col("_toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, features array<long>").toArrow().sort_by("doc_id")
+    got = rows.select(F.col("doc_id").cast("long"), "text", F.col("_toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, features array<long>")
+    return got.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
+    """A chain for the label `toxic` and two categories before it that are read off the labelled rows.
+
+    docs: doc_id, text. labels: doc_id, toxic (0, 1 or null: left out). At most max_rows labelled rows are used. Which
+    features count is worked out in Spark, for all rows and for those outside each fold; only these features, and which
+    rows have them, come to the driver. Without toxic and other rows the chain is empty and finds nothing toxic.
+    """
+    rows = cut(_featured(docs, labels, max_rows))
+    named = rows.select("doc_id", "fold", (F.col("toxic") > 0).cast("int").alias("toxic")).orderBy("doc_id").toPandas()
     chain = Chain(CATEGORIES)
-    toxic = np.array(got["toxic"].to_pylist(), float)
+    toxic, fold = named["toxic"].to_numpy(float), named["fold"].to_numpy()
     if not 0 < toxic.sum() < len(toxic):
         return chain
-    lists = got["features"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
-    feature = lists.flatten().to_numpy()
-    names, strong = _select(row, feature, toxic)
-    at = np.searchsorted(np.sort(names), feature)
-    order = np.argsort(names)
-    at = np.minimum(at, max(0, len(names) - 1))
-    real = np.sort(names)[at] == feature if len(names) else np.zeros(len(feature), bool)
-    x = Rows(row[real], order[at[real]], len(toxic), len(names))
-    n_strong = np.bincount(x.row, strong[x.column], x.n)
-    explicit = (toxic > 0) & (n_strong > 0)
-    severe = explicit & (n_strong > np.median(n_strong[explicit])) if explicit.any() else explicit
-    fold = np.array([xxhash.xxh64_intdigest(str(i).encode()) % FOLDS for i in got["doc_id"].to_pylist()])
-    p = chain.fit(x, np.column_stack((explicit, severe, toxic)), fold)
-    chain.feature_of = {int(f): i for i, f in enumerate(names)}
+    is_toxic, without = F.col("toxic") > 0, [None, *range(FOLDS)]
+    outside = lambda f: F.lit(True) if f is None else F.col("fold") != f
+    numbers = [F.count_if(hit & outside(f)).alias(f"{name}{n}") for n, f in enumerate(without) for name, hit in (("yes", is_toxic), ("no", ~is_toxic))]
+    counted = rows.select("fold", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(*numbers)
+    verdicts = []
+    for n, f in enumerate(without):
+        seen = np.ones(len(fold), bool) if f is None else fold != f
+        all_yes = float(toxic[seen].sum())
+        counts, strong = _telling(F.col(f"yes{n}"), F.col(f"no{n}"), F.lit(all_yes), F.lit(float(seen.sum()) - all_yes))
+        verdicts += [counts.alias(f"counts{n}"), strong.alias(f"strong{n}")]
+    telling = counted.select("feature", *verdicts).where(" or ".join(f"counts{n}" for n in range(len(without))))
+    telling = cut(telling)
+    told = telling.orderBy("feature").toPandas()
+    hits = rows.select("doc_id", F.explode("features").alias("feature")).join(telling.select("feature"), "feature").toArrow()
+    x = Rows(np.searchsorted(named["doc_id"].to_numpy(), hits["doc_id"].to_numpy()), np.searchsorted(told["feature"].to_numpy(), hits["feature"].to_numpy()), len(toxic), len(told))
+    order = np.lexsort((x.column, x.row))
+    x = Rows(x.row[order], x.column[order], x.n, x.width)
+    at = lambda f, what: told[f"{what}{without.index(f)}"].to_numpy(bool)
+    p = chain.fit(x, toxic, fold, lambda f: (at(f, "counts"), at(f, "strong")))
+    chain.feature_of = {int(f): i for i, f in enumerate(told["feature"]) if told["counts0"][i]}
+    chain.width = len(told)
     chain.tune(p[:, -1], toxic)
     return chain
 
@@ -207,7 +229,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> C
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with p_<category> for each category and toxic, from whole texts. A null or empty text has no features.
 
-    The chain is a few thousand numbers at most (MAX_FEATURES for each category) and goes to every task.
+    The chain has a few numbers for each feature that tells toxic rows among at most MAX_ROWS; it goes to every task.
+    Columns of docs that have one of the added names are replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     kept = [f for f in docs.schema.fields if f.name not in {f"p_{c}" for c in chain.categories} | {"toxic"}]
@@ -217,7 +240,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, known = model.value, {}
         feature_of = chain.feature_of
-        for batch in batches:
+        for batch in sliced(batches):
             row, column = [], []
             for n, text in enumerate(batch.column(at).to_pylist()):
                 found: set[int] = set()
@@ -231,13 +254,12 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
                         found.update(hit)
                 row += [n] * len(found)
                 column += sorted(found)
-            x = Rows(np.array(row, int), np.array(column, int), batch.num_rows, len(feature_of))
+            x = Rows(np.array(row, int), np.array(column, int), batch.num_rows, chain.width)
             p = chain.probabilities(x)
             flags = p[:, -1] >= chain.threshold
             names = [f.name for f in kept] + [f"p_{c}" for c in chain.categories] + ["toxic"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in p.T), pa.array(flags)], names)
 
-    small_batches(docs.sparkSession)
     return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
 
 
