@@ -11,14 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, sliced, table
 from .components import components
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
-BANDS = 6
 PIVOTS = 24
+#: Evenly spread fingerprints that a key may have on average; with more of them in all, keys select more.
+FEW = 128
+#: Fingerprints of one key that a task compares at most with as many others.
 BLOCK = 4096
 
 
@@ -58,10 +60,8 @@ def _majority(hashes: np.ndarray) -> np.uint64:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): a row for each document; fp is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = _fingerprints(batch.column(1).to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
@@ -84,15 +84,38 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 2**64, n, np.uint64)
 
 
-def _band_keys(fp: Column, max_bits: int) -> Column:
-    """A key for each choice of BANDS - max_bits bands: two fingerprints that differ in max_bits bits agree on one."""
-    edges = [64 * i // BANDS for i in range(BANDS + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    keys = []
-    for n, chosen in enumerate(combinations(masks, BANDS - max_bits)):
-        mask = sum(chosen)
-        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(n)))
-    return F.array(*keys)
+def bands_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest bands whose keys (agreement on all but max_bits of them) have at most FEW of n fingerprints each."""
+    return next((b for b in range(max_bits + 1, 2 * max_bits) if n >> (64 * (b - max_bits) // b) <= FEW), 2 * max_bits)
+
+
+def _masks(bands: int, max_bits: int) -> list[int]:
+    """The bits of each choice of bands - max_bits bands: two fingerprints within max_bits agree on all those of one."""
+    edges = [64 * i // bands for i in range(bands + 1)]
+    each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(each, bands - max_bits)]
+
+
+def _other_masks(mask: int, max_bits: int) -> list[int]:
+    """The bits outside a mask in max_bits + 1 parts: two fingerprints that agree on the mask agree on one of them, too."""
+    bits = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(bits[i :: max_bits + 1]) for i in range(max_bits + 1)]
+
+
+def _literal(masks: list[int]) -> Column:
+    return F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))
+
+
+def _keyed(fp: Column, masks: Column, *parts: Column) -> Column:
+    """A key of the fingerprint's bits under each of the masks."""
+    return F.transform(masks, lambda m, i: F.xxhash64(fp.bitwiseAND(m), i, *parts))
+
+
+def _with_blocks(keyed: DataFrame, block: int) -> DataFrame:
+    """keyed with `blocks`, the number of blocks of a key of more than `block` fingerprints; 1 for others."""
+    hot = keyed.groupBy("key").count().where(F.col("count") > block)
+    hot = hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    return keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
 
 def _forest(fps: np.ndarray, group: np.ndarray, max_bits: int) -> np.ndarray:
@@ -140,24 +163,28 @@ def _forest(fps: np.ndarray, group: np.ndarray, max_bits: int) -> np.ndarray:
     return out
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, bands: int | None = None) -> DataFrame:
     """(u, v): edges between fingerprints (column fp, distinct) that connect just what lies within max_bits.
 
-    Fingerprints meet where they agree on some choice of bands. A key with more than `block` of them is dealt into
-    blocks and each two of its blocks meet in a group of their own, so no task holds more than two blocks of a key. A
-    group returns a forest, not its pairs.
+    Fingerprints meet where they agree on some choice of bands. Those of a key with more than `block` of them meet only
+    where they also agree on a part of their other bits; a key that is still too frequent is dealt into blocks, each
+    two of which meet in a group of their own. So no task holds more than two blocks, and a group returns a forest,
+    not its pairs. Pivot distances are worked out where fingerprints meet: 24 coordinates are three times what a
+    fingerprint takes in the shuffle.
     """
-    keyed = distinct.select("fp", F.explode(_band_keys(F.col("fp"), max_bits)).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > block)
-    hot = hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    masks = _masks(bands or bands_for(distinct.count(), max_bits), max_bits)
+    keyed = distinct.select("fp", F.posexplode(_keyed(F.col("fp"), _literal(masks))).alias("choice", "key"))
+    coarse = _with_blocks(keyed, block)
+    others = F.get(F.array(*(_literal(_other_masks(m, max_bits)) for m in masks)), F.col("choice"))
+    finer = coarse.where("blocks > 1").select("fp", F.explode(_keyed(F.col("fp"), others, F.col("key"))).alias("key"))
+    dealt = coarse.where("blocks = 1").select("fp", "key", "blocks").unionByName(_with_blocks(finer, block).select("fp", "key", "blocks"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     met = dealt.groupBy("key", F.least("own", "with").alias("b1"), F.greatest("own", "with").alias("b2"))
     met = met.agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             lists = batch.column(0)
             fps = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -168,7 +195,6 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
             signed = fps.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed[tied]), pa.array(signed[to[tied]])], ["u", "v"])
 
-    small_batches(distinct.sparkSession, 2000)
     return met.mapInArrow(run, "u long, v long").distinct()
 
 
