@@ -13,6 +13,7 @@ REFUSAL = "I couldn't find that in %s."
 ANSWER = 'According to the book: "%s" [1]'
 CONTEXT = "A passage about: %s."
 SUMMARY = "This part of the book covers: %s."
+GROUNDED = 'The relevant passage says: "%s" [%d]\n\n%s'
 QA_ANSWER = "According to the passage: %s"
 QUESTIONS = (
     "What does the passage say about %s?",
@@ -59,7 +60,7 @@ def cited(text: Column) -> Column:
 
 
 def location(chapter: Column, section: Column, first: Column, last: Column) -> Column:
-    """A label such as "Chapter Two — The Storm (pp. 12-13)"; a null or 0 page has none."""
+    """A label such as "Harbour — Low Tide (pp. 4-6)"; a null or 0 page has none."""
     name = F.when(section.isNotNull() & (section != chapter), F.concat(chapter, F.lit(" — "), section)).otherwise(chapter)
     pages = F.when(first == last, F.format_string(" (p. %d)", first)).otherwise(F.format_string(" (pp. %d-%d)", first, last))
     return F.when(first > 0, F.concat(name, pages)).otherwise(name)
@@ -77,3 +78,41 @@ def names_chapter(chapter: Column, wanted: Column) -> Column:
     right = F.when(edge(F.substring(need, -1, 1)) == "1", F.lit(r"(?![\p{L}\p{N}_])")).otherwise(F.lit(""))
     quoted = F.concat(F.lit("\\Q"), F.replace(need, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     return (need == "") | F.regexp_like(normalise(chapter), F.concat(left, quoted, right))
+
+
+def wrapped(text: Column, width: int = 88) -> Column:
+    """The lines of a text, filled greedily at word boundaries; a longer word has a line of its own; at least one line."""
+    none = F.array().cast("array<string>")
+    words = F.filter(F.split(collapse(text), " "), lambda w: w != "")
+
+    def step(state: Column, word: Column) -> Column:
+        longer = F.when(state["line"] == "", word).otherwise(F.concat(state["line"], F.lit(" "), word))
+        full = (F.length(longer) > width) & (state["line"] != "")
+        return F.struct(F.when(full, F.concat(state["out"], F.array(state["line"]))).otherwise(state["out"]).alias("out"), F.when(full, word).otherwise(longer).alias("line"))
+
+    start = F.struct(none.alias("out"), F.lit("").alias("line"))
+    done = lambda s: F.when((s["line"] != "") | (F.size(s["out"]) == 0), F.concat(s["out"], F.array(s["line"]))).otherwise(s["out"])
+    return F.aggregate(words, start, step, done)
+
+
+#: Fixed: what may end a line of running text.
+LINE_ENDS = r"[.!?:;\"”]$"
+
+
+def rejoined(text: Column) -> Column:
+    """Lines of a page put together again: a line that ends no sentence goes on with the next; blank lines end one."""
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, rf"{WS}$", ""))
+
+    def step(out: Column, line: Column) -> Column:
+        last, own = F.element_at(out, -1), F.regexp_replace(line, rf"^{WS}", "")
+        goes_on = (F.size(out) > 0) & (F.coalesce(last, F.lit("")) != "") & ~F.coalesce(last, F.lit("")).rlike(LINE_ENDS)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(" "), own)))
+        return F.when(goes_on, joined).otherwise(F.concat(out, F.array(own)))
+
+    out = F.aggregate(lines, F.array().cast("array<string>"), lambda o, x: F.when(F.size(o) == 0, F.array(F.regexp_replace(x, rf"^{WS}", ""))).otherwise(step(o, x)))
+    return F.array_join(F.filter(out, lambda x: x != ""), "\n")
+
+
+def four_places(value: Column) -> Column:
+    """A metric for reports; halves go to the even digit."""
+    return F.bround(value, 4)

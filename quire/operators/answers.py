@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +19,40 @@ def render(position: Column, chapter: Column, section: Column, pages: Column, te
     return F.concat(F.lit("<doc"), attribute("id", position), attribute("chapter", chapter), attribute("section", section), attribute("pages", pages), F.lit(">\n"), text, F.lit("\n</doc>"))
 
 
+def system_prompt(title: str) -> str:
+    return f'Answer questions about "{title}" from the documents only, cite them as [n], and else reply: {X.REFUSAL % title}'
+
+
+def user_prompt(documents: Column, question: Column) -> Column:
+    return F.concat(F.lit("Documents:\n"), documents, F.lit("\n\nQuestion: "), question)
+
+
+#: What stands for a language model: from the system and the user prompt, a column or a pandas UDF with its reply.
+Completion = Callable[[Column, Column], Column]
+
+
 def prompts(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, question, documents, contexts): each question's hits in the order of their rank; none: empty.
 
     A question has at most as many hits as retrieval keeps, so the collected lists are short.
     """
-    named = hits.join(chunks.select("chunk_id", "chapter", "text"), "chunk_id")
-    none = F.lit(None).cast("string")
-    block = render(F.col("rank"), F.col("chapter"), none, none, F.col("text"))
+    named = hits.join(chunks.select("chunk_id", "chapter", "text", *provenance(chunks)), "chunk_id")
+    block = render(F.col("rank"), F.col("chapter"), F.col("section"), F.col("pages"), F.col("text"))
     found = named.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "chapter", "text", block.alias("block")))).alias("contexts"))
     out = questions.join(found, "question_id", "left")
     return out.withColumn("documents", F.coalesce(F.array_join(F.transform("contexts", lambda c: c["block"]), "\n\n"), F.lit("")))
 
 
+def provenance(chunks: DataFrame) -> list[Column]:
+    """section, the innermost heading where it isn't the chapter's, and pages, of chunks that have them; else null."""
+    none = F.lit(None).cast("string")
+    if "heading_path" not in chunks.columns:
+        return [none.alias("section"), none.alias("pages")]
+    inner = F.try_element_at("heading_path", F.lit(-1))
+    pages = F.when(F.col("page_start") == F.col("page_end"), F.col("page_start").cast("string")).otherwise(F.concat_ws("-", "page_start", "page_end"))
+    return [F.when(inner != F.col("chapter"), inner).alias("section"), F.when(F.col("page_start").isNotNull(), pages).alias("pages")]
+
+
 def quote(text: Column, most: int = QUOTE) -> Column:
     """A text in one line, cut at the last space before `most` characters and then with an ellipsis."""
     one = X.collapse(text)
@@ -38,10 +61,14 @@ def quote(text: Column, most: int = QUOTE) -> Column:
     return F.when(F.length(one) > most, F.concat(at_word, F.lit("…"))).otherwise(one)
 
 
-def answer(asked: DataFrame, title: str = "the book") -> DataFrame:
-    """asked (see `prompts`) with text, citations, refused and retrieved chapters, by the deterministic model."""
+def answer(asked: DataFrame, title: str = "the book", complete: Completion | None = None) -> DataFrame:
+    """asked (see `prompts`) with text, citations, refused and retrieved chapters.
+
+    complete: what replies to the prompts; without it, the deterministic model. A question without hits isn't asked.
+    """
     first = F.get("contexts", F.lit(0))["text"]
-    text = F.when(first.isNull(), F.lit(X.REFUSAL % title)).otherwise(X.says(X.ANSWER, quote(first)))
+    said = X.says(X.ANSWER, quote(first)) if complete is None else F.trim(complete(F.lit(system_prompt(title)), user_prompt(F.col("documents"), F.col("question"))))
+    text = F.when(first.isNull(), F.lit(X.REFUSAL % title)).otherwise(said)
     df = asked.withColumn("text", text)
     size = F.coalesce(F.size("contexts"), F.lit(0))
     numbers = F.filter(X.cited(F.col("text")), lambda n: (n >= 1) & (n <= size))
@@ -107,3 +134,37 @@ def deltas(by_variant: DataFrame, baseline: Column) -> DataFrame:
     base = by_variant.where(baseline).select(*(F.col(m).alias(f"base_{m}") for m in METRICS))
     out = by_variant.crossJoin(F.broadcast(base))  # one row
     return out.select("variant", *((F.col(m) - F.col(f"base_{m}")).alias(f"{m}_delta") for m in METRICS))
+
+
+def variants(hits: DataFrame, reranked: DataFrame, sizes: list[int]) -> DataFrame:
+    """(variant, question_id, chunk_id, rank): reranking off and on crossed with the number of hits kept.
+
+    Hits and reranked hits are ranked once; a variant takes the first of them.
+    """
+    kinds = hits.select("question_id", "chunk_id", "rank", F.lit("hybrid").alias("kind"))
+    kinds = kinds.unionByName(reranked.select("question_id", "chunk_id", "rank", F.lit("hybrid+rerank").alias("kind")))
+    k = F.explode(F.array(*(F.lit(n) for n in sizes))).alias("k")
+    return kinds.select("*", k).where("rank <= k").select(F.format_string("%s-k%d", "kind", "k").alias("variant"), "question_id", "chunk_id", "rank")
+
+
+def variant_items(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, gold: DataFrame, title: str = "the book", complete: Completion | None = None) -> DataFrame:
+    """Item results of all variants in one pass: a question of a variant is a question of its own."""
+    names = ranked.select("variant").distinct()
+    own = lambda: F.concat_ws("|", "variant", "question_id")
+    each = questions.crossJoin(F.broadcast(names))  # a few rows, one for each variant
+    asked = each.select(own().alias("question_id"), "question")
+    told = answer(prompts(ranked.select(own().alias("question_id"), "chunk_id", "rank"), chunks, asked), title, complete)
+    expected = gold.crossJoin(F.broadcast(names)).withColumn("question_id", own())
+    return item_results(expected, told).withColumn("variant", F.substring_index("question_id", "|", 1))
+
+
+def compare(items: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(variant, kind, metrics, deltas) of item results per generator; kinds: (variant, kind), one of them "base".
+
+    Deltas are against the first base generator that has results, by name; without one they are null. A generator
+    without results has null metrics.
+    """
+    made = kinds.join(summary(items, "variant"), "variant", "left")
+    base = made.where("kind = 'base' and item_count > 0").orderBy("variant").limit(1).select(*(F.col(m).alias(f"base_{m}") for m in METRICS))
+    out = made.join(F.broadcast(base), F.lit(True), "left")  # one row
+    return out.select("variant", "kind", F.coalesce("item_count", F.lit(0)).alias("item_count"), *METRICS, *((F.col(m) - F.col(f"base_{m}")).alias(f"{m}_delta") for m in METRICS))

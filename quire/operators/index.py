@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators.tables import kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIM, DEPTH, FINAL, RRF_K, POOL = 512, 20, 8, 60, 40
@@ -36,12 +39,16 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(posts: DataFrame, questions: DataFrame, n: int, mean_length: float, k: int = DEPTH) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by BM25 with positive scores; a repeated query token counts again."""
+    """(question_id, chunk_id, score, rank) by BM25 with positive scores; a repeated query token counts again.
+
+    Only the tokens that are asked for get an idf and meet their postings, which filters before anything is shuffled
+    where the questions are few.
+    """
     asked = postings(questions, "question_id", "question").select("question_id", "token", F.col("tf").alias("times"))
-    wanted = posts.join(idf(posts, n), "token").join(asked, "token")
+    weighed = asked.join(idf(posts, n), "token").select("question_id", "token", "times", "idf")
     tf = F.col("tf")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
-    scored = wanted.groupBy("question_id", "chunk_id").agg(F.sum(F.col("times") * weight).alias("score"))
+    scored = posts.join(weighed, "token").groupBy("question_id", "chunk_id").agg(F.sum(F.col("times") * weight).alias("score"))
     return _best(scored.where("score > 0"), k)
 
 
@@ -72,10 +79,69 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = FINAL, rrf_k: i
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, depth: int = DEPTH, k: int = FINAL) -> DataFrame:
-    """Hybrid retrieval of every question over all chunks. Two figures of the index come to the driver."""
-    posts = postings(chunks)
+    """Hybrid retrieval of every question over all chunks, which are best a table that is built (see `kept`).
+
+    Postings are built once; two figures of the index come to the driver.
+    """
+    posts = kept(postings(chunks))
+    n, mean = index_figures(chunks)
+    return fuse(dense(hashed(posts), questions, depth), bm25(posts, questions, n, mean, depth), k)
+
+
+def index_figures(chunks: DataFrame) -> tuple[int, float]:
+    """The number of chunks and their mean length in tokens."""
     n, mean = chunks.agg(F.count(F.lit(1)), F.avg(F.size(X.tokens(F.col("text"))))).first()
-    return fuse(dense(hashed(posts), questions, depth), bm25(posts, questions, n, mean or 1.0, depth), k)
+    return n, mean or 1.0
+
+
+def truncated(vector: Column, dim: int) -> Column:
+    """The first dim components of a vector, as a unit vector again; a shorter vector stays as it is."""
+    head = F.slice(vector, 1, dim)
+    norm = F.sqrt(F.aggregate(head, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(F.size(vector) <= dim, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.transform(head, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))))
+
+
+#: Rows of a block of vectors, and how many blocks of those asked for meet the others at a time.
+BLOCK = 2048
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): for each of asked (query_id, q) the k vectors (vec_id, v) of the largest cosine.
+
+    Blocks of vectors meet blocks of queries as matrices; each pair of blocks gives k rows for a query. Vectors of zeros
+    have the cosine 0. All vectors have one length, and none is null.
+    """
+
+    def blocks(rows: DataFrame, names: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+                    unit = matrix / np.where(norm > 0, norm, 1.0)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column(0).to_numpy(), unit)], names.split())
+
+        return rows.mapInArrow(run, ", ".join(f"{n} binary" for n in names.split()))
+
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks(vectors.select("vec_id", "v"), "ids matrix").withColumn("part", F.pmod(F.hash("ids"), F.lit(parts)))
+    everywhere = blocks(asked.select("query_id", "q"), "queries wanted").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = dealt.join(everywhere, "part").select("ids", "matrix", "queries", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, matrix, queries, wanted = (c[row].as_py() for c in batch.columns)
+                ids, queries = np.frombuffer(ids, np.int64), np.frombuffer(queries, np.int64)
+                scores = np.round(np.frombuffer(wanted).reshape(len(queries), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T, 9)
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                q = np.repeat(np.arange(len(queries)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (queries[q], ids[best.ravel()], scores[q, best.ravel()])], ["query_id", "vec_id", "score"])
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def overlap(question: Column, text: Column) -> Column:
@@ -96,4 +162,13 @@ def rerank(pool: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = FI
 
 
 def metadata(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("book_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.avg("char_count").alias("average_chunk_chars"), F.countDistinct("doc_id").alias("chapter_count"))
+    """A row per book; context_count is the number of chunks that enrichment gave a context."""
+    contexts = F.count(F.col("context") if "context" in chunks.columns else F.lit(None))
+    return chunks.groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("chunk_count"), F.avg("char_count").alias("average_chunk_chars"), F.countDistinct("doc_id").alias("chapter_count"), contexts.alias("context_count")
+    )
+
+
+def index_text(context: Column, text: Column) -> Column:
+    """What is indexed of a chunk: its context, if it has one, before its text."""
+    return F.when(context.isNotNull(), F.concat(context, F.lit("\n\n"), text)).otherwise(text)

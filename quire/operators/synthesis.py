@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
-from quire.operators.answers import render
+from quire.operators.answers import Completion, provenance, render, system_prompt, user_prompt
 from quire.operators.thematic import numbered
 
 SEED, MAX_CHUNKS, PER_CHUNK, DISTRACTORS, NEGATIVE_RATIO = 13, 100, 2, 4, 0.15
 VAL_RATIO = 0.1
+REASONS = ("no_verified_quotes", "too_short", "duplicate_question", "question_echoes_answer")
 MIN_QUOTE, MIN_QUESTION, MIN_ANSWER, ECHO = 15, 12, 20, 0.7
 
 
@@ -29,8 +30,14 @@ def sample_chunks(chunks: DataFrame, n: int = MAX_CHUNKS, seed: int = SEED) -> D
     return chunks.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def replies(chunks: DataFrame, count: int = PER_CHUNK) -> DataFrame:
-    """chunks with reply: what the deterministic model answers to a request for pairs, a JSON array."""
+#: The request for pairs; the reply is a JSON array.
+ASK_PAIRS = "Write %d question-answer pairs about the passage as a JSON array of objects with question, answer and quotes, a list of its own words.\n\nPassage:\n%s"
+
+
+def replies(chunks: DataFrame, count: int = PER_CHUNK, complete: Completion | None = None) -> DataFrame:
+    """chunks with reply, what `complete` answers to a request for pairs: a JSON array; without it, the deterministic model's."""
+    if complete is not None:
+        return chunks.withColumn("reply", complete(F.lit("You write training questions."), F.format_string(ASK_PAIRS, F.lit(count), F.col("text"))))
     one = X.collapse(F.col("text"))
     made = [
         F.struct(X.says(X.QUESTIONS[i % len(X.QUESTIONS)], F.substring(one, 1, 30)).alias("question"), X.says(X.QA_ANSWER, F.substring(one, 1, 60)).alias("answer"), F.array(F.substring(one, 1, 60)).alias("quotes"))
@@ -119,7 +126,7 @@ def raft(kept: DataFrame, chunks: DataFrame, title: str = "the book", k: int = D
     sets = picked.unionByName(golden).groupBy("pair_id").agg(F.sort_array(F.collect_list(context)).alias("c"))
     df = positive.join(sets, "pair_id", "left").withColumn("contexts", F.coalesce(F.transform("c", lambda x: x.dropFields("o")), F.array().cast("array<struct<chunk_id:string,text:string,is_golden:boolean>>")))
     at = F.array_position(F.transform("contexts", lambda x: x["is_golden"]), True).cast("int")
-    says = F.format_string('The relevant passage says: "%s" [%d]\n\n%s', F.coalesce(F.get("verified", F.lit(0)), F.lit("")), at, F.col("answer"))
+    says = F.format_string(X.GROUNDED, F.coalesce(F.get("verified", F.lit(0)), F.lit("")), at, F.col("answer"))
     target = F.when(F.col("answerable"), says).otherwise(F.lit(X.REFUSAL % title))
     return df.select(F.concat("pair_id", F.lit(":raft")).alias("example_id"), "book_id", "question", "answerable", target.alias("answer"), "contexts")
 
@@ -127,17 +134,18 @@ def raft(kept: DataFrame, chunks: DataFrame, title: str = "the book", k: int = D
 def chat(examples: DataFrame, chunks: DataFrame, title: str = "the book") -> DataFrame:
     """(example_id, book_id, question, answerable, messages): each example as system, user and assistant messages.
 
-    A context whose chunk doesn't exist makes an example invalid; `missing_contexts` finds them.
+    A context whose chunk doesn't exist ends the job with an error: without it the numbers cited would be others'.
     """
     one = examples.select("example_id", F.posexplode("contexts").alias("n", "c")).select("example_id", "n", "c.chunk_id")
-    none = F.lit(None).cast("string")
-    named = one.join(chunks.select("chunk_id", "chapter", "text"), "chunk_id")
-    block = render(F.col("n") + 1, F.col("chapter"), none, none, F.col("text"))
+    known = chunks.select("chunk_id", "chapter", "text", F.lit(True).alias("known"), *provenance(chunks))
+    named = one.join(known, "chunk_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no chunk "), F.col("chunk_id"), F.lit(" for a training context: build the examples anew")))
+    block = F.when(F.col("known"), render(F.col("n") + 1, F.col("chapter"), F.col("section"), F.col("pages"), F.col("text"))).otherwise(lost.cast("string"))
     documents = named.groupBy("example_id").agg(F.sort_array(F.collect_list(F.struct("n", block.alias("b")))).alias("d"))
     df = examples.join(documents, "example_id", "left")
     shown = F.coalesce(F.array_join(F.transform("d", lambda x: x["b"]), "\n\n"), F.lit(""))
-    system = F.lit(f'Answer questions about "{title}" from the documents only, cite them as [n], and else reply: {X.REFUSAL % title}')
-    user = F.concat(F.lit("Documents:\n"), shown, F.lit("\n\nQuestion: "), F.col("question"))
+    system = F.lit(system_prompt(title))
+    user = user_prompt(shown, F.col("question"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     messages = F.array(message("system", system), message("user", user), message("assistant", F.col("answer")))
     return df.select("example_id", "book_id", "question", "answerable", messages.alias("messages"))
@@ -171,3 +179,39 @@ def errors(examples: DataFrame, title: str = "the book") -> DataFrame:
         )
     )
     return examples.select("example_id", F.explode(faults).alias("error"))
+
+
+def prompt_hash(title: str = "the book") -> Column:
+    """A digest of the system prompt and the empty user prompt: what training and answering must share."""
+    return X.digest(F.concat(F.lit(system_prompt(title)), F.lit("\n\n"), user_prompt(F.lit(""), F.lit(""))), 40)
+
+
+def set_hash(by: str, key: str, *parts: Column) -> tuple[Column, ...]:
+    """Aggregates of a group of rows: their number and an order-free digest of them.
+
+    Rows' 64-bit hashes are summed without loss, so the digest combines before the shuffle and no task holds a group.
+    """
+    row = F.conv(F.substring(F.md5(F.concat_ws("\u001f", F.col(key), *parts)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.count(F.lit(1)).alias(f"{by}_count"), X.digest(F.concat_ws(":", F.count(F.lit(1)), F.sum(row)), 40).alias(f"{by}_hash")
+
+
+def synthesis_manifest(chunks: DataFrame, sampled: DataFrame, found: DataFrame, examples: DataFrame) -> DataFrame:
+    """(book_id, counts): what a synthesis run saw and made, by book. found: the pairs with their reasons (see `judged`)."""
+    n = F.count(F.lit(1))
+    made = chunks.groupBy("book_id").agg(n.alias("chunk_count")).join(sampled.groupBy("book_id").agg(n.alias("sampled_chunks")), "book_id", "left")
+    rejected = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    made = made.join(found.groupBy("book_id").agg(n.alias("generated_pairs"), F.count_if(F.col("reason").isNull()).alias("kept_pairs"), *rejected), "book_id", "left")
+    yes = F.count_if(F.col("answerable"))
+    made = made.join(examples.groupBy("book_id").agg(n.alias("example_count"), yes.alias("answerable_examples"), (n - yes).alias("unanswerable_examples")), "book_id", "left")
+    return made.na.fill(0)
+
+
+def training_manifest(split_rows: DataFrame, title: str = "the book") -> DataFrame:
+    """(book_id, counts, dataset_hash, prompt_hash) of chat examples with their split."""
+    yes, n = F.count_if(F.col("answerable")), F.count(F.lit(1))
+    count, digest = set_hash("dataset", "example_id", F.col("split"), F.array_join(F.transform("messages", lambda m: m["content"]), "\u001f"))
+    made = split_rows.groupBy("book_id").agg(
+        n.alias("source_count"), F.count_if(F.col("split") == "train").alias("train_count"), F.count_if(F.col("split") == "validation").alias("validation_count"),
+        yes.alias("answerable_count"), (n - yes).alias("unanswerable_count"), digest,
+    )
+    return made.withColumn("prompt_hash", prompt_hash(title))

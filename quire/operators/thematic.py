@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
+#: See `answers.Completion`.
+Completion = Callable[[Column, Column], Column]
+
 WINDOW, MAP_TOP_K, MAX_SOURCE, MAX_SUMMARY, MIN_SUMMARY = 4, 6, 6000, 1200, 10
 #: Document ids in a block of those that are numbered together.
 NUMBERED = 4096
@@ -14,10 +19,33 @@ NUMBERED = 4096
 UNUSABLE = ("i'm sorry", "as an ai", "cannot summarize", "couldn't find")
 
 
-def summarise(source: Column) -> Column:
-    """The deterministic model's summary of a source, cut to its budget; null if it can't be used."""
-    head = F.regexp_replace(F.substring(X.collapse(F.substring(source, 1, MAX_SOURCE)), 1, 160), r"[ .]+$", "")
-    text = F.substring(X.says(X.SUMMARY, head), 1, MAX_SUMMARY)
+#: What is asked of a model for a summary, a partial answer and a final one.
+ASK_SUMMARY = "Summarise this part of the book in at most %d characters.\n\n<source>\n%s\n</source>"
+ASK_MAP = "Answer from the summary only, citing it as [1].\n\n%s\n\nQuestion: %s"
+ASK_REDUCE = "Put the partial answers together into one, citing them as [n].\n\n%s\n\nQuestion: %s"
+PROMPT_VERSION, MODEL = "1", "deterministic"
+
+
+def summary_key(node_id: Column, source: Column, model: str = MODEL) -> Column:
+    """What identifies a summary in the cache: prompt version, model, node, budgets and the source that is sent."""
+    parts = [F.lit(PROMPT_VERSION), F.lit(model), node_id, F.lit(str(MAX_SOURCE)), F.lit(str(MAX_SUMMARY)), F.substring(source, 1, MAX_SOURCE)]
+    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+
+
+def node_documents(nodes: Column, body: Callable[[Column], Column]) -> Column:
+    """An array of nodes (node_id, level, title) as document blocks with their provenance, numbered from 1."""
+    block = lambda x, i: F.format_string('<doc id="%d" node="%s" level="%d" title="%s">\n%s\n</doc>', i + 1, x["node_id"], x["level"], x["title"], F.coalesce(body(x), F.lit("")))
+    return F.array_join(F.transform(nodes, block), "\n\n")
+
+
+def summarise(source: Column, complete: Completion | None = None) -> Column:
+    """A summary of a source, cut to its budget; null if it can't be used. Without `complete`, the deterministic model's."""
+    if complete is None:
+        head = F.regexp_replace(F.substring(X.collapse(F.substring(source, 1, MAX_SOURCE)), 1, 160), r"[ .]+$", "")
+        said = X.says(X.SUMMARY, head)
+    else:
+        said = F.trim(complete(F.lit("You summarise books."), F.format_string(ASK_SUMMARY, F.lit(MAX_SUMMARY), F.substring(source, 1, MAX_SOURCE))))
+    text = F.regexp_replace(F.substring(said, 1, MAX_SUMMARY), r"\s+$", "")
     bad = F.lit(False)
     for marker in UNUSABLE:
         bad = bad | F.contains(F.lower(text), F.lit(marker))
@@ -110,3 +138,67 @@ def cached(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of wanted by key: the last entry of a key in the cache (key, pos, value) counts."""
     latest = cache.groupBy("key").agg(F.max_by("value", "pos").alias("value"))
     return wanted.join(latest, "key"), wanted.join(latest, "key", "left_anti")
+
+
+def with_cache(nodes: DataFrame, cache: DataFrame | None, complete: Completion | None = None, model: str = MODEL) -> DataFrame:
+    """nodes (node_id, source) with summary, key and made: "reused" from the cache, "generated", or "failed".
+
+    Only what the cache lacks is summarised. A null in made-up summaries is a failure and isn't kept.
+    """
+    keyed = nodes.withColumn("key", summary_key(F.col("node_id"), F.col("source"), model))
+    if cache is None:
+        hits, misses = keyed.limit(0).withColumn("value", F.lit(None).cast("string")), keyed
+    else:
+        hits, misses = cached(keyed, cache)
+    fresh = misses.withColumn("summary", summarise(F.col("source"), complete))
+    fresh = fresh.withColumn("made", F.when(F.col("summary").isNull(), "failed").otherwise("generated"))
+    return fresh.unionByName(hits.withColumnRenamed("value", "summary").withColumn("made", F.lit("reused")))
+
+
+def chapter_sources(chunks: DataFrame) -> DataFrame:
+    """(book_id, doc_id, chapter, source): the leading text of each chapter, as much as a summary is made from."""
+    part = F.struct("ordinal", F.substring("text", 1, MAX_SOURCE).alias("t"))
+    listed = chunks.groupBy("book_id", "doc_id", "chapter").agg(F.sort_array(F.collect_list(part)).alias("c"))
+    return listed.select("book_id", "doc_id", "chapter", F.substring(F.array_join(F.transform("c", lambda x: x["t"]), "\n\n"), 1, MAX_SOURCE).alias("source"))
+
+
+def tree_manifest(nodes: DataFrame) -> DataFrame:
+    """(book_id, counts by level and by how summaries were made); a book none of whose chapters has a summary is an error.
+
+    nodes: of a tree, with a column made (see `with_cache`) or without.
+    """
+    made = F.col("made") if "made" in nodes.columns else F.when(F.col("summary").isNull(), "failed").otherwise("generated")
+    level = lambda n: F.count_if(F.col("level") == n)
+    out = nodes.withColumn("_made", made).groupBy("book_id").agg(
+        level(1).alias("chapter_count"), level(2).alias("window_count"), F.count(F.lit(1)).alias("node_count"),
+        *(F.count_if(F.col("_made") == m).alias(f"{m}_summaries") for m in ("generated", "reused", "failed")),
+        F.count_if((F.col("level") == 1) & F.col("summary").isNotNull()).alias("_told"),
+    )
+    failed = F.raise_error(F.concat(F.lit("no chapter could be summarised: "), F.col("book_id")))
+    return out.withColumn("node_count", F.when(F.col("_told") > 0, F.col("node_count")).otherwise(failed.cast("long"))).drop("_told")
+
+
+#: Fixed: an excerpt's length, a context's, and the beginnings of replies that are no context.
+MAX_EXCERPT, MAX_CONTEXT = 6000, 500
+ASK_CONTEXT = "Say in one sentence where this passage stands in its chapter.\n\nChapter:\n%s\n\nPassage:\n%s"
+
+
+def enriched(chunks: DataFrame, excerpts: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
+    """chunks with context: what the cache (chunk_id, context) has, else a sentence on the chapter, null where it can't be used.
+
+    excerpts: (book_id, chapter, excerpt), one row for each chapter; a chunk of another chapter gets none.
+    """
+    rows = chunks.join(excerpts.select("book_id", "chapter", F.substring("excerpt", 1, MAX_EXCERPT).alias("excerpt")), ["book_id", "chapter"], "left")
+    known = cache.groupBy("chunk_id").agg(F.max("context").alias("_known")) if cache is not None else None
+    rows = rows.withColumn("_known", F.lit(None).cast("string")) if known is None else rows.join(known, "chunk_id", "left")
+    if complete is None:
+        head = F.regexp_replace(F.substring(X.collapse(F.col("excerpt")), 1, 80), r"[ .]+$", "")
+        said = X.says(X.CONTEXT, head)
+    else:
+        said = F.trim(complete(F.lit("You place passages."), F.format_string(ASK_CONTEXT, "excerpt", "text")))
+    said = F.regexp_replace(F.substring(said, 1, MAX_CONTEXT), r"\s+$", "")
+    bad = F.lit(False)
+    for marker in UNUSABLE:
+        bad = bad | F.contains(F.lower(said), F.lit(marker))
+    fresh = F.when(F.col("excerpt").isNotNull() & (said != "") & ~bad, said)
+    return rows.withColumn("context", F.coalesce("_known", fresh)).drop("_known", "excerpt")

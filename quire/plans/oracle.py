@@ -191,7 +191,7 @@ ORACLE_SQL = {
     "bm25_topk": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM sparse",
     "dense_topk_hash": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM dense",
     "hybrid_rrf": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 9) AS score FROM hits",
-    "rrf_chapter_filter": f"WITH {_HITS} SELECT question_id, chunk_id, rank FROM hits JOIN chunks USING (chunk_id) WHERE chapter = 'doc-' || question_id",
+    "rrf_chapter_filter": f"WITH {_HITS}, {_GOLDEN} SELECT question_id, chunk_id, rank FROM hits JOIN chunks USING (chunk_id) JOIN golden USING (question_id) WHERE chapter = expected[1]",
     "reranked_topk": f"""WITH {_HITS.replace("QUALIFY rank <= 8", "QUALIFY rank <= 40")}, scored AS (
           SELECT question_id, chunk_id, rank AS was, coalesce(len(list_intersect({_TOKENS("b.text")}, {_TOKENS("c.text")}))::DOUBLE / nullif(len(list_distinct({_TOKENS("b.text")})), 0), 0) AS score
           FROM hits JOIN chunks c USING (chunk_id) JOIN benchmark b ON item_id = question_id)
@@ -204,7 +204,7 @@ ORACLE_SQL = {
         "nullif(" + _ONE(f"regexp_replace(regexp_extract(html, '(?is)<h{n}(?:\\s[^>]*)?>(.*?)</h{n}>', 1), '<[^>]*>', '', 'g')") + ", '')" for n in (1, 2, 3)
     ) + ", regexp_replace(regexp_extract(url, '([^/.?#]*)[^/]*$', 1), '[-_]+', ' ', 'g')) AS heading FROM pages",
     "label_topk": """
-        WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5 AND v.label = 3)
+        WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.label = 3)
         SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
     "cited_answers": f"WITH {_ANSWERS} SELECT question_id, text, array_to_string(citations, ',') AS citations, refused, md5(documents) AS prompt_md5 FROM finished WHERE k = 8",
     "golden_items": f"WITH {_GOLDEN} SELECT question_id, answerable, array_to_string(expected, ',') AS expected_chapters FROM golden",

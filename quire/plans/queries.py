@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import answers, chunking, index, synthesis, thematic
+from quire.operators.tables import kept
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.of_documents(_docs(spark, sf_dir))
+    """The chunks of all documents, built once for whatever a query does with them."""
+    return kept(chunking.of_documents(_docs(spark, sf_dir)))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,16 +46,17 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = chunking.with_offsets(chunking.line_pieces(_docs(spark, sf_dir)))
+    pieces = chunking.pieces_with_offsets(chunking.document_chapters(_docs(spark, sf_dir)))
     return pieces.select("book_id", "doc_id", "piece", "char_start", "char_end")
 
 
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("chunk_id", "book_id", "doc_id", "ordinal", "char_start", "char_end", "char_count")
+    return chunking.of_documents(_docs(spark, sf_dir)).select("chunk_id", "book_id", "doc_id", "ordinal", "char_start", "char_end", "char_count")
 
 
 def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.metadata(_chunks(spark, sf_dir)).withColumn("average_chunk_chars", F.round("average_chunk_chars", 6))
+    made = index.metadata(chunking.of_documents(_docs(spark, sf_dir)))
+    return made.withColumn("average_chunk_chars", F.round("average_chunk_chars", 6)).drop("context_count")
 
 
 def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +66,7 @@ def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    n, mean = chunks.agg(F.count(F.lit(1)), F.avg(F.size(X.tokens(F.col("text"))))).first()
-    hits = index.bm25(index.postings(chunks), _questions(spark, sf_dir), n, mean or 1.0)
+    hits = index.bm25(kept(index.postings(chunks)), _questions(spark, sf_dir), *index.index_figures(chunks))
     return hits.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -79,11 +81,12 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_chapter_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits in chapters named doc-<the question's number>; ranks are those before the filter."""
-    chunks = _chunks(spark, sf_dir)
-    hits = index.retrieve(chunks, _questions(spark, sf_dir)).join(chunks.select("chunk_id", "chapter"), "chunk_id")
-    wanted = F.concat(F.lit("  DOC-"), F.col("question_id"))
-    return hits.where(X.names_chapter(F.col("chapter"), wanted)).select("question_id", "chunk_id", "rank")
+    """The hits in the first chapter that contains the question; ranks are those before the filter."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    hits = index.retrieve(chunks, questions).join(chunks.select("chunk_id", "chapter"), "chunk_id")
+    wanted = answers.golden(questions, _docs(spark, sf_dir)).where("answerable")
+    wanted = wanted.select("question_id", F.concat(F.lit("  "), F.upper(F.get("expected_chapters", F.lit(0)))).alias("wanted"))
+    return hits.join(wanted, "question_id").where(X.names_chapter(F.col("chapter"), F.col("wanted"))).select("question_id", "chunk_id", "rank")
 
 
 def reranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +97,11 @@ def reranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of label 3 to the first five vectors, by cosine; the filter goes to the scan."""
-    vectors = _table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot("q", "embedding") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("embedding", "embedding")))
-    scored = vectors.where("label = 3").crossJoin(F.broadcast(asked)).withColumn("score", cosine)  # five rows
-    order = index.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    """The ten nearest vectors of label 3, by cosine, to each vector whose id is divisible by 100; the filter goes to the scan."""
+    vectors = _table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    hits = index.nearest(vectors.where("label = 3").select("vec_id", F.col("embedding").alias("v")), asked, 10)
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _answers(spark: SparkSession, sf_dir: str, k: int = index.FINAL) -> DataFrame:
@@ -216,9 +216,8 @@ def summary_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapter_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chapter as Markdown: its title, then its blocks."""
-    blocks = F.sort_array(F.collect_list(F.struct("piece", "text")))
-    pieces = chunking.line_pieces(_docs(spark, sf_dir)).groupBy("book_id", "doc_id", "chapter").agg(blocks.alias("b"))
-    body = F.array_join(F.transform("b", lambda x: x["text"]), "\n\n")
+    pieces = chunking.document_chapters(_docs(spark, sf_dir)).where(F.size("pieces") > 0)
+    body = F.array_join(F.transform("pieces", lambda x: x["text"]), "\n\n")
     return pieces.select("book_id", "doc_id", F.concat(F.lit("## "), "chapter", F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))
 
 
