@@ -100,7 +100,7 @@ LINE_ENDS = r"[.!?:;\"”]$"
 
 
 def rejoined(text: Column) -> Column:
-    """Lines of a page put together again: a line that ends no sentence goes on with the next; blank lines end one."""
+    """Lines of a page put together again: a line that ends no sentence goes on with the next, over blank ones, too."""
     lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, rf"{WS}$", ""))
 
     def step(out: Column, line: Column) -> Column:

@@ -44,7 +44,7 @@ def document_chapters(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     A document is a chapter of the book that its source names. A chapter is one row all along.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda line: line != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda line: line != "")
     parts = F.flatten(F.transform(lines, lambda line: split_long(line, most)))
     plain = lambda t: _piece(t, F.lit(False), F.array().cast("array<string>"), F.lit(None).cast("int"))
     return docs.select(F.col("source").alias("book_id"), "doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("chapter"), F.transform(parts, plain).alias("pieces"))
@@ -93,7 +93,7 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
 def block_chapters(blocks: DataFrame, most: int = MOST) -> DataFrame:
     """(book_id, doc_id, chapter, pieces) from blocks with chapters: chapter_no becomes doc_id; a page column is optional."""
     page = F.col("page").cast("int") if "page" in blocks.columns else F.lit(None).cast("int")
-    df = heading_paths(blocks).withColumn("_page", page).where(X.collapse(F.col("text")) != "")
+    df = heading_paths(blocks.where("type <> 'error'")).withColumn("_page", page).where(X.collapse(F.col("text")) != "")
     heading = (F.col("type") == "heading") & F.col("level").isNotNull()
     parts = F.transform(split_long(F.regexp_replace("text", _STRIP, ""), most), lambda t: _piece(t, heading, F.col("heading_path"), F.col("_page")))
     listed = F.sort_array(F.collect_list(F.struct("block_no", parts.alias("parts"))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators.tables import kept
 
 #: See `answers.Completion`.
 Completion = Callable[[Column, Column], Column]
@@ -66,45 +67,48 @@ def numbered(rows: DataFrame, block: Column, *order: str) -> DataFrame:
     return joined.withColumn("n", (F.col("_own") + F.col("_offset")).cast("int")).drop("block", "_book", "_block", "_own", "_offset")
 
 
-def chapters(chunks: DataFrame) -> DataFrame:
-    """Level 1: (node_id, book_id, level, n, title, children, chunk_ids, summary), one for each chapter."""
+def chapters(chunks: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
+    """Level 1: (node_id, book_id, level, n, title, children, chunk_ids, source, summary, made), one for each chapter."""
     by = chunks.groupBy("book_id", "doc_id", "chapter").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", "text"))).alias("c"))
     thin = numbered(chunks.select("book_id", "doc_id", "chapter").distinct(), F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
     thin = thin.select("n", *(F.col(c).alias(f"_{c}") for c in ("book_id", "doc_id", "chapter")))
     same = F.lit(True)
     for c in ("book_id", "doc_id", "chapter"):
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    source = F.array_join(F.transform("c", lambda x: x["text"]), "\n\n")
-    df = by.join(thin, same).select("book_id", "chapter", "n", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), summarise(source).alias("summary"))
-    return df.select(F.format_string("%s:chapter:%d", "book_id", "n").alias("node_id"), "book_id", F.lit(1).alias("level"), "n", F.col("chapter").alias("title"), F.array().cast("array<string>").alias("children"), "chunk_ids", "summary")
+    source = F.substring(F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"), 1, MAX_SOURCE)
+    df = by.join(thin, same).select(F.format_string("%s:chapter:%d", "book_id", "n").alias("node_id"), "book_id", F.lit(1).alias("level"), "n", F.col("chapter").alias("title"), F.array().cast("array<string>").alias("children"), F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), source.alias("source"))
+    return told(df, cache, complete)
 
 
 def _parents(nodes: DataFrame, *by: Column) -> DataFrame:
     part = F.struct("n", "node_id", "title", "chunk_ids", "summary")
     df = nodes.groupBy("book_id", *by).agg(F.sort_array(F.collect_list(part)).alias("c"))
-    told = F.filter("c", lambda x: x["summary"].isNotNull())
-    source = F.array_join(F.transform(told, lambda x: F.concat(x["title"], F.lit(": "), x["summary"])), "\n\n")
-    return df.withColumns({"children": F.transform("c", lambda x: x["node_id"]), "chunk_ids": F.flatten(F.transform("c", lambda x: x["chunk_ids"])), "summary": summarise(source), "lo": F.get("c", F.lit(0))["n"], "hi": F.element_at("c", -1)["n"]})
+    with_summary = F.filter("c", lambda x: x["summary"].isNotNull())
+    source = F.array_join(F.transform(with_summary, lambda x: F.concat(x["title"], F.lit(": "), x["summary"])), "\n\n")
+    return df.withColumns({"children": F.transform("c", lambda x: x["node_id"]), "chunk_ids": F.flatten(F.transform("c", lambda x: x["chunk_ids"])), "source": F.substring(source, 1, MAX_SOURCE), "lo": F.get("c", F.lit(0))["n"], "hi": F.element_at("c", -1)["n"]})
 
 
-def windows(level1: DataFrame, size: int = WINDOW) -> DataFrame:
+def windows(level1: DataFrame, size: int = WINDOW, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
     """Level 2: runs of `size` chapters, only in books with more of them than that."""
-    many = level1.withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("book_id"))).where(F.col("all") > size)
-    df = _parents(many, F.floor((F.col("n") - 1) / size).alias("w"))
-    return df.select(F.format_string("%s:window:%d-%d", "book_id", "lo", "hi").alias("node_id"), "book_id", F.lit(2).alias("level"), F.col("lo").alias("n"), F.format_string("Chapters %d-%d", "lo", "hi").alias("title"), "children", "chunk_ids", "summary")
+    counts = level1.groupBy(F.col("book_id").alias("_b")).agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > size)
+    df = _parents(level1.join(counts, F.col("book_id").eqNullSafe(F.col("_b"))), F.floor((F.col("n") - 1) / size).alias("w"))
+    df = df.select(F.format_string("%s:window:%d-%d", "book_id", "lo", "hi").alias("node_id"), "book_id", F.lit(2).alias("level"), F.col("lo").alias("n"), F.format_string("Chapters %d-%d", "lo", "hi").alias("title"), "children", "chunk_ids", "source")
+    return told(df, cache, complete)
 
 
-def roots(level1: DataFrame, level2: DataFrame) -> DataFrame:
+def roots(level1: DataFrame, level2: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
     """Level 3: a book over its windows, or over its chapters if it has none."""
     small = level1.join(level2.select("book_id").distinct(), "book_id", "left_anti")
     df = _parents(small.unionByName(level2))
-    return df.select(F.concat("book_id", F.lit(":root")).alias("node_id"), "book_id", F.lit(3).alias("level"), F.lit(1).alias("n"), F.col("book_id").alias("title"), "children", "chunk_ids", "summary")
+    df = df.select(F.concat("book_id", F.lit(":root")).alias("node_id"), "book_id", F.lit(3).alias("level"), F.lit(1).alias("n"), F.col("book_id").alias("title"), "children", "chunk_ids", "source")
+    return told(df, cache, complete)
 
 
-def tree(chunks: DataFrame, size: int = WINDOW) -> DataFrame:
-    one = chapters(chunks)
-    two = windows(one, size)
-    return one.unionByName(two).unionByName(roots(one, two))
+def tree(chunks: DataFrame, size: int = WINDOW, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
+    """The nodes of all books' trees; each level is built once. cache: (key, pos, value), see `cached`."""
+    one = kept(chapters(chunks, cache, complete))
+    two = kept(windows(one, size, cache, complete))
+    return one.unionByName(two).unionByName(roots(one, two, cache, complete))
 
 
 def tree_hash(nodes: DataFrame) -> DataFrame:
@@ -140,19 +144,24 @@ def cached(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wanted.join(latest, "key"), wanted.join(latest, "key", "left_anti")
 
 
-def with_cache(nodes: DataFrame, cache: DataFrame | None, complete: Completion | None = None, model: str = MODEL) -> DataFrame:
-    """nodes (node_id, source) with summary, key and made: "reused" from the cache, "generated", or "failed".
+def told(nodes: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None, model: str = MODEL) -> DataFrame:
+    """nodes (node_id, source) with summary and made: "reused" from the cache (key, pos, value), "generated", or "failed".
 
-    Only what the cache lacks is summarised. A null in made-up summaries is a failure and isn't kept.
+    Only what the cache lacks is summarised.
     """
-    keyed = nodes.withColumn("key", summary_key(F.col("node_id"), F.col("source"), model))
     if cache is None:
-        hits, misses = keyed.limit(0).withColumn("value", F.lit(None).cast("string")), keyed
+        hits, misses = None, nodes
     else:
-        hits, misses = cached(keyed, cache)
+        hits, misses = cached(nodes.withColumn("key", summary_key(F.col("node_id"), F.col("source"), model)), cache)
+        hits, misses = hits.withColumnRenamed("value", "summary").withColumn("made", F.lit("reused")).drop("key"), misses.drop("key")
     fresh = misses.withColumn("summary", summarise(F.col("source"), complete))
     fresh = fresh.withColumn("made", F.when(F.col("summary").isNull(), "failed").otherwise("generated"))
-    return fresh.unionByName(hits.withColumnRenamed("value", "summary").withColumn("made", F.lit("reused")))
+    return fresh if hits is None else fresh.unionByName(hits)
+
+
+def cache_entries(nodes: DataFrame, model: str = MODEL) -> DataFrame:
+    """(key, pos, value) of nodes with source, summary and made, for the cache: what was generated anew."""
+    return nodes.where("made = 'generated'").select(summary_key(F.col("node_id"), F.col("source"), model).alias("key"), F.unix_micros(F.current_timestamp()).alias("pos"), F.col("summary").alias("value"))
 
 
 def chapter_sources(chunks: DataFrame) -> DataFrame:
@@ -165,13 +174,12 @@ def chapter_sources(chunks: DataFrame) -> DataFrame:
 def tree_manifest(nodes: DataFrame) -> DataFrame:
     """(book_id, counts by level and by how summaries were made); a book none of whose chapters has a summary is an error.
 
-    nodes: of a tree, with a column made (see `with_cache`) or without.
+    nodes: of a tree (see `told`).
     """
-    made = F.col("made") if "made" in nodes.columns else F.when(F.col("summary").isNull(), "failed").otherwise("generated")
     level = lambda n: F.count_if(F.col("level") == n)
-    out = nodes.withColumn("_made", made).groupBy("book_id").agg(
+    out = nodes.groupBy("book_id").agg(
         level(1).alias("chapter_count"), level(2).alias("window_count"), F.count(F.lit(1)).alias("node_count"),
-        *(F.count_if(F.col("_made") == m).alias(f"{m}_summaries") for m in ("generated", "reused", "failed")),
+        *(F.count_if(F.col("made") == m).alias(f"{m}_summaries") for m in ("generated", "reused", "failed")),
         F.count_if((F.col("level") == 1) & F.col("summary").isNotNull()).alias("_told"),
     )
     failed = F.raise_error(F.concat(F.lit("no chapter could be summarised: "), F.col("book_id")))

@@ -111,7 +111,7 @@ ctx AS (
          string_agg('<doc id="' || rank || '" chapter="' || chapter || '">' || chr(10) || text || chr(10) || '</doc>', chr(10) || chr(10) ORDER BY rank) AS documents
   FROM hits JOIN chunks USING (chunk_id) JOIN ks ON rank <= k GROUP BY ALL
 ), said AS (
-  SELECT k, item_id AS question_id, b.text AS question, coalesce(documents, '') AS documents, coalesce(chapters, []) AS chapters, len(t) AS n, {_ONE("t[1]")} AS one
+  SELECT k, item_id AS question_id, b.text AS question, t[1] AS first, coalesce(documents, '') AS documents, coalesce(chapters, []) AS chapters, len(t) AS n, {_ONE("t[1]")} AS one
   FROM benchmark b CROSS JOIN ks LEFT JOIN ctx USING (k) WHERE ctx.question_id IS NULL OR ctx.question_id = item_id
 ), answers AS (
   SELECT *, CASE WHEN one IS NULL THEN 'I couldn''t find that in the book.'
@@ -163,6 +163,54 @@ judged AS (
   FROM judged
 )"""
 
+_RAFT = f"""{_PAIRS},
+kept AS (SELECT * FROM reasoned WHERE reason IS NULL),
+ring AS (SELECT book_id, chunk_id, row_number() OVER (PARTITION BY book_id ORDER BY md5('13|' || chunk_id), chunk_id) - 1 AS place, count(*) OVER (PARTITION BY book_id) AS n FROM chunks),
+picked AS (
+  SELECT pair_id, ring.chunk_id, false AS is_golden
+  FROM (SELECT pair_id, book_id, chunk_id AS golden, ('0x' || substr(md5('13|' || pair_id), 1, 8))::BIGINT AS b, u.step
+        FROM kept, unnest(range(0, 5)) AS u(step)) k
+  JOIN ring ON ring.book_id = k.book_id AND ring.place = (b + step) % n
+  WHERE step < n AND ring.chunk_id <> golden
+  QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY step) <= 4
+), drawn AS (SELECT *, ('0x' || substr(md5('coin|13|' || pair_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.15::DOUBLE AS answerable FROM kept),
+contexts AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY md5('13|' || pair_id || '|' || chunk_id), chunk_id) AS at_
+  FROM (SELECT * FROM picked UNION ALL SELECT pair_id, chunk_id, true FROM drawn WHERE answerable)
+), shown AS (
+  SELECT pair_id, count(*)::INT AS n_contexts, count(*) FILTER (is_golden)::INT AS n_golden, max(CASE WHEN is_golden THEN at_ END) AS golden_at,
+         string_agg('<doc id="' || at_ || '" chapter="' || chapter || '">' || chr(10) || text || chr(10) || '</doc>', chr(10) || chr(10) ORDER BY at_) AS documents
+  FROM contexts JOIN chunks USING (chunk_id) GROUP BY pair_id
+), raft AS (
+  SELECT pair_id || ':raft' AS example_id, book_id, question, answerable, coalesce(n_contexts, 0) AS n_contexts, coalesce(n_golden, 0) AS n_golden, golden_at, coalesce(documents, '') AS documents,
+         CASE WHEN answerable THEN 'The relevant passage says: "' || quote || '" [' || golden_at || ']' || chr(10) || chr(10) || answer ELSE 'I couldn''t find that in the book.' END AS target
+  FROM drawn LEFT JOIN shown USING (pair_id)
+), split AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY book_id ORDER BY md5('13|' || example_id), example_id) <= least(greatest(1, floor(count(*) OVER (PARTITION BY book_id) * 0.1)), count(*) OVER (PARTITION BY book_id))
+                 THEN 'validation' ELSE 'train' END AS split
+  FROM raft
+)"""
+
+_SYSTEM = "'Answer questions about \"the book\" from the documents only, cite them as [n], and else reply: I couldn''t find that in the book.'"
+
+_OUTLINE = f"""
+b AS (
+  SELECT 'doc-' || doc_id AS book_id, (u.n - 1)::INT AS block_no, trim(u.line) AS text, CASE WHEN length(trim(u.line)) <= 60 THEN length(trim(u.line)) % 3 + 1 END AS level
+  FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents) d, unnest(l) WITH ORDINALITY AS u(line, n) WHERE trim(u.line) <> ''
+), leveled AS (
+  SELECT *, CASE WHEN bool_or(coalesce(level = 1, false)) OVER p THEN 1 WHEN bool_or(coalesce(level = 2, false)) OVER p THEN 2 ELSE 0 END AS brk FROM b WINDOW p AS (PARTITION BY book_id)
+), opened AS (
+  SELECT *, coalesce(level = brk, false) AS breaks, sum(coalesce(level = brk, false)::INT) OVER w AS no, coalesce(last_value(CASE WHEN level = brk THEN text END IGNORE NULLS) OVER w, 'Untitled') AS chapter
+  FROM leveled WINDOW w AS (PARTITION BY book_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), inside AS (SELECT *, row_number() OVER (PARTITION BY book_id, no ORDER BY block_no) AS rn FROM opened WHERE NOT breaks),
+outline AS (
+  SELECT *, dense_rank() OVER (PARTITION BY book_id ORDER BY no)::INT AS chapter_no FROM inside
+  WHERE NOT (level IS NOT NULL AND rn = 1 AND lower({_ONE("text")}) = lower({_ONE("chapter")}))
+), last AS (
+  SELECT *, {", ".join(f"last_value(CASE WHEN level = {n} THEN text END IGNORE NULLS) OVER w AS t{n}, coalesce(max(CASE WHEN level = {n} THEN block_no END) OVER w, -1) AS p{n}" for n in (1, 2, 3))}
+  FROM outline WINDOW w AS (PARTITION BY book_id, chapter_no ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""
+
 _TREE = f"""{_CHUNKS},
 level1 AS (
   SELECT book_id, chapter AS title, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS n, count(*) AS n_chunks,
@@ -180,7 +228,73 @@ nodes3 AS (
   FROM below GROUP BY book_id
 ), nodes AS (SELECT * FROM nodes1 UNION ALL SELECT * FROM nodes2 UNION ALL SELECT * FROM nodes3)"""
 
+_MATRIX_HITS = f"""{_HITS.replace("QUALIFY rank <= 8", "QUALIFY rank <= 40")}, shared AS (
+  SELECT question_id, chunk_id, rank AS was, coalesce(len(list_intersect({_TOKENS("b.text")}, {_TOKENS("c.text")}))::DOUBLE / nullif(len(list_distinct({_TOKENS("b.text")})), 0), 0) AS score
+  FROM hits JOIN chunks c USING (chunk_id) JOIN benchmark b ON item_id = question_id
+), ranked AS (
+  SELECT kind || '-k' || v.n AS k, question_id, chunk_id, rank
+  FROM (SELECT 'hybrid' AS kind, question_id, chunk_id, rank FROM hits
+        UNION ALL SELECT 'hybrid+rerank', question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, was) FROM shared QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, was) <= 8) r
+  JOIN (VALUES (4), (8)) AS v(n) ON rank <= v.n
+)"""
+_MATRIX = (
+    _ITEMS.replace(_HITS, _MATRIX_HITS)
+    .replace("ks AS (SELECT * FROM (VALUES (8), (4)) AS v(k))", "ks AS (SELECT DISTINCT k FROM ranked)")
+    .replace("FROM hits JOIN chunks USING (chunk_id) JOIN ks ON rank <= k GROUP BY ALL", "FROM ranked JOIN chunks USING (chunk_id) GROUP BY ALL")
+    .replace("'top' || k AS variant", "k AS variant")
+)
+_PLAIN = "'According to the book: \"' || CASE WHEN length(one) > 240 THEN regexp_replace(substr(one, 1, 240), ' [^ ]*$', '') || '…' ELSE one END || '\" [1]'"
+_GENERATED = _ITEMS.replace("(VALUES (8), (4))", "(VALUES (8))")
+_BRIEF = _GENERATED.replace(_PLAIN, "trim('In the book: ' || substr(split_part(first, chr(10), 1), 1, 60) || ' [1]')")
+_COUNTS = "item_count, answerable_count, unanswerable_count, round(unanswerable_refusal_rate, 6) AS unanswerable_refusal_rate"
+
 ORACLE_SQL = {
+    "ablation_matrix": f"WITH {_MATRIX} SELECT variant, {_COUNTS}, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM metrics",
+    "generator_comparison": f"""
+        WITH made AS (SELECT 'plain' AS variant, * EXCLUDE (variant) FROM (WITH {_GENERATED} SELECT * FROM metrics) UNION ALL SELECT 'brief', * EXCLUDE (variant) FROM (WITH {_BRIEF} SELECT * FROM metrics)),
+        kinds AS (SELECT * FROM (VALUES ('plain', 'base'), ('brief', 'adapter'), ('absent', 'file')) AS v(variant, kind))
+        SELECT variant, kind, coalesce(m.item_count, 0) AS item_count, {', '.join(f'round(m.{x}, 6) AS {x}, round(m.{x} - b.{x}, 6) AS {x}_delta' for x in _METRICS)}
+        FROM kinds LEFT JOIN made m USING (variant), (SELECT * FROM made WHERE variant = 'plain') b""",
+    "conversation_errors": """
+        WITH c AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS t FROM conversations GROUP BY conv_id), d AS (
+          SELECT conv_id % 2 = 0 AS answerable, t, t[-1] AS target, len(string_split(t[2], '<doc ')) - 1 AS n_docs, list_transform(regexp_extract_all(t[-1], '\\[([0-9]{1,3})\\]', 1), lambda x: x::INT) AS cites FROM c)
+        SELECT error, count(*) AS n FROM (
+          SELECT 'blank content' AS error FROM d WHERE len(list_filter(t, lambda x: trim(x) = '')) > 0
+          UNION ALL SELECT 'no documents' FROM d WHERE n_docs = 0
+          UNION ALL SELECT 'bad citations' FROM d WHERE answerable AND (len(cites) = 0 OR len(list_filter(cites, lambda x: x < 1 OR x > n_docs)) > 0)
+          UNION ALL SELECT 'not the refusal' FROM d WHERE NOT answerable AND target <> 'I couldn''t find that in the book.') GROUP BY error""",
+    "raft_examples": f"WITH {_RAFT} SELECT example_id, book_id, answerable, target AS answer, n_contexts, n_golden FROM raft",
+    "chat_split": f"WITH {_RAFT} SELECT example_id, split, answerable, 3 AS n_messages FROM split",
+    "chat_errors": f"WITH {_RAFT} SELECT example_id, CASE WHEN n_contexts = 0 THEN 'no documents' ELSE 'bad citations' END AS error FROM raft WHERE n_contexts = 0 OR (answerable AND (golden_at IS NULL OR golden_at > n_contexts))",
+    "synthesis_manifest": f"""WITH {_RAFT}, c AS (SELECT book_id, count(*) AS chunk_count FROM chunks GROUP BY 1), s AS (SELECT book_id, count(*) AS sampled_chunks FROM sampled GROUP BY 1),
+        p AS (SELECT book_id, count(*) AS generated_pairs, count(*) FILTER (reason IS NULL) AS kept_pairs, {', '.join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ("no_verified_quotes", "too_short", "duplicate_question", "question_echoes_answer"))} FROM reasoned GROUP BY 1),
+        e AS (SELECT book_id, count(*) AS example_count, count(*) FILTER (answerable) AS answerable_examples, count(*) FILTER (NOT answerable) AS unanswerable_examples FROM raft GROUP BY 1)
+        SELECT * FROM c LEFT JOIN s USING (book_id) LEFT JOIN p USING (book_id) LEFT JOIN e USING (book_id)""",
+    "training_manifest": f"""WITH {_RAFT}, rows_ AS (SELECT *, ('0x' || substr(md5(concat_ws(chr(31), example_id, split, {_SYSTEM}, 'Documents:' || chr(10) || documents || chr(10) || chr(10) || 'Question: ' || question, target)), 1, 15))::UBIGINT AS h FROM split)
+        SELECT book_id, count(*) AS source_count, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'validation') AS validation_count, count(*) FILTER (answerable) AS answerable_count, count(*) FILTER (NOT answerable) AS unanswerable_count,
+               substr(sha256(count(*) || ':' || sum(h)), 1, 40) AS dataset_hash, substr(sha256({_SYSTEM} || chr(10) || chr(10) || 'Documents:' || chr(10) || chr(10) || chr(10) || 'Question: '), 1, 40) AS prompt_hash FROM rows_ GROUP BY book_id""",
+    "chapter_assignment": f"WITH {_OUTLINE} SELECT book_id, block_no, chapter_no, chapter, coalesce(level, 0)::INT AS level FROM outline",
+    "heading_paths": f"WITH {_OUTLINE} SELECT book_id, block_no, concat_ws(' / ', t1, CASE WHEN p2 > p1 THEN t2 END, CASE WHEN p3 > greatest(p1, p2) THEN t3 END) AS path FROM last",
+    "tree_manifest": f"""WITH {_TREE}, l AS (SELECT DISTINCT 'doc-' || doc_id AS title FROM labels)
+        SELECT book_id, count(*) FILTER (level = 1) AS chapter_count, count(*) FILTER (level = 2) AS window_count, count(*) AS node_count, count(*) FILTER (NOT known) AS generated_summaries, count(*) FILTER (known) AS reused_summaries, 0::BIGINT AS failed_summaries
+        FROM (SELECT *, level = 1 AND title IN (SELECT title FROM l) AS known FROM nodes) GROUP BY book_id""",
+    "summary_keys": f"WITH {_CHUNKS} SELECT book_id, chapter, sha256(concat_ws(chr(31), '1', 'deterministic', chapter, '6000', '1200', substr(string_agg(text, chr(10) || chr(10) ORDER BY ordinal), 1, 6000))) AS key FROM chunks GROUP BY book_id, doc_id, chapter",
+    "contextual_bm25": f"""WITH {_HITS.replace("), chunks AS (", "), plain AS (", 1).replace("),\nposts AS (", f"), chunks AS (SELECT p.* EXCLUDE (text), 'A passage about: ' || regexp_replace(substr({_ONE('substr(d.text, 1, 6000)')}, 1, 80), '[ .]+$', '') || '.' || chr(10) || chr(10) || p.text AS text FROM plain p JOIN documents d USING (doc_id)),{chr(10)}posts AS (", 1)}
+        SELECT question_id, chunk_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 5""",
+    "truncated_vectors": """
+        WITH h AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM h)
+        SELECT vec_id, len(v)::INT AS dim, round(list_min(v), 6) AS least, round(list_max(v), 6) AS greatest FROM u""",
+    "wrapped_lines": f"""
+        WITH w AS (SELECT doc_id, list_filter(string_split({_ONE("text")}, ' '), lambda x: x <> '') AS w FROM documents),
+        l AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, x: a || CASE WHEN length(split_part(a, chr(10), -1)) + 1 + length(x) > 88 THEN chr(10) ELSE ' ' END || x) END AS t FROM w)
+        SELECT doc_id, (length(t) - length(replace(t, chr(10), '')) + 1)::INT AS n_lines, md5(t) AS md5 FROM l""",
+    "global_answers": f"""WITH {_TREE}, asked AS (
+          SELECT book_id || '|' || item_id AS question_id, book_id, list_distinct({_TOKENS("b.text")}) AS q FROM benchmark b JOIN (SELECT DISTINCT source AS book_id, crc FROM (SELECT source, ('0x' || substr(md5(source), 1, 8))::BIGINT AS crc FROM documents)) s ON crc % 8 = item_id % 8
+        ), best AS (
+          SELECT question_id, node_id, summary, row_number() OVER (PARTITION BY question_id ORDER BY len(list_intersect(q, {_TOKENS("summary")})) DESC, level, n) AS rank
+          FROM nodes JOIN asked USING (book_id) QUALIFY rank <= 6)
+        SELECT question_id, string_agg(node_id, ',' ORDER BY rank) AS nodes, 'According to the book: "' || trim(regexp_replace('According to the book: "' || min(CASE WHEN rank = 1 THEN summary END) || '" [1]', ' ?\\[[0-9]{{1,3}}\\]', '', 'g')) || '" [1]' AS text
+        FROM best GROUP BY question_id""",
     "tokenize_stats": f"SELECT doc_id, len({_TOKENS('text')})::BIGINT AS n_tokens, len(list_distinct({_TOKENS('text')}))::BIGINT AS n_distinct FROM documents",
     "doc_term_stats": f"WITH {_DOC_POSTS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY token",
     "idf_table": f"WITH {_DOC_POSTS}, {_IDF.format(n='(SELECT count(*) FROM documents)')} SELECT token, df, round(idf, 6) AS idf FROM idf",

@@ -121,9 +121,9 @@ def golden_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item results of retrieval depths 4 and 8; hits are ranked once and cut for each."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    hits, gold = index.retrieve(chunks, questions), answers.golden(questions, _docs(spark, sf_dir))
-    one = lambda k: answers.item_results(gold, answers.answer(answers.prompts(hits.where(F.col("rank") <= k), chunks, questions))).withColumn("variant", F.lit(f"top{k}"))
-    return one(8).unionByName(one(4))
+    hits = kept(index.retrieve(chunks, questions))
+    ranked = hits.withColumn("k", F.explode(F.array(F.lit(8), F.lit(4)))).where("rank <= k")
+    return answers.variant_items(ranked.withColumn("variant", F.concat(F.lit("top"), "k")), chunks, questions, answers.golden(questions, _docs(spark, sf_dir)))
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -138,6 +138,25 @@ def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(answers.deltas(answers.summary(_variants(spark, sf_dir), "variant"), F.col("variant") == "top8"))
 
 
+def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics with reranking off and on, crossed with 4 and 8 hits kept."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    pool = kept(index.retrieve(chunks, questions, k=index.POOL))
+    ranked = answers.variants(pool, index.rerank(pool, chunks, questions), [4, 8])
+    return _rounded(answers.summary(answers.variant_items(ranked, chunks, questions, answers.golden(questions, _docs(spark, sf_dir))), "variant"))
+
+
+def generator_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generators over the same hits, one of which quotes a first line only, and one that wasn't run."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    asked, gold = answers.prompts(kept(index.retrieve(chunks, questions)), chunks, questions), answers.golden(questions, _docs(spark, sf_dir))
+    brief = lambda system, user: F.concat(F.lit("In the book: "), F.substring(F.regexp_extract(user, r"<doc[^>]*>\n([^\n]*)", 1), 1, 60), F.lit(" [1]"))
+    made = [("plain", None), ("brief", brief)]
+    items = [answers.item_results(gold, answers.answer(asked, complete=c)).withColumn("variant", F.lit(name)) for name, c in made]
+    kinds = spark.sql("SELECT * FROM VALUES ('plain', 'base'), ('brief', 'adapter'), ('absent', 'file') AS v(variant, kind)")
+    return _rounded(answers.compare(items[0].unionByName(items[1]), kinds))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = _chunks(spark, sf_dir)
     return synthesis.pairs(synthesis.replies(synthesis.sample_chunks(chunks))), chunks
@@ -182,6 +201,83 @@ def conversation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis.split(cell, "conv_id", "cell").select("conv_id", "turns", "split")
 
 
+def conversation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of the conversations as training examples that should be grounded in documents, counted."""
+    turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))
+    made = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("example_id")).agg(F.sort_array(F.collect_list(turn)).alias("m"))
+    made = made.select("example_id", (F.col("example_id") % 2 == 0).alias("answerable"), F.transform("m", lambda x: F.struct(x["role"], x["content"])).alias("messages"))
+    return synthesis.errors(made).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def synthesis_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    sampled = synthesis.sample_chunks(chunks)
+    judged = kept(synthesis.judged(synthesis.pairs(synthesis.replies(sampled)), chunks, with_echo=False))
+    return synthesis.synthesis_manifest(chunks, sampled, judged, synthesis.raft(judged.where("reason is null"), chunks))
+
+
+def training_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthesis.training_manifest(synthesis.split(synthesis.chat(*_raft(spark, sf_dir)), "example_id", "book_id"))
+
+
+def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as book files: a line of at most 60 characters is a heading, of a level from its length."""
+    lines = _docs(spark, sf_dir).select(F.concat(F.lit("doc-"), "doc_id").alias("book_id"), F.lit("Untitled").alias("title"), F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    lines = lines.withColumn("text", F.trim("text")).where("text <> ''")
+    short = F.length("text") <= 60
+    return chunking.assign_chapters(lines.withColumns({"type": F.when(short, "heading").otherwise("paragraph"), "level": F.when(short, F.length("text") % 3 + 1)}))
+
+
+def chapter_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outline(spark, sf_dir).select("book_id", "block_no", "chapter_no", "chapter", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.heading_paths(_outline(spark, sf_dir)).select("book_id", "block_no", F.array_join("heading_path", " / ").alias("path"))
+
+
+def outline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with chapters to chunks with the heading path of each."""
+    return chunking.of_blocks(_outline(spark, sf_dir)).select("chunk_id", "book_id", "chapter", "ordinal", F.array_join("heading_path", " / ").alias("path"), "char_count")
+
+
+def tree_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of trees that find the summaries of the labelled documents' chapters in the cache."""
+    chunks = _chunks(spark, sf_dir)
+    labelled = chunks.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("chapter").distinct()
+    first = thematic.chapters(chunks)
+    cache = kept(thematic.cache_entries(first.join(labelled, F.col("title") == F.col("chapter"), "left_semi")))
+    return thematic.tree_manifest(thematic.tree(chunks, cache=cache))
+
+
+def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each chapter's summary is kept under."""
+    sources = thematic.chapter_sources(_chunks(spark, sf_dir))
+    return sources.select("book_id", "chapter", thematic.summary_key(F.col("chapter"), F.col("source")).alias("key"))
+
+
+def contextual_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five chunks of each question where each chunk's context is indexed before its text."""
+    docs = _docs(spark, sf_dir)
+    excerpts = docs.select(F.col("source").alias("book_id"), F.concat(F.lit("doc-"), "doc_id").alias("chapter"), F.col("text").alias("excerpt"))
+    chunks = thematic.enriched(_chunks(spark, sf_dir), excerpts)
+    whole = kept(chunks.select("chunk_id", index.index_text(F.col("context"), F.col("text")).alias("text")))
+    hits = index.bm25(kept(index.postings(whole)), _questions(spark, sf_dir), *index.index_figures(whole), k=5)
+    return hits.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def truncated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors' first 16 components as unit vectors, with the least and greatest of them."""
+    short = _table(spark, sf_dir, "embeddings").select("vec_id", index.truncated(F.col("embedding"), 16).alias("v"))
+    return short.select("vec_id", F.size("v").alias("dim"), F.round(F.array_min("v"), 6).alias("least"), F.round(F.array_max("v"), 6).alias("greatest"))
+
+
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines when filled to 88 characters: how many, and a digest."""
+    lines = X.wrapped(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", lines.alias("l")).select("doc_id", F.size("l").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("md5"))
+
+
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = thematic.tree(_chunks(spark, sf_dir))
     return nodes.select("node_id", "book_id", "level", "title", F.size("children").alias("n_children"), F.size("chunk_ids").alias("n_chunks"), "summary")
@@ -192,9 +288,8 @@ def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    books = docs.select(F.col("source").alias("book_id")).distinct()
-    asked = books.select("book_id", "book_id", F.lit("What is the book about in the end?").alias("question")).toDF("question_id", "book_id", "question")
+    asked = _table(spark, sf_dir, "benchmark").join(_docs(spark, sf_dir).select(F.col("source").alias("book_id")).distinct(), F.conv(F.substring(F.md5("book_id"), 1, 8), 16, 10).cast("long") % 8 == F.col("item_id") % 8)
+    asked = asked.select(F.format_string("%s|%d", "book_id", "item_id").alias("question_id"), "book_id", F.col("text").alias("question"))
     out = thematic.global_answers(thematic.tree(_chunks(spark, sf_dir)), asked)
     return out.select("question_id", F.array_join("nodes", ",").alias("nodes"), "text")
 
@@ -245,6 +340,6 @@ QUERIES = {
     for f in (
         tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf,
         rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
-        raft_examples, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, context_prefixes, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
+        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, context_prefixes, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as X
 from quire.operators import index, synthesis
 
 
@@ -48,6 +49,47 @@ def read_index(spark: SparkSession, folder: str, *books: str) -> dict[str, DataF
     return {"metadata": complete, "chunks": chunks} | {name: chosen(read(name)).join(known, ["book_id", "chunk_id"], "left_semi") for name in ("postings", "vectors")}
 
 
+#: Schemas of the JSON-lines artifacts of a book.
+CONTEXT = "struct<chunk_id:string,text:string,is_golden:boolean>"
+EXAMPLES = f"example_id string, book_id string, question string, contexts array<{CONTEXT}>, answer string, answerable boolean"
+PAIRS = "pair_id string, book_id string, chunk_id string, chapter string, question string, answer string, quotes array<string>"
+NODES = "node_id string, book_id string, level int, n int, title string, children array<string>, chunk_ids array<string>, summary string"
+
+
+def write_json_lines(rows: DataFrame, path: str, *by: str) -> None:
+    """rows as JSON lines; nulls are written, so that a reader sees every field."""
+    writer = rows.write.mode("overwrite").option("ignoreNullFields", "false")
+    (writer.partitionBy(*by) if by else writer).json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON-lines artifact. A line that isn't an object of this schema ends the job with an error; blank lines don't count."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_lines(spark, path, EXAMPLES)
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_lines(spark, path, PAIRS)
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_lines(spark, path, NODES)
+
+
+def write_report(summaries: DataFrame, path: str, **identity: str) -> None:
+    """A report of few rows, such as metrics or manifests, each with what it was made from, as one JSON-lines file."""
+    named = summaries.withColumns({k: F.lit(v) for k, v in identity.items()})
+    write_json_lines(_in_places(named).coalesce(1), path)
+
+
+def _in_places(df: DataFrame) -> DataFrame:
+    """Doubles rounded to the four places of reports."""
+    return df.select(*(X.four_places(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def append_cache(made: DataFrame, path: str) -> None:
     """Adds (key, pos, value) rows to a cache that only grows; a null value is a failure and isn't kept."""
     made.where("value is not null").select("key", "pos", "value").write.mode("append").parquet(path)
@@ -61,4 +103,6 @@ def write_training(examples: DataFrame, folder: str, title: str = "the book") ->
     kinds = {r["answerable"] for r in examples.select("answerable").distinct().collect()}  # two at most
     if kinds != {True, False}:
         raise ValueError("training needs answerable and unanswerable examples")
-    examples.select("split", "example_id", "messages").write.mode("overwrite").partitionBy("split").json(folder)
+    write_json_lines(examples.select("split", "example_id", "messages"), f"{folder}/examples", "split")
+    if "book_id" in examples.columns:
+        write_json_lines(synthesis.training_manifest(examples, title).coalesce(1), f"{folder}/manifest")

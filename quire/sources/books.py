@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS = "path string, book_id string, title string, chapter_no int, chapter string, block_no int, type string, text string, level int"
+BLOCKS = "path string, book_id string, title string, authors string, language string, chapter_no int, chapter string, block_no int, type string, text string, level int"
 
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-_RULE = re.compile(r"\s*(?:-{3,}|\*{3,}|_{3,})\s*$")
-_LIST = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")
+_RULE = re.compile(r" {0,3}(?:-{3,}|\*{3,}|_{3,})\s*$")
+_LIST = re.compile(r" {0,3}(?:[-*+]|\d{1,3}[.)])\s+")
+_QUOTE = re.compile(r" {0,3}> ?")
+_FENCE = re.compile(r"\s*(`{3}|~{3})")
+_TABLE = re.compile(r"\s*\|.*\|\s*$")
 
 
 def slug(text: str, most: int = 60) -> str:
@@ -31,8 +34,8 @@ def slug(text: str, most: int = 60) -> str:
 def markdown_blocks(source: str) -> list[tuple[str, str, int | None]]:
     """(type, text, level) of each block. Kinds are told by a line's start; a paragraph's lines are joined by spaces."""
     kind_of = lambda line: (
-        "blank" if not line.strip() else "heading" if _HEADING.match(line) else "rule" if _RULE.match(line) else "code" if line.startswith("```") or line.startswith("~~~")
-        else "table" if line.lstrip().startswith("|") else "quote" if line.lstrip().startswith(">") else "list" if _LIST.match(line) else "paragraph"
+        "blank" if not line.strip() else "heading" if _HEADING.match(line) else "rule" if _RULE.match(line) else "code" if _FENCE.match(line)
+        else "table" if _TABLE.match(line) else "quote" if _QUOTE.match(line) else "list" if _LIST.match(line) else "paragraph"
     )
     out: list[tuple[str, str, int | None]] = []
     lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -44,8 +47,8 @@ def markdown_blocks(source: str) -> list[tuple[str, str, int | None]]:
             marks, text = _HEADING.match(lines[start]).groups()
             out.append((kind, text.strip(), len(marks)))
         elif kind == "code":
-            fence = lines[start][:3]
-            while at < len(lines) and not lines[at].startswith(fence):
+            fence = lines[start].strip()[:3]
+            while at < len(lines) and not lines[at].strip().startswith(fence):
                 at += 1
             out.append((kind, "\n".join(lines[start + 1 : at]), None))
             at += 1
@@ -53,9 +56,7 @@ def markdown_blocks(source: str) -> list[tuple[str, str, int | None]]:
             goes_on = {kind, "paragraph"} if kind == "list" else {kind}
             while at < len(lines) and kind_of(lines[at]) in goes_on:
                 at += 1
-            part = [x.strip() for x in lines[start:at]]
-            if kind == "quote":
-                part = [x.lstrip(">").strip() for x in part]
+            part = [_QUOTE.sub("", x, count=1).rstrip() if kind == "quote" else x.strip() for x in lines[start:at]]
             out.append((kind, (" " if kind == "paragraph" else "\n").join(part), None))
     return [b for b in out if b[1].strip()]
 
@@ -97,23 +98,40 @@ class _Visible(HTMLParser):
             self.lines[-1] += re.sub(r"\s+", " ", data)
 
 
-def epub_chapters(content: bytes) -> tuple[str | None, list[tuple[str, list]]]:
-    """(title, chapters) of an EPUB in spine order; entries that aren't linear or have under 80 characters and no heading go."""
+def _contents(file: zipfile.ZipFile, base: str, items: list) -> dict[str, str]:
+    """The titles that tables of contents give to files: those of navigation pages, then of NCX files; the first counts."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    told = lambda e: " ".join("".join(e.itertext()).split())
+    titles: dict[str, str] = {}
+    for item in sorted(items, key=lambda i: "nav" not in (i.get("properties") or "").split()):
+        if "nav" in (item.get("properties") or "").split():
+            at = posixpath.dirname(item.get("href"))
+            page = ElementTree.fromstring(file.read(posixpath.join(base, item.get("href"))))
+            links = [(posixpath.normpath(posixpath.join(at, a.get("href") or "")), told(a)) for a in page.iter() if local(a) == "a" and a.get("href")]
+        elif item.get("media-type") == "application/x-dtbncx+xml":
+            points = [e for e in ElementTree.fromstring(file.read(posixpath.join(base, item.get("href")))).iter() if local(e) == "navPoint"]
+            first = lambda p, name: next((e for e in p.iter() if local(e) == name), None)
+            links = [(first(p, "content").get("src") or "", told(first(p, "text"))) for p in points if first(p, "content") is not None and first(p, "text") is not None]
+        else:
+            continue
+        for target, label in links:
+            if label and target.partition("#")[0]:
+                titles.setdefault(target.partition("#")[0], label)
+    return titles
+
+
+def epub_chapters(content: bytes) -> tuple[dict[str, str | None], list[tuple[str, list]]]:
+    """(title, authors and language; chapters) of an EPUB in spine order; entries that aren't linear or have under 80 characters and no heading go."""
     local = lambda e: e.tag.rpartition("}")[2]
     with zipfile.ZipFile(io.BytesIO(content)) as file:
         box = ElementTree.fromstring(file.read("META-INF/container.xml"))
         opf = next(e.get("full-path") for e in box.iter() if local(e) == "rootfile")
         package = ElementTree.fromstring(file.read(opf))
         items = {e.get("id"): e for e in package.iter() if local(e) == "item"}
-        title = next((e.text for e in package.iter() if local(e) == "title" and e.text), None)
-        base, titles = posixpath.dirname(opf), {}
-        for item in items.values():
-            if item.get("media-type") == "application/x-dtbncx+xml":
-                toc = ElementTree.fromstring(file.read(posixpath.join(base, item.get("href"))))
-                for point in (e for e in toc.iter() if local(e) == "navPoint"):
-                    label = next((e.text for e in point.iter() if local(e) == "text" and e.text), None)
-                    target = next((e.get("src") for e in point.iter() if local(e) == "content"), "")
-                    titles.setdefault(target.partition("#")[0], label)
+        values = lambda name: [" ".join(e.text.split()) for e in package.iter() if local(e) == name and e.text and e.text.strip()]
+        about = {"title": next(iter(values("title")), None), "authors": ", ".join(values("creator")) or None, "language": next(iter(values("language")), None)}
+        base = posixpath.dirname(opf)
+        titles = _contents(file, base, list(items.values()))
         out = []
         for ref in (e for e in package.iter() if local(e) == "itemref"):
             item = items.get(ref.get("idref"))
@@ -130,32 +148,50 @@ def epub_chapters(content: bytes) -> tuple[str | None, list[tuple[str, list]]]:
                 blocks = blocks[1:]
             if blocks:
                 out.append((name, blocks))
-    return title, out
+    return about, out
+
+
+def book_rows(where: str, content: bytes) -> list[tuple]:
+    """The blocks of one file; what can't be read, or holds no text, is one row of type "error" with the reason as its text."""
+    stem = posixpath.splitext(posixpath.basename(where))[0]
+    about: dict[str, str | None] = {}
+    try:
+        if where.lower().endswith(".epub"):
+            about, found = epub_chapters(content)
+        else:
+            found = into_chapters(markdown_blocks(content.decode("utf-8", "replace")), stem)
+        if not found:
+            raise ValueError("no text")
+    except Exception as error:  # noqa: BLE001  one bad file is no reason to lose the others
+        return [(where, slug(stem), stem, None, None, 0, None, 0, "error", f"{type(error).__name__}: {error}", None)]
+    title = about.get("title") or stem
+    head = (where, slug(title), title, about.get("authors"), about.get("language"))
+    return [(*head, n, chapter, i, *b) for n, (chapter, blocks) in enumerate(found, 1) for i, b in enumerate(blocks, 1)]
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of all .md, .markdown, .txt and .epub files below a path; one file per task row, none on the driver."""
+    """The blocks of all .md, .markdown, .txt and .epub files below a path; one file per task row, none on the driver.
+
+    A file that can't be read has one row of type "error"; `failures` lists these, and chunks leave them out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.lower("path").rlike(r"\.(md|markdown|txt|epub)$")).select("path", "content")
+    columns = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for where, content in zip(batch["path"], batch["content"]):
-                stem = posixpath.splitext(posixpath.basename(where))[0]
-                if where.lower().endswith(".epub"):
-                    title, found = epub_chapters(content)
-                    title = title or stem
-                else:
-                    title, found = stem, into_chapters(markdown_blocks(content.decode("utf-8", "replace")), stem)
-                for n, (chapter, blocks) in enumerate(found, 1):
-                    rows += [(where, slug(title), title, n, chapter, i, *b) for i, b in enumerate(blocks, 1)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")]).astype({"level": "Int32", "chapter_no": "int32", "block_no": "int32"})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+                rows = pd.DataFrame(book_rows(where, content), columns=columns)
+                yield rows.astype({"level": "Int32", "chapter_no": "int32", "block_no": "int32"})
+
     return files.mapInPandas(run, BLOCKS)
 
 
+def failures(blocks: DataFrame) -> DataFrame:
+    """(path, reason) of the files that couldn't be read."""
+    return blocks.where("type = 'error'").select("path", F.col("text").alias("reason"))
+
+
 _FORMATS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
 
 

@@ -48,11 +48,107 @@ def test_packer_equals_a_literal_one():
         assert chunking.pack_ranges(chars, heading, 180, 25, 360) == literal_packer(chars, heading, 180, 25, 360)
 
 
-def test_long_lines_are_cut_at_spaces():
-    text = "word " * 2000
-    parts = chunking.split_long(text, 3600)
-    assert all(len(p) <= 3600 for p in parts) and " ".join(parts).split() == text.split()
-    assert chunking.split_long("x" * 8000, 3600) == ["x" * 3600, "x" * 3600, "x" * 800]
+def test_long_lines_are_cut_at_spaces(spark):
+    texts = ["word " * 2000, "x" * 8000, "short", "", "y" * 50 + "\n" + "z" * 3590]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", chunking.split_long(F.col("t")).alias("p")).collect()
+    parts = {r.i: r.p for r in rows}
+    assert all(len(p) <= 3600 for p in parts[0]) and " ".join(parts[0]).split() == texts[0].split()
+    assert parts[1] == ["x" * 3600, "x" * 3600, "x" * 800] and parts[2] == ["short"] and parts[3] == []
+    assert parts[4] == [texts[4][:3600], texts[4][3600:]]
+
+
+def test_books_may_share_ids_and_repeat(spark):
+    docs = spark.createDataFrame([(0, "one two", "a"), (0, "three four", "b"), (None, "five", "a"), (0, None, "a"), (1, "six", "a"), (1, "six", "a")], "doc_id long, text string, source string")
+    got = chunking.of_documents(docs).collect()
+    assert sorted((r.book_id, r.doc_id if r.doc_id is not None else -1, r.text) for r in got) == [("a", -1, "five"), ("a", 0, "one two"), ("a", 1, "six"), ("a", 1, "six"), ("b", 0, "three four")]
+    assert sorted(r.ordinal for r in got if r.book_id == "a") == [0, 1, 2, 3]
+    assert all(r.char_end - r.char_start == r.char_count for r in got)
+
+
+def literal_paths(blocks):
+    """Heading paths with an explicit stack."""
+    out, stack = [], []
+    for kind, text, level in blocks:
+        if kind == "heading":
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, text))
+        out.append([t for _, t in stack])
+    return out
+
+
+def test_heading_paths_equal_a_literal_stack(spark):
+    rng = random.Random(2)
+    blocks = [("heading", f"h{i}", rng.randint(1, 6)) if rng.random() < 0.5 else ("paragraph", f"p{i}", None) for i in range(200)]
+    df = spark.createDataFrame([("b", 1, i, *b) for i, b in enumerate(blocks)], "book_id string, chapter_no int, block_no int, type string, text string, level int")
+    got = [r.heading_path for r in chunking.heading_paths(df).orderBy("block_no").collect()]
+    assert got == literal_paths(blocks)
+
+
+def test_files_become_chunks_with_headings_and_an_index(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.md").write_text("# One\n\n## Deep\n\n" + "red fox " * 20 + "\n\n### Deeper\n\n" + "blue sea " * 30 + "\n\n# Two\n\n## Two\n\nend\n")
+    (tmp_path / "in" / "bad.epub").write_bytes(b"no archive")
+    (tmp_path / "in" / "empty.txt").write_text("\n \n")
+    blocks = books.read_books(spark, str(tmp_path / "in"))
+    assert sorted(r.path.rpartition("/")[2] for r in books.failures(blocks).collect()) == ["bad.epub", "empty.txt"]
+    chunks = chunking.chunks(chunking.block_chapters(blocks), target=150, overlap=20, most=400)
+    got = [(r.chapter, r.ordinal, r.heading_path, r.text[:8]) for r in chunks.orderBy("ordinal").collect()]
+    assert got == [("One", 0, ["Deep"], "Deep\n\nre"), ("One", 1, ["Deep", "Deeper"], "Deeper\n\n"), ("Two", 2, ["Two"], "Two\n\nend")]
+    artifacts.write_index(chunks.withColumn("heading_path", F.array_join("heading_path", "/")), str(tmp_path / "index"))
+    assert {"fox", "sea"} <= {r.token for r in artifacts.read_index(spark, str(tmp_path / "index"))["postings"].collect()}
+
+
+def test_missing_training_context_is_fatal(spark):
+    chunks = a_book(spark, "a", "one two", "three")
+    context = [("gone", "x", True)]
+    df = spark.createDataFrame([("e", "a", "q", True, "x [1]", context)], f"example_id string, book_id string, question string, answerable boolean, answer string, contexts array<{artifacts.CONTEXT}>")
+    with pytest.raises(Exception, match="no chunk gone"):
+        synthesis.chat(df, chunks).collect()
+
+
+def test_completions_and_caches(spark):
+    chunks = a_book(spark, "a", "one two", "three", "four", "five", "six")
+    calls = lambda system, user: F.concat(F.lit("Summary with "), F.length(user).cast("string"), F.lit(" characters"))
+    first = thematic.tree(chunks, complete=calls).cache()
+    assert {r.made for r in first.collect()} == {"generated"} and first.where("summary not like 'Summary with %'").count() == 0
+    again = thematic.tree_manifest(thematic.tree(chunks, cache=thematic.cache_entries(first), complete=calls)).first()
+    assert (again.chapter_count, again.window_count, again.node_count, again.reused_summaries, again.generated_summaries) == (5, 2, 8, 8, 0)
+    with pytest.raises(Exception, match="no chapter could be summarised: a"):
+        thematic.tree_manifest(thematic.tree(chunks, complete=lambda s, u: F.lit("I'm sorry"))).collect()
+    excerpts = spark.createDataFrame([("a", "doc-0", "An excerpt"), ("a", "doc-1", "Other")], "book_id string, chapter string, excerpt string")
+    known = spark.createDataFrame([(chunks.orderBy("ordinal").first().chunk_id, "kept before")], "chunk_id string, context string")
+    got = {r.chapter: r.context for r in thematic.enriched(chunks, excerpts, known).collect()}
+    assert got == {"doc-0": "kept before", "doc-1": "A passage about: Other.", "doc-2": None, "doc-3": None, "doc-4": None}
+
+
+def test_lines_wrap_and_join(spark):
+    rows = spark.createDataFrame([("aa bb  cc ddddddd e",), ("",)], "t string").select(X.wrapped(F.col("t"), 5)).collect()
+    assert [r[0] for r in rows] == [["aa bb", "cc", "ddddddd", "e"], [""]]
+    page = spark.createDataFrame([("A line that  \ngoes on.\nNew: \nlast\n\nend",)], "t string").select(X.rejoined(F.col("t"))).first()[0]
+    assert page == "A line that goes on.\nNew:\nlast  end"
+
+
+def test_json_lines_round_trip(spark, tmp_path):
+    nodes = thematic.tree(a_book(spark, "a", "one", "two")).select(*(c.split()[0] for c in artifacts.NODES.split(", ")))
+    artifacts.write_json_lines(nodes, str(tmp_path / "tree"))
+    assert sorted(map(tuple, artifacts.read_tree(spark, str(tmp_path / "tree")).select("node_id", "summary").collect())) == sorted(map(tuple, nodes.select("node_id", "summary").collect()))
+    (tmp_path / "bad.jsonl").write_text('{"pair_id": 3\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        artifacts.read_pairs(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_nearest_vectors(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-1.0, 0.0, 2.0]) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {}
+    for r in index.nearest(df, df.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 or 1)
+    for i, q in rows[:20]:
+        best = sorted((-round(cosine(q, v), 9) + 0.0, j) for j, v in rows)[:5]
+        assert sorted(got[i]) == [(n, j) for n, (_, j) in enumerate(best, 1)]
 
 
 def test_chapter_names(spark):
