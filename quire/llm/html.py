@@ -188,14 +188,15 @@ class Page:
         page = self.containers[0]
         if not c.size or (c.within and not c.inside):
             return False  # empty, or around an article
+        if not c.inside and page.within:
+            return True  # beside an article
         up = self.containers[c.parent]
         while up.size == c.size and up.parent >= 0:
             up = self.containers[up.parent]
         at_end = c.last == up.last and c.first != up.first
         if c.size > (0.9 if at_end else 0.5) * up.size:
             return False
-        outside = not c.inside and page.within > 0
-        return outside or at_end or c.first == up.first or 2 * c.linked >= c.size or 5 * c.size <= page.size
+        return at_end or c.first == up.first or 2 * c.linked >= c.size or 5 * c.size <= page.size
 
     def _drop_hinted(self) -> None:
         """Blocks of containers with a noisy name go where more than the name tells against them."""
