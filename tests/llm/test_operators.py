@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -296,12 +297,36 @@ def test_every_copy_and_partner_of_a_passage(spark):
 
 def test_compact_windows_hold_each_subsequence_once():
     values = np.random.default_rng(1).permutation(120).astype(np.uint64)
-    windows = passages.compact_windows(values, 10)
+    windows = passages.compact_windows(values, 10).T.tolist()
     for a in range(0, 111):
         inside = [w for w in windows if w[0] <= a and a + 10 <= w[2] and a <= w[1] < a + 10]
         assert len(inside) == 1 and inside[0][1] == a + int(values[a : a + 10].argmin())
 
 
+def test_windows_and_hashes_of_many_texts_at_once():
+    """Batches give what each text gives alone, whatever lies beside it."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice([0, 1, 3, 4, 5, 49, 50, 51, 200])) + rng.choice(["", " ", "\n\t"]) for _ in range(60)]
+    texts += ["", " ", None, "A" * 3000, "same word " * 60, "É é  É\x0bx"]
+    words, bounds = passages.hashed(pa.array(["cut off", *texts])[1:])
+    doc, keys, spans = passages.anchors(words, bounds)
+    _, often = np.unique(keys, return_counts=True)
+    frequent = np.unique(keys)[often > 1]
+    finer = passages.finer(words, bounds, frequent)
+    names = {}
+    for n, text in enumerate(texts):
+        own = (text or "").encode().lower().split()
+        alone, ends = passages.hashed(pa.array([text], pa.string()))
+        assert alone.tolist() == words[bounds[n] : bounds[n + 1]].tolist() and len(alone) == len(own)
+        assert all(names.setdefault(w, h) == h for w, h in zip(own, alone.tolist()))
+        _, k, s = passages.anchors(alone, ends)
+        assert k.tolist() == keys[doc == n].tolist() and s.tolist() == spans[doc == n].tolist()
+        assert (len(k) > 0) == (len(own) >= 50)
+        for (d, k, s), (_, k1, s1) in zip(finer, passages.finer(alone, ends, frequent)):
+            assert k1.tolist() == k[d == n].tolist() and s1.tolist() == s[d == n].tolist()
+    assert len(set(names.values())) == len(names)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(10)
     bad = ["zorkish", "blatling", "grumfed"]
