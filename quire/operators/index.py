@@ -53,18 +53,85 @@ def bm25(posts: DataFrame, questions: DataFrame, n: int, mean_length: float, k:
 
 
 def hashed(posts: DataFrame, key: str = "chunk_id", dim: int = DIM) -> DataFrame:
-    """(key, bucket, w): the unit vectors of signed token counts; a bucket that cancels out has no row."""
-    b = posts.select(key, "tf", X.bucket(F.col("token"), dim).alias("bucket"), X.sign(F.col("token")).alias("sign"))
+    """(key, bucket, w): the unit vectors of signed token counts; a bucket that cancels out has no row.
+
+    Postings are dealt by key once, for the sums, the norms and whatever groups the vectors' rows again.
+    """
+    b = posts.select(key, "tf", X.bucket(F.col("token"), dim).alias("bucket"), X.sign(F.col("token")).alias("sign")).repartition(key)
     b = b.groupBy(key, "bucket").agg(F.sum(F.col("sign") * F.col("tf")).alias("v")).where("v <> 0")
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return b.select(key, "bucket", (F.col("v") / norm).alias("w"))
 
 
+#: Rows of a block of vectors.
+BLOCK = 2048
+
+
+def _met(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each block of vectors, dealt by a hash of its ids, beside each block of queries, which goes to every part."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.withColumn("part", F.pmod(F.hash("ids"), F.lit(parts)))
+    everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(everywhere, "part").drop("part")
+
+
+def _sparse_blocks(vectors: DataFrame, key: str, weight: str, names: str) -> DataFrame:
+    """Rows of up to BLOCK vectors (key, bucket, weight): their keys, where each ends, and all buckets and weights as bytes."""
+    kind = dict(vectors.dtypes)[key]
+    one = vectors.groupBy(key).agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("b"), F.col(weight).alias("w"))).alias("x"))
+    ids, ends, buckets, weights = names.split()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                lists = part.column(1)
+                sizes, flat = np.asarray(lists.value_lengths()), lists.flatten()
+                data = (np.cumsum(sizes).astype(np.int64), *(np.asarray(flat.field(i)) for i in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names.split())
+
+    return one.mapInArrow(run, f"{ids} array<{kind}>, {ends} binary, {buckets} binary, {weights} binary")
+
+
+def _matrix(ends: bytes, buckets: bytes, weights: bytes, dim: int) -> np.ndarray:
+    """The vectors of a block as the rows of a matrix."""
+    ends = np.frombuffer(ends, np.int64)
+    out = np.zeros((len(ends), dim))
+    out[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), np.frombuffer(buckets, np.int32)] = np.frombuffer(weights)
+    return out
+
+
 def dense(vectors: DataFrame, questions: DataFrame, k: int = DEPTH, dim: int = DIM) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by the cosine of hashed vectors, through an inverted index of buckets."""
-    asked = hashed(postings(questions, "question_id", "question"), "question_id", dim).withColumnRenamed("w", "q")
-    scored = vectors.join(asked, "bucket").groupBy("question_id", "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
-    return _best(scored, k)
+    """(question_id, chunk_id, score, rank) by the cosine of hashed vectors; a chunk without a bucket of the question has no score.
+
+    Blocks of chunks meet blocks of questions as matrices and give a question k rows each, so what is shuffled is the
+    vectors, once, and not their products by bucket.
+    """
+    asked = hashed(postings(questions, "question_id", "question"), "question_id", dim)
+    pairs = _met(_sparse_blocks(vectors, "chunk_id", "w", "ids ends buckets weights"), _sparse_blocks(asked, "question_id", "w", "queries q_ends q_buckets q_weights"))
+    types = {"question_id": dict(asked.dtypes)["question_id"], "chunk_id": dict(vectors.dtypes)["chunk_id"], "score": "double"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, *held, queries, q_ends, q_buckets, q_weights = (c[row] for c in batch.columns)
+                chunks, wanted = (_matrix(*(x.as_py() for x in m), dim) for m in (held, (q_ends, q_buckets, q_weights)))
+                scores, names = np.round(wanted @ chunks.T, 9), np.array(ids.as_py(), object)
+                which, best = [], []
+                for i, mine in enumerate(scores):
+                    least = np.partition(mine, -k)[-k] if k < len(mine) else mine.min()
+                    if least <= 0:  # a zero may be that of a chunk with nothing in common
+                        apart = ~(chunks[:, wanted[i] != 0] != 0).any(axis=1)
+                        mine = np.where(apart, -np.inf, mine)
+                        least = np.partition(mine, -k)[-k] if k < len(mine) else mine.min()
+                    found = np.flatnonzero((mine >= least) & (mine > -np.inf))
+                    found = sorted(found.tolist(), key=lambda j: (-mine[j], names[j]))[:k]
+                    which += [i] * len(found)
+                    best += found
+                columns = (queries.values.take(pa.array(which, pa.int64())), ids.values.take(pa.array(best, pa.int64())), pa.array(scores[which, best]))
+                yield pa.RecordBatch.from_arrays(list(columns), list(types))
+
+    return _best(pairs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items())), k)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = FINAL, rrf_k: int = RRF_K) -> DataFrame:
@@ -101,10 +168,6 @@ def truncated(vector: Column, dim: int) -> Column:
     return F.when(F.size(vector) <= dim, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.transform(head, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))))
 
 
-#: Rows of a block of vectors, and how many blocks of those asked for meet the others at a time.
-BLOCK = 2048
-
-
 def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): for each of asked (query_id, q) the k vectors (vec_id, v) of the largest cosine.
 
@@ -124,10 +187,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
         return rows.mapInArrow(run, ", ".join(f"{n} binary" for n in names.split()))
 
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks(vectors.select("vec_id", "v"), "ids matrix").withColumn("part", F.pmod(F.hash("ids"), F.lit(parts)))
-    everywhere = blocks(asked.select("query_id", "q"), "queries wanted").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = dealt.join(everywhere, "part").select("ids", "matrix", "queries", "wanted")
+    pairs = _met(blocks(vectors.select("vec_id", "v"), "ids matrix"), blocks(asked.select("query_id", "q"), "queries wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
