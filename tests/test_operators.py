@@ -250,3 +250,22 @@ def test_streamed_postings_equal_those_of_the_last_texts(spark, tmp_path):
     spark.createDataFrame([(2, "…", "s"), (3, None, "s"), (4, "d", "s")], schema).write.mode("append").parquet(into)
     postings.append_postings(postings.arriving(spark, into), table, progress).awaitTermination()
     assert sorted((r.doc_id, r.token, r.tf) for r in postings.latest(spark, table).collect()) == [(1, "a", 2), (1, "b", 1), (4, "d", 1)]
+
+
+def test_dense_equals_brute_force(spark):
+    """Every chunk that shares a bucket with a question can be a hit, whatever its score; ties go by chunk, and empty questions have none."""
+    texts = ["red fox", "red fox", "blue fox runs", "red red red", "green owl", "", None, "owl owl fox", "one two three four five six"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    questions = spark.createDataFrame([(1, "red fox"), (2, "owl"), (3, ""), (4, None), (5, "unheard word"), (6, "three green foxes")], "question_id long, question string")
+    for dim, k in ((4, 3), (512, 20)):  # few buckets: collisions, cancelled and negative scores
+        vectors = index.hashed(index.postings(chunks), dim=dim)
+        asked = index.hashed(index.postings(questions, "question_id", "question"), "question_id", dim)
+        side = lambda df, key: {i: {r.bucket: r.w for r in df.collect() if r[key] == i} for i in {r[key] for r in df.collect()}}
+        held, wanted = side(vectors, "chunk_id"), side(asked, "question_id")
+        want = []
+        for q, b in wanted.items():
+            scored = [(-round(sum(w * b.get(x, 0.0) for x, w in v.items()), 9), c) for c, v in held.items() if set(v) & set(b)]
+            want += [(q, c, n + 1) for n, (_, c) in enumerate(sorted(scored)[:k])]
+        got = index.dense(vectors, questions, k, dim).select("question_id", "chunk_id", "rank").collect()
+        assert want and sorted(map(tuple, got)) == sorted(want)
+    assert index.dense(vectors.limit(0), questions).count() == index.dense(vectors, questions.limit(0)).count() == 0
