@@ -20,7 +20,7 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Counters of hashed word pairs, and how many of them are summed as one row. More counters prune larger corpora better.
 PAIR_BITS, ROW_BITS = 24, 14
 #: Bytes of text whose words make one trie.
-SHARD = 24 << 20
+SHARD = 12 << 20
 #: Parts of a language whose best phrases are found apart before they meet.
 PARTS = 64
 
@@ -35,7 +35,9 @@ class Words:
         raw = text.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw else np.zeros(0, np.uint8)
         bounds = bounds - bounds[0]
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        lower = np.arange(256, dtype=np.uint8)
+        lower[65:91] += 32
+        data = lower[data]
         kind = np.zeros(256, np.uint8)
         kind[list(BREAKS)], kind[list(BLANKS)] = 2, 1
         kind = kind[data]
@@ -46,9 +48,13 @@ class Words:
         edges = bounds[:-1][np.diff(bounds) > 0]
         first[edges] = word[edges]
         starts = np.flatnonzero(first)
-        inside = np.append(0, np.cumsum(word))
+        # Where a word ends: before what belongs to none, before a text's beginning, and at the end.
+        last = word.copy()
+        last[:-1] &= ~word[1:]
+        last[edges[edges > 0] - 1] = word[edges[edges > 0] - 1]
+        offsets = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
         letters = pa.py_buffer(data[word])
-        offsets = np.append(inside[starts], inside[-1]).astype(np.int64)
+        del data, first, last, word
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
         order = pc.sort_indices(words.dictionary).to_numpy()
         rank = np.empty(len(order), np.int64)
@@ -60,7 +66,7 @@ class Words:
         self.word = rank[ids] if len(order) else ids
         self.lang = np.asarray(langs.indices, np.int64)[of_text] if len(starts) else ids
         # A word follows the one before it in a piece if there is neither a break nor a text's beginning between them.
-        cuts = np.cumsum(kind == 2)[starts] if len(starts) else ids
+        cuts = np.searchsorted(np.flatnonzero(kind == 2), starts)
         self.follows = np.append(False, (cuts[1:] == cuts[:-1]) & (of_text[1:] == of_text[:-1])) if len(starts) else np.zeros(0, bool)
 
     def pair_hashes(self) -> np.ndarray:
