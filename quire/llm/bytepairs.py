@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
+from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import count
 
 import public_tokenizers
 import regex
@@ -17,8 +18,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: How many frequent words, of at most so many bytes, are encoded beforehand, and how many bytes their ids may take.
-KNOWN, KNOWN_BYTES = 1 << 16, 64
+#: How many frequent words, of at most so many bytes, are encoded beforehand, and the places for them, a prime number.
+KNOWN, KNOWN_BYTES, PLACES = 1 << 18, 64, 1_048_573
+#: Buckets of pairs, and the least number of places for them: prime numbers.
+BUCKETS, PAIR_PLACES = 65_521, 131_071
+
+#: For two columns of ids the id that the pair becomes, which is its rank, or null.
+Ranks = Callable[[Column, Column], Column]
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -26,20 +32,6 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
-def _literal_map(keys: list[bytes]) -> Callable[[Column], Column]:
-    """A map from keys to their positions as constants: for a binary column, the position of the equal key, or null.
-
-    Spark looks through the whole of a map value for a key, so the keys are dealt by their crc32 to about as many
-    buckets, and a bucket's few are compared.
-    """
-    buckets: list[list[int]] = [[] for _ in range(max(1, len(keys)))]
-    for n, key in enumerate(keys):
-        buckets[zlib.crc32(key) % len(buckets)].append(n)
-    held, known = _literal(buckets, "array<int>"), _literal([base64.b64encode(k).decode() for k in keys], "binary")
-    size = len(buckets)
-    return lambda key: F.get(F.filter(F.get(held, (F.crc32(key) % size).cast("int")), lambda n: F.get(known, n) == key), F.lit(0))
-
-
 @lru_cache(maxsize=2)
 def pieces(path: str) -> list[bytes]:
     """A rank file's byte strings in order of rank, which is a token's id; a rank without one is null bytes no text can have."""
@@ -48,6 +40,64 @@ def pieces(path: str) -> list[bytes]:
     return [ranks.get(n, b"") for n in range(max(ranks) + 1)]
 
 
+@lru_cache(maxsize=2)
+def displaced(path: str) -> tuple[list[int], list[int], list[int]]:
+    """(shifts, keys, ranks): the map from two ids to the id that they become, in which every look-up takes one place.
+
+    A pair's key is first * 2^16 + second. The bucket of a key, key % BUCKETS, has a shift, and the key's place is
+    (key + shift) % len(keys); shifts are chosen, for full buckets first, so that no two keys get one place. Keys of a
+    bucket can't meet, as they differ by less than 2^16 buckets and the number of places is a larger prime.
+    """
+    listed = pieces(path)
+    if len(listed) > 1 << 16:
+        raise ValueError("a vocabulary of more than 2^16 ids")
+    ids = {piece: n for n, piece in enumerate(listed) if piece}
+    made = {}
+    for piece, rank in ids.items():
+        for cut in range(1, len(piece)):
+            first, second = ids.get(piece[:cut]), ids.get(piece[cut:])
+            if first is not None and second is not None:
+                made[first << 16 | second] = rank
+    places = PAIR_PLACES
+    while places < 1.2 * len(made):
+        places = next(n for n in count(2 * places) if all(n % d for d in range(2, int(n**0.5) + 1)))
+    buckets: dict[int, list[int]] = defaultdict(list)
+    for key in made:
+        buckets[key % BUCKETS].append(key)
+    shifts, keys, ranks, start = [0] * BUCKETS, [-1] * places, [0] * places, 0
+    for bucket, held in sorted(buckets.items(), key=lambda x: -len(x[1])):
+        shift = next(n for n in count(start) if all(keys[(key + n) % places] < 0 for key in held))
+        start = (start + 40_503) % places  # somewhere else the next time
+        shifts[bucket] = shift
+        for key in held:
+            keys[(key + shift) % places], ranks[(key + shift) % places] = key, made[key]
+    return shifts, keys, ranks
+
+
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once: a transform of one element gives it a name."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def literal_ranks(path: str, body: Callable[[Ranks], Column]) -> Column:
+    """body with the rank map of a vocabulary as constants, which the plan holds once for all look-ups.
+
+    Spark looks through the whole of a map value for a key, so it isn't one.
+    """
+    shifts, keys, ranks = displaced(path)
+    held = F.struct(_literal(shifts, "int").alias("shifts"), _literal(keys, "long").alias("keys"), _literal(ranks, "int").alias("ranks"))
+
+    def ranked(map_: Column) -> Column:
+        def of(first: Column, second: Column) -> Column:
+            mine = first.cast("long") * (1 << 16) + second
+            place = ((mine + F.get(map_["shifts"], (mine % BUCKETS).cast("int"))) % len(keys)).cast("int")
+            return F.when(F.get(map_["keys"], place) == mine, F.get(map_["ranks"], place))
+
+        return body(of)
+
+    return _named(held, ranked)
+
+
 def _class(name: str) -> str:
     r"""\p{name} for Java, with the code points that the tokenizers' library counts to it and Java's Unicode doesn't know yet."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -69,67 +119,76 @@ def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
     return "(?U)" + pattern
 
 
-def folded(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids of a word's bytes (binary) after all ranked merges; rank gives a byte string's rank or null.
+def folded(word: Column, path: str, rank: Ranks) -> Column:
+    """The ids of a word's bytes (binary) after all ranked merges.
 
-    The word is an array of byte strings. Each step of the fold finds the lowest rank of two neighbours and joins all
-    of that rank, of overlapping ones the first; without one, nothing changes any more. No more steps than bytes.
+    The state of the fold is the array of the bytes' ids, and the rank of each with the one after it. A step joins the
+    first pair of the lowest rank and looks up the two ranks that this changes; without a pair, nothing changes any more.
+    There are no more steps than bytes, and each copies the word's array: a word of 10^5 letters is slow, but takes no
+    more memory than its arrays.
     """
-    size = F.octet_length(word)
-    letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.struct(letters.alias("s"), F.lit(True).alias("on"))
+    ids = {piece: n for n, piece in enumerate(pieces(path))}
+    of_byte = _literal([ids[bytes([b])] for b in range(256)], "int")
+    # As Latin-1 every byte is a character.
+    letters = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda x: F.get(of_byte, F.ascii(x)))
+    pairs = lambda s: F.transform(s, lambda x, i: rank(x, F.get(s, i + 1)))  # noqa: E731  the last has none: null
+    start = _named(letters, lambda s: F.struct(s.alias("s"), pairs(s).alias("r")))
+
+    def merged(s: Column, r: Column, p: Column, made: Column) -> Column:
+        """The state after the ids at p and p + 1, counted from 1, have become one."""
+        rest = lambda x: F.slice(x, p + 2, F.size(x))
+        before = F.when(p > 1, F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), F.array(rank(F.get(s, p - 2), made)))).otherwise(F.array().cast("array<int>"))
+        new = F.concat(F.slice(s, F.lit(1), p - 1), F.array(made), rest(s))
+        return F.struct(new.alias("s"), F.concat(before, F.array(rank(made, F.get(s, p + 1))), rest(r)).alias("r"))
 
     def step(state: Column, _: Column) -> Column:
-        s = state["s"]
-        ranks = F.transform(s, lambda x, i: rank(F.concat(x, F.get(s, i + 1))))  # the last has no neighbour: null
-
-        # A transform of one element gives a value a name, so that it is computed once.
-        named = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-
-        def merged(ranks: Column, least: Column) -> Column:
-            # A mark for each place; of marks in a row every second one goes.
-            marks = F.array_join(F.transform(ranks, lambda r: F.when(r == least, "1").otherwise("0")), "")
-            marked = lambda m, i: F.substring(m, i + 1, F.lit(1)) == F.lit(b"1")
-            new = lambda m, x, i: F.when(marked(m, i), F.concat(x, F.get(s, i + 1))).when((i == 0) | ~marked(m, i - 1), x)
-            joined = lambda m: F.filter(F.transform(s, lambda x, i: new(m, x, i)), lambda x: x.isNotNull())
-            return F.struct(named(F.regexp_replace(marks, "11", "10").cast("binary"), joined).alias("s"), F.lit(True).alias("on"))
-
-        joined = named(ranks, lambda r: named(F.array_min(r), lambda least: F.when(least.isNull(), F.struct(s.alias("s"), F.lit(False).alias("on"))).otherwise(merged(r, least))))
-        return F.when(state["on"], joined).otherwise(state)
+        s, r = state["s"], state["r"]
+        join = lambda least: _named(F.array_position(r, least).cast("int"), lambda p: merged(s, r, p, least))
+        return _named(F.array_min(r), lambda least: F.when(least.isNull(), state).otherwise(join(least)))
 
+    size = F.octet_length(word)
     folds = F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, step, lambda state: state["s"])
-    return F.when(size > 0, F.transform(folds, rank)).otherwise(F.array().cast("array<int>"))
+    return F.when(size > 0, folds).otherwise(F.array().cast("array<int>"))
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern()), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, text_col: str, rank: Callable[[Column], Column], known: int = KNOWN) -> list[tuple[bytes, str]]:
-    """The `known` most frequent of the distinct words of all texts, with their ids: bounded by known * KNOWN_BYTES bytes.
+def frequent_words(docs: DataFrame, text_col: str, path: str, known: int = KNOWN) -> list[tuple[int, str, str]]:
+    """(place, word, ids) of the `known` most frequent of the distinct words of all texts: at most known * KNOWN_BYTES bytes.
 
-    What is encoded here isn't encoded again in the texts; nothing else depends on it.
+    Of words that get one place, the most frequent stays. What is encoded here isn't encoded again in the texts; nothing
+    else depends on it.
     """
     words = docs.select(F.explode(_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.octet_length("word") <= KNOWN_BYTES)
     # Spread again: the best of all come in one partition.
-    best = words.orderBy(F.desc("n"), "word").limit(known).repartition("word").withColumn("b", F.col("word").cast("binary"))
-    rows = best.select("b", F.array_join(folded(F.col("b"), rank), ",").alias("ids")).collect()
-    return [(bytes(r.b), r.ids) for r in rows]
+    best = words.orderBy(F.desc("n"), "word").limit(known).repartition("word")
+    ids = literal_ranks(path, lambda rank: F.array_join(folded(F.col("word").cast("binary"), path, rank), ","))
+    rows = best.select(_place(F.col("word")).alias("place"), "n", "word", ids.alias("ids")).collect()
+    return [(r.place, r.word, r.ids) for r in sorted(rows, key=lambda r: (r.n, r.word))]
+
+
+def _place(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(PLACES))
 
 
 def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None, known: int = KNOWN) -> DataFrame:
     """docs with `_ids`: the token ids of each text as decimal numbers with commas; "" for null and empty texts.
 
-    path: a file of ranked byte strings, read by the driver. Texts are cut by the tokenizers' pattern, and each word's
-    bytes are merged by rank: of the `known` most frequent words once for all, of the others where they stand. Special
-    tokens' strings are text. No text is shuffled; other columns and repeated rows stay; an empty table stays empty.
+    path: a file of ranked byte strings, at most 2^16, read by the driver. Texts are cut by the tokenizers' pattern, and
+    each word's bytes are merged by rank: of the `known` most frequent words once for all, of the others where they
+    stand. Special tokens' strings are text. No text is shuffled; other columns and repeated rows stay; an empty table
+    stays empty.
     """
-    listed = pieces(path or public_tokenizers.path(VOCABULARY))
-    rank = _literal_map(listed)
-    often = frequent_words(docs, text_col, rank, known)
-    ids, where = _literal([i for _, i in often], "string"), _literal_map([w for w, _ in often])
-    coded = lambda w: F.coalesce(F.get(ids, where(w.cast("binary"))), F.array_join(folded(w.cast("binary"), rank), ","))
-    return docs.withColumn("_ids", F.coalesce(F.array_join(F.transform(_words(F.col(text_col)), coded), ","), F.lit("")))
+    path = path or public_tokenizers.path(VOCABULARY)
+    words, ids = [None] * PLACES, [None] * PLACES
+    for place, word, listed in frequent_words(docs, text_col, path, known):
+        words[place], ids[place] = word, listed
+    words, ids = _literal(words, "string"), _literal(ids, "string")
+    coded = lambda w, rank: F.when(F.get(words, _place(w)) == w, F.get(ids, _place(w))).otherwise(F.array_join(folded(w.cast("binary"), path, rank), ","))
+    listed = literal_ranks(path, lambda rank: F.transform(_words(F.col(text_col)), lambda w: coded(w, rank)))
+    return docs.withColumn("_ids", F.coalesce(F.array_join(listed, ","), F.lit("")))
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
