@@ -19,7 +19,7 @@ from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: How many frequent words, of at most so many bytes, are encoded beforehand, and the places for them, a prime number.
-KNOWN, KNOWN_BYTES, PLACES = 1 << 18, 64, 1_048_573
+KNOWN, KNOWN_BYTES, PLACES = 1 << 17, 64, 262_139
 #: Buckets of pairs, and the least number of places for them: prime numbers.
 BUCKETS, PAIR_PLACES = 65_521, 131_071
 
