@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators.completions import Connect, asked_once
 from quire.operators.tables import kept
 
 #: See `answers.Completion`.
@@ -46,11 +47,16 @@ def summarise(source: Column, complete: Completion | None = None) -> Column:
         said = X.says(X.SUMMARY, head)
     else:
         said = F.trim(complete(F.lit("You summarise books."), F.format_string(ASK_SUMMARY, F.lit(MAX_SUMMARY), F.substring(source, 1, MAX_SOURCE))))
-    text = F.regexp_replace(F.substring(said, 1, MAX_SUMMARY), r"\s+$", "")
+    return F.when(F.trim(source) != "", usable_summary(said))
+
+
+def usable_summary(reply: Column) -> Column:
+    """A reply cut to a summary's budget; null if it is too short or says that there is none."""
+    text = F.regexp_replace(F.substring(F.trim(reply), 1, MAX_SUMMARY), r"\s+$", "")
     bad = F.lit(False)
     for marker in UNUSABLE:
         bad = bad | F.contains(F.lower(text), F.lit(marker))
-    return F.when((F.length(text) >= MIN_SUMMARY) & ~bad & (F.trim(source) != ""), text)
+    return F.when((F.length(text) >= MIN_SUMMARY) & ~bad, text)
 
 
 def numbered(rows: DataFrame, block: Column, *order: str) -> DataFrame:
@@ -186,27 +192,82 @@ def tree_manifest(nodes: DataFrame) -> DataFrame:
     return out.withColumn("node_count", F.when(F.col("_told") > 0, F.col("node_count")).otherwise(failed.cast("long"))).drop("_told")
 
 
-#: Fixed: an excerpt's length, a context's, and the beginnings of replies that are no context.
-MAX_EXCERPT, MAX_CONTEXT = 6000, 500
+#: Fixed: an excerpt's length, a context's greatest and least, and what marks a reply that is no context.
+MAX_EXCERPT, MAX_CONTEXT, MIN_CONTEXT = 6000, 500, 10
+NO_CONTEXT = ("couldn't find", "cannot find", "i'm sorry", "as an ai")
 ASK_CONTEXT = "Say in one sentence where this passage stands in its chapter.\n\nChapter:\n%s\n\nPassage:\n%s"
 
 
+def usable_context(reply: Column) -> Column:
+    """A reply in one line and cut to its budget; null if it is too short or says that there is none."""
+    text = X.collapse(reply)
+    bad = F.length(text) < MIN_CONTEXT
+    for marker in NO_CONTEXT:
+        bad = bad | F.contains(F.lower(text), F.lit(marker))
+    return F.when(~bad, F.regexp_replace(F.substring(text, 1, MAX_CONTEXT), r"\s+$", ""))
+
+
+def last_excerpts(excerpts: DataFrame) -> DataFrame:
+    """(book_id, chapter, excerpt): of chapters of one title in a book the last by pos, where there is such a column."""
+    cut = F.substring("excerpt", 1, MAX_EXCERPT)
+    last = F.max_by(cut, "pos") if "pos" in excerpts.columns else F.max(cut)
+    return excerpts.groupBy("book_id", "chapter").agg(last.alias("excerpt"))
+
+
+def last_contexts(cache: DataFrame) -> DataFrame:
+    """(chunk_id, context) of a log (chunk_id, pos, context): the last that isn't empty; without pos the greatest."""
+    said = cache.where("chunk_id <> '' and context <> ''")
+    last = F.max_by("context", F.struct("pos", "context")) if "pos" in cache.columns else F.max("context")
+    return said.groupBy("chunk_id").agg(last.alias("context"))
+
+
 def enriched(chunks: DataFrame, excerpts: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
-    """chunks with context: what the cache (chunk_id, context) has, else a sentence on the chapter, null where it can't be used.
+    """chunks with context: what the cache (chunk_id, pos, context) has, else a sentence on the chapter, null where it can't be used.
 
-    excerpts: (book_id, chapter, excerpt), one row for each chapter; a chunk of another chapter gets none.
+    excerpts: (book_id, chapter, pos, excerpt); of a title that repeats in a book the last counts, and a chunk of a
+    chapter without one gets no context from the deterministic model, and a prompt with an empty excerpt otherwise.
     """
-    rows = chunks.join(excerpts.select("book_id", "chapter", F.substring("excerpt", 1, MAX_EXCERPT).alias("excerpt")), ["book_id", "chapter"], "left")
-    known = cache.groupBy("chunk_id").agg(F.max("context").alias("_known")) if cache is not None else None
+    named = last_excerpts(excerpts).toDF("_book", "_chapter", "excerpt")
+    rows = chunks.join(named, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("chapter").eqNullSafe(F.col("_chapter")), "left").drop("_book", "_chapter")
+    known = last_contexts(cache).withColumnRenamed("context", "_known") if cache is not None else None
     rows = rows.withColumn("_known", F.lit(None).cast("string")) if known is None else rows.join(known, "chunk_id", "left")
     if complete is None:
         head = F.regexp_replace(F.substring(X.collapse(F.col("excerpt")), 1, 80), r"[ .]+$", "")
         said = X.says(X.CONTEXT, head)
     else:
-        said = F.trim(complete(F.lit("You place passages."), F.format_string(ASK_CONTEXT, "excerpt", "text")))
-    said = F.regexp_replace(F.substring(said, 1, MAX_CONTEXT), r"\s+$", "")
-    bad = F.lit(False)
-    for marker in UNUSABLE:
-        bad = bad | F.contains(F.lower(said), F.lit(marker))
-    fresh = F.when(F.col("excerpt").isNotNull() & (said != "") & ~bad, said)
+        said = complete(F.lit("You place passages."), context_prompt(F.col("excerpt"), F.col("text")))
+    fresh = usable_context(said)
+    fresh = F.when(F.col("excerpt").isNotNull(), fresh) if complete is None else fresh
     return rows.withColumn("context", F.coalesce("_known", fresh)).drop("_known", "excerpt")
+
+
+def context_prompt(excerpt: Column, text: Column) -> Column:
+    return F.format_string(ASK_CONTEXT, F.coalesce(excerpt, F.lit("")), text)
+
+
+def enriched_by_client(chunks: DataFrame, excerpts: DataFrame, log: DataFrame, connect: Connect) -> tuple[DataFrame, DataFrame]:
+    """(chunks with context and error, new entries for the log) by a client that may fail (see `completions`).
+
+    log: (key, run, pos, value) with chunk ids as keys. Only chunks that it lacks are asked; one that fails keeps its
+    place without a context and is asked again the next time.
+    """
+    named = last_excerpts(excerpts).toDF("_book", "_chapter", "excerpt")
+    rows = chunks.join(named, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("chapter").eqNullSafe(F.col("_chapter")), "left")
+    asked = rows.select(F.col("chunk_id").alias("key"), F.lit("You place passages.").alias("system"), context_prompt(F.col("excerpt"), F.col("text")).alias("user"))
+    found, new = asked_once(asked, log, connect, usable_context)
+    return chunks.join(found.select(F.col("key").alias("chunk_id"), F.col("value").alias("context"), "error"), "chunk_id", "left"), new
+
+
+def summarised_by_client(nodes: DataFrame, log: DataFrame, connect: Connect, model: str, regenerate: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes with summary, made and error, new entries for the log): `told` by a client that may fail.
+
+    nodes: (node_id, source); made is "reused", "generated" or "failed". regenerate: the log isn't looked at, but gets
+    the new summaries. A node without source text fails without being asked.
+    """
+    keyed = kept(nodes.withColumn("key", summary_key(F.col("node_id"), F.col("source"), model)))
+    user = F.format_string(ASK_SUMMARY, F.lit(MAX_SUMMARY), F.substring("source", 1, MAX_SOURCE))
+    asked = keyed.where(F.trim("source") != "").select("key", F.lit("You summarise books.").alias("system"), user.alias("user"))
+    found, new = asked_once(asked, log.limit(0) if regenerate else log, connect, usable_summary)
+    out = keyed.join(found.select("key", F.col("value").alias("summary"), "made", "error"), "key", "left").drop("key")
+    empty = F.col("made").isNull()
+    return out.withColumns({"error": F.when(empty, "no source text").otherwise(F.col("error")), "made": F.coalesce("made", F.lit("failed"))}), new

@@ -228,6 +228,24 @@ nodes3 AS (
   FROM below GROUP BY book_id
 ), nodes AS (SELECT * FROM nodes1 UNION ALL SELECT * FROM nodes2 UNION ALL SELECT * FROM nodes3)"""
 
+#: Questions about whole books, and the nodes of each by the cosine of hashed vectors.
+_GLOBAL = f"""{_TREE}, book_asked AS (
+  SELECT book_id || '|' || item_id AS question_id, book_id, b.text AS question FROM benchmark b
+  JOIN (SELECT DISTINCT source AS book_id, ('0x' || substr(md5(source), 1, 8))::BIGINT AS crc FROM documents) s ON crc % 8 = item_id % 8
+), node_posts AS (
+  SELECT node_id AS k, u.token, count(*) AS tf FROM (SELECT node_id, {_TOKENS("summary")} AS t FROM nodes) d, unnest(t) AS u(token) GROUP BY ALL
+), asked_posts AS (
+  SELECT question_id AS k, u.token, count(*) AS tf FROM (SELECT question_id, {_TOKENS("question")} AS t FROM book_asked) d, unnest(t) AS u(token) GROUP BY ALL
+), {_HASHED("nv", "node_posts")}, {_HASHED("av", "asked_posts")},
+close AS (
+  SELECT a.k AS question_id, n.k AS node_id, sum(a.w * n.w) AS score FROM av a JOIN nv n USING (bucket)
+  JOIN book_asked q ON q.question_id = a.k JOIN nodes m ON m.node_id = n.k AND m.book_id = q.book_id GROUP BY ALL
+), chosen AS (
+  SELECT question_id, question, node_id, level, n, title, summary, round(coalesce(score, 0), 9) AS score,
+         (row_number() OVER (PARTITION BY question_id ORDER BY round(coalesce(score, 0), 9) DESC, level, n))::INT AS rank
+  FROM book_asked JOIN nodes USING (book_id) LEFT JOIN close USING (question_id, node_id) QUALIFY rank <= 6
+)"""
+
 _MATRIX_HITS = f"""{_HITS.replace("QUALIFY rank <= 8", "QUALIFY rank <= 40")}, shared AS (
   SELECT question_id, chunk_id, rank AS was, coalesce(len(list_intersect({_TOKENS("b.text")}, {_TOKENS("c.text")}))::DOUBLE / nullif(len(list_distinct({_TOKENS("b.text")})), 0), 0) AS score
   FROM hits JOIN chunks c USING (chunk_id) JOIN benchmark b ON item_id = question_id
@@ -295,6 +313,19 @@ ORACLE_SQL = {
           FROM nodes JOIN asked USING (book_id) QUALIFY rank <= 6)
         SELECT question_id, string_agg(node_id, ',' ORDER BY rank) AS nodes, 'According to the book: "' || trim(regexp_replace('According to the book: "' || min(CASE WHEN rank = 1 THEN summary END) || '" [1]', ' ?\\[[0-9]{{1,3}}\\]', '', 'g')) || '" [1]' AS text
         FROM best GROUP BY question_id""",
+    "global_selection": f"WITH {_GLOBAL} SELECT question_id, rank, node_id, round(score, 6) + 0.0::DOUBLE AS score FROM chosen",
+    "global_prompts": f"""WITH {_GLOBAL}, partial AS (
+          SELECT *, trim(regexp_replace('According to the book: "' || summary || '" [1]', ' ?\\[[0-9]{{1,3}}\\]', '', 'g')) AS p FROM chosen
+        ), put AS (
+          SELECT question_id, question, string_agg(node_id, ',' ORDER BY rank) AS nodes, min(CASE WHEN rank = 1 THEN p END) AS first,
+                 string_agg('<doc id="' || rank || '" node="' || node_id || '" level="' || level || '" title="' || title || '">' || chr(10) || p || chr(10) || '</doc>', chr(10) || chr(10) ORDER BY rank) AS docs
+          FROM partial GROUP BY question_id, question)
+        SELECT question_id, nodes, md5('Put the partial answers together into one, citing them as [n].' || chr(10) || chr(10) || docs || chr(10) || chr(10) || 'Question: ' || question) AS prompt_md5,
+               'According to the book: "' || first || '" [1]' AS text, '1' AS citations, false AS refused FROM put""",
+    "global_chapters": f"""WITH {_GLOBAL}
+        SELECT question_id, count(*) AS chapters, count(*)::INT AS last_rank, max_by(node_id, n) AS last_node,
+               max(md5('Answer from the summary only, citing it as [1].' || chr(10) || chr(10) || '<doc id="1" node="' || node_id || '" level="1" title="' || title || '">' || chr(10) || summary || chr(10) || '</doc>' || chr(10) || chr(10) || 'Question: ' || question)) AS greatest_md5
+        FROM book_asked JOIN nodes USING (book_id) WHERE level = 1 GROUP BY question_id""",
     "tokenize_stats": f"SELECT doc_id, len({_TOKENS('text')})::BIGINT AS n_tokens, len(list_distinct({_TOKENS('text')}))::BIGINT AS n_distinct FROM documents",
     "doc_term_stats": f"WITH {_DOC_POSTS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY token",
     "idf_table": f"WITH {_DOC_POSTS}, {_IDF.format(n='(SELECT count(*) FROM documents)')} SELECT token, df, round(idf, 6) AS idf FROM idf",
@@ -331,7 +362,17 @@ ORACLE_SQL = {
         SELECT conv_id, turns, CASE WHEN row_number() OVER (PARTITION BY h[1] ORDER BY h, conv_id) <= least(greatest(1, floor(count(*) OVER (PARTITION BY h[1]) * 0.1)), count(*) OVER (PARTITION BY h[1])) THEN 'validation' ELSE 'train' END AS split FROM c""",
     "tree_nodes": f"WITH {_TREE} SELECT node_id, book_id, level::INT AS level, title, n_children::INT AS n_children, n_chunks::INT AS n_chunks, summary FROM nodes",
     "tree_hash": f"WITH {_TREE} SELECT book_id, count(*) AS node_count, substr(sha256(string_agg(node_id || chr(31) || summary, chr(10) ORDER BY level, n)), 1, 40) AS tree_hash FROM nodes GROUP BY book_id",
-    "context_prefixes": f"WITH {_CHUNKS} SELECT chunk_id, 'A passage about: ' || regexp_replace(substr({_ONE('substr(d.text, 1, 6000)')}, 1, 80), '[ .]+$', '') || '.' AS context FROM chunks c JOIN documents d USING (doc_id)",
+    "context_prefixes": f"WITH {_CHUNKS} SELECT chunk_id, 'A passage about: ' || regexp_replace(substr({_ONE('substr(d.text, 1, 6000)')}, 1, 80), '[ .]+$', '') || '.' AS context FROM chunks c JOIN documents d ON d.doc_id = c.doc_id AND d.source = c.book_id",
+    "enriched_chunks": f"""WITH {_CHUNKS}, titles AS (
+          SELECT source AS book_id, 'part-' || substr(doc_id::VARCHAR, 1, 1) AS title, max_by(substr(text, 1, 6000), doc_id) AS excerpt FROM documents GROUP BY ALL
+        ), sent AS (
+          SELECT chunk_id, ordinal, title, length('Say in one sentence where this passage stands in its chapter.' || chr(10) || chr(10) || 'Chapter:' || chr(10) || excerpt || chr(10) || chr(10) || 'Passage:' || chr(10) || text) AS n
+          FROM chunks c JOIN titles t ON t.book_id = c.book_id AND t.title = 'part-' || substr(c.doc_id::VARCHAR, 1, 1))
+        SELECT chunk_id, title AS chapter, CASE WHEN ordinal % 5 = 0 THEN CASE WHEN length(chunk_id) % 2 = 0 THEN 'kept 10' ELSE 'kept 2' END WHEN n % 3 = 2 AND length('In part ' || n) >= 10 THEN 'In part ' || n END AS context FROM sent""",
+    "reply_log": """
+        WITH t AS (SELECT conv_id || '/' || role AS key, turn AS pos, md5(text) AS value, length(text) % 2 = 1 OR contains(text, '!') AS torn FROM conversations WHERE text IS NOT NULL)
+        SELECT key, max(pos) AS pos, max_by(value, pos) AS value FROM t WHERE NOT torn GROUP BY key
+        UNION ALL SELECT 'set aside', count(*), NULL FROM t WHERE torn""",
     "location_labels": f"""WITH {_CHUNKS}, paged AS (SELECT *, char_start // 2000 AS p, char_end // 2000 AS q FROM chunks)
         SELECT chunk_id, chapter || ' — ' || book_id || CASE WHEN p = 0 THEN '' WHEN p = q THEN ' (p. ' || p || ')' ELSE ' (pp. ' || p || '-' || q || ')' END AS label FROM paged""",
     "library_listing": f"WITH {_CHUNKS} SELECT b.book_id, documents, chunk_count, chunk_count IS NOT NULL AS indexed FROM (SELECT source AS book_id, count(*) AS documents FROM documents GROUP BY 1) b LEFT JOIN (SELECT book_id, count(*) AS chunk_count FROM chunks GROUP BY 1) c USING (book_id)",

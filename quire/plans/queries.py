@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import answers, chunking, index, synthesis, thematic
-from quire.operators.tables import kept
+from quire.operators import answers, chunking, completions, index, synthesis, thematic, whole_book
+from quire.operators.tables import kept, new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -259,7 +259,7 @@ def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contextual_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five chunks of each question where each chunk's context is indexed before its text."""
     docs = _docs(spark, sf_dir)
-    excerpts = docs.select(F.col("source").alias("book_id"), F.concat(F.lit("doc-"), "doc_id").alias("chapter"), F.col("text").alias("excerpt"))
+    excerpts = docs.select(F.col("source").alias("book_id"), F.concat(F.lit("doc-"), "doc_id").alias("chapter"), F.col("doc_id").alias("pos"), F.col("text").alias("excerpt"))
     chunks = thematic.enriched(_chunks(spark, sf_dir), excerpts)
     whole = kept(chunks.select("chunk_id", index.index_text(F.col("context"), F.col("text")).alias("text")))
     hits = index.bm25(kept(index.postings(whole)), _questions(spark, sf_dir), *index.index_figures(whole), k=5)
@@ -288,17 +288,72 @@ def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _table(spark, sf_dir, "benchmark").join(_docs(spark, sf_dir).select(F.col("source").alias("book_id")).distinct(), F.conv(F.substring(F.md5("book_id"), 1, 8), 16, 10).cast("long") % 8 == F.col("item_id") % 8)
-    asked = asked.select(F.format_string("%s|%d", "book_id", "item_id").alias("question_id"), "book_id", F.col("text").alias("question"))
-    out = thematic.global_answers(thematic.tree(_chunks(spark, sf_dir)), asked)
+    out = thematic.global_answers(thematic.tree(_chunks(spark, sf_dir)), _book_questions(spark, sf_dir))
     return out.select("question_id", F.array_join("nodes", ",").alias("nodes"), "text")
 
 
+def _book_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about whole books: an eighth of the benchmark items for each book."""
+    asked = _table(spark, sf_dir, "benchmark").join(_docs(spark, sf_dir).select(F.col("source").alias("book_id")).distinct(), F.conv(F.substring(F.md5("book_id"), 1, 8), 16, 10).cast("long") % 8 == F.col("item_id") % 8)
+    return asked.select(F.format_string("%s|%d", "book_id", "item_id").alias("question_id"), "book_id", F.col("text").alias("question"))
+
+
+def global_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six nodes of its book nearest to each question, by vectors."""
+    hits = whole_book.nearest_nodes(kept(thematic.tree(_chunks(spark, sf_dir))), _book_questions(spark, sf_dir))
+    return hits.select("question_id", "rank", "node_id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+def global_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model is asked last about each question, after an answer from each node, and what comes of it."""
+    out = whole_book.answered(kept(thematic.tree(_chunks(spark, sf_dir))), _book_questions(spark, sf_dir))
+    return out.select("question_id", F.array_join("nodes", ",").alias("nodes"), F.md5("prompt").alias("prompt_md5"), "text", F.array_join("citations", ",").alias("citations"), "refused")
+
+
+def global_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without vectors: all chapters of the book in reading order, as the prompt that puts their answers together has them."""
+    nodes, asked = kept(thematic.tree(_chunks(spark, sf_dir))), _book_questions(spark, sf_dir)
+    rows = whole_book.map_prompts(whole_book.chapters_in_order(nodes, asked), nodes, asked)
+    return rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("chapters"), F.max("rank").alias("last_rank"), F.max_by("node_id", "rank").alias("last_node"), F.max(F.md5("user")).alias("greatest_md5"))
+
+
 def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What enrichment puts before each chunk: a sentence on its chapter's start."""
-    chapter = _docs(spark, sf_dir).select(F.col("doc_id"), F.substring("text", 1, 6000).alias("excerpt"))
+    chapter = _docs(spark, sf_dir).select(F.col("source").alias("book_id"), "doc_id", F.substring("text", 1, 6000).alias("excerpt"))
     head = F.regexp_replace(F.substring(X.collapse(F.col("excerpt")), 1, 80), r"[ .]+$", "")
-    return _chunks(spark, sf_dir).join(chapter, "doc_id").select("chunk_id", F.substring(X.says(X.CONTEXT, head), 1, 500).alias("context"))
+    return _chunks(spark, sf_dir).join(chapter, ["book_id", "doc_id"]).select("chunk_id", F.substring(X.says(X.CONTEXT, head), 1, 500).alias("context"))
+
+
+def enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts where titles repeat, the log has several of a chunk, and the model gives some that can't be used.
+
+    Documents are named by their first digit, so a book has at most nine titles and the last document of each counts.
+    """
+    title = F.concat(F.lit("part-"), F.substring(F.col("doc_id").cast("string"), 1, 1))
+    excerpts = _docs(spark, sf_dir).select(F.col("source").alias("book_id"), title.alias("chapter"), F.col("doc_id").alias("pos"), F.col("text").alias("excerpt"))
+    chunks = _chunks(spark, sf_dir).withColumn("chapter", title)
+    times = F.explode(F.array(F.lit(1), F.lit(2), F.lit(10)))
+    log = chunks.where("ordinal % 5 = 0").select("chunk_id", times.alias("pos")).withColumn("context", F.when((F.col("pos") < 10) | (F.length("chunk_id") % 2 == 0), F.concat(F.lit("kept "), "pos")))
+    model = lambda system, user: F.when(F.length(user) % 3 == 0, F.lit("Sorry,  I CANNOT find it")).when(F.length(user) % 3 == 1, F.lit(" too\n few ")).otherwise(F.concat(F.lit("In  part\n"), F.length(user).cast("string"), F.lit(" ")))
+    return thematic.enriched(chunks, excerpts, log, model).select("chunk_id", "chapter", "context")
+
+
+def reply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that conversations leave in a log of two runs, compacted between them, of which each speaker's last counts.
+
+    Lines of turns whose text has an exclamation mark or an odd length are torn, and set aside.
+    """
+    turns = _table(spark, sf_dir, "conversations").where("text is not null")
+    torn = (F.length("text") % 2 == 1) | F.contains("text", F.lit("!"))
+    lines = turns.select("turn", F.to_json(F.struct(F.format_string("%d/%s", "conv_id", "role").alias("key"), F.col("turn").alias("pos"), F.md5("text").alias("value"))).alias("line"), torn.alias("torn"))
+    lines = lines.select("turn", F.when(F.col("torn"), F.expr("substring(line, 1, length(line) - 5)")).otherwise(F.col("line")).alias("value"))
+    folder = new_folder(spark)
+    lines.where("turn < 3").select("value").write.text(f"{folder}/log/run={1:012d}")
+    first = completions.compact_log(spark, folder)
+    lines.where("turn >= 3").select("value").write.text(f"{folder}/log/run={2:012d}")
+    entries, rejected = completions.scan_log(spark, folder)
+    aside = first.unionByName(rejected).agg(F.lit("set aside").alias("key"), F.count(F.lit(1)).alias("pos"), F.lit(None).cast("string").alias("value"))
+    return completions.latest(entries).unionByName(aside)
 
 
 def summary_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +395,6 @@ QUERIES = {
     for f in (
         tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf,
         rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
-        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, context_prefixes, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
+        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )
 }
