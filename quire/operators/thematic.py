@@ -73,55 +73,186 @@ def numbered(rows: DataFrame, block: Column, *order: str) -> DataFrame:
     return joined.withColumn("n", (F.col("_own") + F.col("_offset")).cast("int")).drop("block", "_book", "_block", "_own", "_offset")
 
 
+def _leading(rows: DataFrame, by: list[str], order: str, text: str, gap: int) -> DataFrame:
+    """Of each group the first rows, by order, whose texts begin within MAX_SOURCE characters, with `gap` between two.
+
+    A running sum over sizes; what isn't part of a summary's source is left out before anything is gathered.
+    """
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_before", F.coalesce(F.sum(F.length(text) + gap).over(before), F.lit(0))).where(F.col("_before") < MAX_SOURCE).drop("_before")
+
+
 def chapters(chunks: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
-    """Level 1: (node_id, book_id, level, n, title, children, chunk_ids, source, summary, made), one for each chapter."""
-    by = chunks.groupBy("book_id", "doc_id", "chapter").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", "text"))).alias("c"))
-    thin = numbered(chunks.select("book_id", "doc_id", "chapter").distinct(), F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
-    thin = thin.select("n", *(F.col(c).alias(f"_{c}") for c in ("book_id", "doc_id", "chapter")))
+    """Level 1: (node_id, book_id, level, n, title, n_children, n_chunks, source, summary, made), one for each chapter.
+
+    What lies below a node is in tables of their own: see `node_children` and `node_chunks`.
+    """
+    by = ["book_id", "doc_id", "chapter"]
+    sizes = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"))
+    thin = numbered(sizes, F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
+    told_by = chapter_sources(chunks).select(*(F.col(c).alias(f"_{c}") for c in by), "source")
     same = F.lit(True)
-    for c in ("book_id", "doc_id", "chapter"):
+    for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    source = F.substring(F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"), 1, MAX_SOURCE)
-    df = by.join(thin, same).select(F.format_string("%s:chapter:%d", "book_id", "n").alias("node_id"), "book_id", F.lit(1).alias("level"), "n", F.col("chapter").alias("title"), F.array().cast("array<string>").alias("children"), F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), source.alias("source"))
+    df = thin.join(told_by, same).select(F.format_string("%s:chapter:%d", "book_id", "n").alias("node_id"), "book_id", F.lit(1).alias("level"), "n", F.col("chapter").alias("title"), F.lit(0).cast("long").alias("n_children"), "n_chunks", "source")
     return told(df, cache, complete)
 
 
-def _parents(nodes: DataFrame, *by: Column) -> DataFrame:
-    part = F.struct("n", "node_id", "title", "chunk_ids", "summary")
-    df = nodes.groupBy("book_id", *by).agg(F.sort_array(F.collect_list(part)).alias("c"))
-    with_summary = F.filter("c", lambda x: x["summary"].isNotNull())
-    source = F.array_join(F.transform(with_summary, lambda x: F.concat(x["title"], F.lit(": "), x["summary"])), "\n\n")
-    return df.withColumns({"children": F.transform("c", lambda x: x["node_id"]), "chunk_ids": F.flatten(F.transform("c", lambda x: x["chunk_ids"])), "source": F.substring(source, 1, MAX_SOURCE), "lo": F.get("c", F.lit(0))["n"], "hi": F.element_at("c", -1)["n"]})
+def _sources(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, source): the summaries of the nodes of each group, in order of n, as many as MAX_SOURCE characters hold.
+
+    Each has at least MIN_SUMMARY characters, so the first few hundred that have one will do: they are found in parts
+    of a group before they meet.
+    """
+    most = MAX_SOURCE // MIN_SUMMARY
+    line = F.concat("title", F.lit(": "), "summary")
+    lines = nodes.where("summary is not null").select(*by, "n", line.alias("line")).withColumn("_part", F.pmod(F.xxhash64("n"), F.lit(64)))
+    first = lambda rows, *keys: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("n"))).where(F.col("_r") <= most).drop("_r")
+    few = _leading(first(first(lines, *by, "_part").drop("_part"), *by), by, "n", "line", 2)
+    listed = few.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("c"))
+    return listed.select(*by, F.substring(F.array_join(F.transform("c", lambda x: x["line"]), "\n\n"), 1, MAX_SOURCE).alias("source"))
+
+
+def _parents(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_children, n_chunks, lo, hi, source) of groups of nodes: counts and bounds, and the leading summaries."""
+    counts = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_chunks").alias("n_chunks"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    joined = counts.join(_sources(nodes, by), by, "left")
+    return joined.withColumn("source", F.coalesce("source", F.lit("")))
+
+
+def _window(size: int) -> Column:
+    return F.floor((F.col("n") - 1) / size)
 
 
 def windows(level1: DataFrame, size: int = WINDOW, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
     """Level 2: runs of `size` chapters, only in books with more of them than that."""
-    counts = level1.groupBy(F.col("book_id").alias("_b")).agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > size)
-    df = _parents(level1.join(counts, F.col("book_id").eqNullSafe(F.col("_b"))), F.floor((F.col("n") - 1) / size).alias("w"))
-    df = df.select(F.format_string("%s:window:%d-%d", "book_id", "lo", "hi").alias("node_id"), "book_id", F.lit(2).alias("level"), F.col("lo").alias("n"), F.format_string("Chapters %d-%d", "lo", "hi").alias("title"), "children", "chunk_ids", "source")
+    counts = level1.groupBy("book_id").agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > size)
+    df = _parents(level1.join(counts, "book_id").withColumn("w", _window(size)), ["book_id", "w"])
+    df = df.select(F.format_string("%s:window:%d-%d", "book_id", "lo", "hi").alias("node_id"), "book_id", F.lit(2).alias("level"), F.col("lo").alias("n"), F.format_string("Chapters %d-%d", "lo", "hi").alias("title"), "n_children", "n_chunks", "source")
     return told(df, cache, complete)
 
 
 def roots(level1: DataFrame, level2: DataFrame, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
     """Level 3: a book over its windows, or over its chapters if it has none."""
     small = level1.join(level2.select("book_id").distinct(), "book_id", "left_anti")
-    df = _parents(small.unionByName(level2))
-    df = df.select(F.concat("book_id", F.lit(":root")).alias("node_id"), "book_id", F.lit(3).alias("level"), F.lit(1).alias("n"), F.col("book_id").alias("title"), "children", "chunk_ids", "source")
+    df = _parents(small.unionByName(level2), ["book_id"])
+    df = df.select(F.concat("book_id", F.lit(":root")).alias("node_id"), "book_id", F.lit(3).alias("level"), F.lit(1).alias("n"), F.col("book_id").alias("title"), "n_children", "n_chunks", "source")
     return told(df, cache, complete)
 
 
 def tree(chunks: DataFrame, size: int = WINDOW, cache: DataFrame | None = None, complete: Completion | None = None) -> DataFrame:
-    """The nodes of all books' trees; each level is built once. cache: (key, pos, value), see `cached`."""
+    """The nodes of all books' trees; each level is built once. cache: (key, pos, value), see `cached`.
+
+    No row grows with a book: a node has counts, and the summaries that its own is made from.
+    """
     one = kept(chapters(chunks, cache, complete))
     two = kept(windows(one, size, cache, complete))
     return one.unionByName(two).unionByName(roots(one, two, cache, complete))
 
 
+def node_children(nodes: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(book_id, node_id, child, n): a row for each node below another, n its number among its level."""
+    one, two, top = (nodes.where(F.col("level") == n) for n in (1, 2, 3))
+    above = two.select("book_id", _window(size).alias("w"), F.col("node_id").alias("_up"))
+    in_window = one.withColumn("w", _window(size)).join(above, ["book_id", "w"]).select("book_id", F.col("_up").alias("node_id"), F.col("node_id").alias("child"), "n")
+    below = two.unionByName(one.join(two.select("book_id").distinct(), "book_id", "left_anti"))
+    at_top = below.join(top.select("book_id", F.col("node_id").alias("_up")), "book_id").select("book_id", F.col("_up").alias("node_id"), F.col("node_id").alias("child"), "n")
+    return in_window.unionByName(at_top)
+
+
+def node_chunks(nodes: DataFrame, chunks: DataFrame, children: DataFrame) -> DataFrame:
+    """(book_id, node_id, chunk_id, ordinal): every chunk below every node, one row each; chapters by their place, not title.
+
+    children: of the same nodes, see `node_children`.
+    """
+    thin = chunks.select("book_id", "doc_id", "chapter", "chunk_id", "ordinal")
+    keys = numbered(thin.select("book_id", "doc_id", "chapter").distinct(), F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
+    keys = keys.select(*(F.col(c).alias(f"_{c}") for c in ("book_id", "doc_id", "chapter")), "n")
+    same = F.lit(True)
+    for c in ("book_id", "doc_id", "chapter"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    numbers = thin.join(keys, same).select("book_id", "n", "chunk_id", "ordinal")
+    own = kept(numbers.join(nodes.where("level = 1").select("book_id", "n", "node_id"), ["book_id", "n"]).select("book_id", "node_id", "chunk_id", "ordinal"))
+    up = children.select("book_id", F.col("child").alias("_child"), F.col("node_id").alias("_up"))
+    lift = lambda rows: rows.join(up, (rows["book_id"] == up["book_id"]) & (F.col("node_id") == F.col("_child"))).select(rows["book_id"], F.col("_up").alias("node_id"), "chunk_id", "ordinal")
+    second = kept(lift(own))
+    return own.unionByName(second).unionByName(lift(second))
+
+
+def tree_faults(nodes: DataFrame, children: DataFrame, members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(book_id, reason, what): why a stored tree can't be used: its tables don't fit each other or the chunks.
+
+    A book with another number of roots than one, an id that two nodes have, a level that there isn't, a child or a
+    chunk that isn't known, a node that none is above, counts that differ from the rows below. No rows: a sound tree.
+    """
+    fault = lambda rows, reason, what: rows.select("book_id", F.lit(reason).alias("reason"), what.cast("string").alias("what"))
+    ids = nodes.select("book_id", "node_id")
+    known = nodes.select("book_id", F.col("node_id").alias("child"))
+    roots_ = nodes.groupBy("book_id").agg(F.count_if(F.col("level") == 3).alias("k")).where("k <> 1")
+    counts = children.groupBy("book_id", "node_id").agg(F.count(F.lit(1)).alias("below"))
+    held = members.groupBy("book_id", "node_id").agg(F.count(F.lit(1)).alias("held"))
+    counted = nodes.join(counts, ["book_id", "node_id"], "left").join(held, ["book_id", "node_id"], "left")
+    found = [
+        fault(roots_, "roots", F.col("k")),
+        fault(ids.groupBy("book_id", "node_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated node", F.col("node_id")),
+        fault(nodes.where("level is null or level not between 1 and 3"), "level", F.col("node_id")),
+        fault(children.join(known, ["book_id", "child"], "left_anti"), "unknown child", F.col("child")),
+        fault(children.join(ids, ["book_id", "node_id"], "left_anti"), "unknown parent", F.col("node_id")),
+        fault(known.join(nodes.where("level = 3").select("book_id", F.col("node_id").alias("child")), ["book_id", "child"], "left_anti").join(children, ["book_id", "child"], "left_anti"), "no parent", F.col("child")),
+        fault(members.join(chunks.select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_anti"), "unknown chunk", F.col("chunk_id")),
+        fault(counted.where(F.coalesce("below", F.lit(0)) != F.col("n_children")), "number of children", F.col("node_id")),
+        fault(counted.where(F.coalesce("held", F.lit(0)) != F.col("n_chunks")), "number of chunks", F.col("node_id")),
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+#: Rows whose digests make one digest of the next level.
+FAN_OUT = 256
+
+
+def merkle(rows: DataFrame, book: str, order: str, text: Column, *apart: str) -> DataFrame:
+    """(book, digest): one digest of the rows of each book in their order, with `apart` (columns of few values) first.
+
+    Rows are digested, then runs of FAN_OUT positions, then runs of those, then the book; order is a number from 0 that
+    rows of a group don't share. A task holds FAN_OUT digests, and at the top one for 2^16 positions.
+    """
+    level = rows.select(book, *apart, F.col(order).cast("long").alias("at"), F.sha2(text, 256).alias("d"))
+    for _ in range(2):
+        run = level.withColumn("at_", F.floor(F.col("at") / FAN_OUT)).groupBy(book, *apart, "at_").agg(F.sort_array(F.collect_list(F.struct("at", "d"))).alias("c"))
+        level = run.select(book, *apart, F.col("at_").alias("at"), F.sha2(F.array_join(F.transform("c", lambda x: x["d"]), ""), 256).alias("d"))
+    top = level.groupBy(book).agg(F.sort_array(F.collect_list(F.struct(*apart, "at", "d"))).alias("c"))
+    return top.select(book, X.digest(F.array_join(F.transform("c", lambda x: x["d"]), ""), 40).alias("digest"))
+
+
 def tree_hash(nodes: DataFrame) -> DataFrame:
-    """(book_id, node_count, tree_hash): a digest of the ids and summaries in reading order."""
+    """(book_id, node_count, tree_hash): a digest of the ids and summaries by level and in reading order, see `merkle`."""
     line = F.concat("node_id", F.lit("\u001f"), F.coalesce("summary", F.lit("")))
-    df = nodes.groupBy("book_id").agg(F.count(F.lit(1)).alias("node_count"), F.sort_array(F.collect_list(F.struct("level", "n", line.alias("l")))).alias("c"))
-    return df.select("book_id", "node_count", X.digest(F.array_join(F.transform("c", lambda x: x["l"]), "\n"), 40).alias("tree_hash"))
+    counts = nodes.groupBy("book_id").agg(F.count(F.lit(1)).alias("node_count"))
+    hashes = merkle(nodes.withColumn("_at", F.col("n") - 1), "book_id", "_at", line, "level")
+    return counts.join(hashes.withColumnRenamed("digest", "tree_hash"), "book_id")
+
+
+def source_hash(chunks: DataFrame) -> DataFrame:
+    """(book_id, source_hash): a digest of the ordered chunk ids, which hold digests of the texts: what a tree was made from."""
+    return merkle(chunks, "book_id", "ordinal", F.col("chunk_id")).withColumnRenamed("digest", "source_hash")
+
+
+def tree_identity(nodes: DataFrame, chunks: DataFrame, model: str = MODEL) -> DataFrame:
+    """(book_id, tree_hash, source_hash, model, counts by level): what reports say a tree was. nodes: see `tree`."""
+    level = lambda n: F.count_if(F.col("level") == n)
+    counts = nodes.groupBy("book_id").agg(level(1).alias("chapter_count"), level(2).alias("window_count"))
+    return tree_hash(nodes).join(source_hash(chunks), "book_id").join(counts, "book_id").withColumn("model", F.lit(model))
+
+
+def stale_trees(identity: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(book_id, reason) of stored identities (book_id, source_hash) that the chunks have gone on from."""
+    now = source_hash(chunks).withColumnRenamed("source_hash", "_now")
+    both = identity.select("book_id", "source_hash").join(now, "book_id", "full")
+    reason = F.when(F.col("source_hash").isNull(), "no tree").when(F.col("_now").isNull(), "no chunks").when(F.col("_now") != F.col("source_hash"), "other chunks")
+    return both.select("book_id", reason.alias("reason")).where("reason is not null")
 
 
 def global_answers(nodes: DataFrame, questions: DataFrame, k: int = MAP_TOP_K) -> DataFrame:
@@ -172,9 +303,10 @@ def cache_entries(nodes: DataFrame, model: str = MODEL) -> DataFrame:
 
 def chapter_sources(chunks: DataFrame) -> DataFrame:
     """(book_id, doc_id, chapter, source): the leading text of each chapter, as much as a summary is made from."""
-    part = F.struct("ordinal", F.substring("text", 1, MAX_SOURCE).alias("t"))
-    listed = chunks.groupBy("book_id", "doc_id", "chapter").agg(F.sort_array(F.collect_list(part)).alias("c"))
-    return listed.select("book_id", "doc_id", "chapter", F.substring(F.array_join(F.transform("c", lambda x: x["t"]), "\n\n"), 1, MAX_SOURCE).alias("source"))
+    by = ["book_id", "doc_id", "chapter"]
+    few = _leading(chunks.select(*by, "ordinal", "text"), by, "ordinal", "text", 2)
+    listed = few.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.substring("text", 1, MAX_SOURCE).alias("t")))).alias("c"))
+    return listed.select(*by, F.substring(F.array_join(F.transform("c", lambda x: x["t"]), "\n\n"), 1, MAX_SOURCE).alias("source"))
 
 
 def tree_manifest(nodes: DataFrame) -> DataFrame:

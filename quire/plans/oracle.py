@@ -228,6 +228,26 @@ nodes3 AS (
   FROM below GROUP BY book_id
 ), nodes AS (SELECT * FROM nodes1 UNION ALL SELECT * FROM nodes2 UNION ALL SELECT * FROM nodes3)"""
 
+#: One digest of rows (book_id, level, pos, d): of runs of 256, of runs of those, and of all.
+_MERKLE = """
+{name}_1 AS (SELECT book_id, level, pos // 256 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM ({rows}) GROUP BY book_id, level, pos // 256),
+{name}_2 AS (SELECT book_id, level, pos // 256 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM {name}_1 GROUP BY book_id, level, pos // 256),
+{name} AS (SELECT book_id, substr(sha256(string_agg(d, '' ORDER BY level, pos)), 1, 40) AS digest FROM {name}_2 GROUP BY book_id)"""
+_TREE_HASH = _MERKLE.format(name="digests", rows="SELECT book_id, level, n - 1 AS pos, sha256(node_id || chr(31) || coalesce(summary, '')) AS d FROM nodes") + """,
+tree_hash AS (SELECT book_id, count(*) AS node_count, digest AS tree_hash FROM nodes JOIN digests USING (book_id) GROUP BY ALL)"""
+
+#: What lies below the nodes of trees.
+_BELOW = """children AS (
+  SELECT a.book_id, b.node_id, a.node_id AS child, a.n FROM nodes1 a JOIN nodes2 b ON a.book_id = b.book_id AND (a.n - 1) // 4 = (b.n - 1) // 4
+  UNION ALL SELECT below.book_id, r.node_id, below.node_id, below.n FROM below JOIN nodes3 r USING (book_id)
+), own AS (
+  SELECT c.book_id, l.node_id, l.n, chunk_id, ordinal FROM chunks c JOIN nodes1 l ON l.book_id = c.book_id AND l.title = c.chapter
+), members AS (
+  SELECT book_id, node_id, chunk_id, ordinal FROM own
+  UNION ALL SELECT o.book_id, w.node_id, chunk_id, ordinal FROM own o JOIN nodes2 w ON o.book_id = w.book_id AND (o.n - 1) // 4 = (w.n - 1) // 4
+  UNION ALL SELECT o.book_id, r.node_id, chunk_id, ordinal FROM own o JOIN nodes3 r USING (book_id)
+)"""
+
 #: Questions about whole books, and the nodes of each by the cosine of hashed vectors.
 _GLOBAL = f"""{_TREE}, book_asked AS (
   SELECT book_id || '|' || item_id AS question_id, book_id, b.text AS question FROM benchmark b
@@ -361,7 +381,20 @@ ORACLE_SQL = {
         WITH c AS (SELECT conv_id, count(*) AS turns, md5('13|' || conv_id) AS h FROM conversations GROUP BY conv_id)
         SELECT conv_id, turns, CASE WHEN row_number() OVER (PARTITION BY h[1] ORDER BY h, conv_id) <= least(greatest(1, floor(count(*) OVER (PARTITION BY h[1]) * 0.1)), count(*) OVER (PARTITION BY h[1])) THEN 'validation' ELSE 'train' END AS split FROM c""",
     "tree_nodes": f"WITH {_TREE} SELECT node_id, book_id, level::INT AS level, title, n_children::INT AS n_children, n_chunks::INT AS n_chunks, summary FROM nodes",
-    "tree_hash": f"WITH {_TREE} SELECT book_id, count(*) AS node_count, substr(sha256(string_agg(node_id || chr(31) || summary, chr(10) ORDER BY level, n)), 1, 40) AS tree_hash FROM nodes GROUP BY book_id",
+    "tree_hash": f"WITH {_TREE}, {_TREE_HASH} SELECT * FROM tree_hash",
+    "tree_identity": f"""WITH {_TREE}, {_TREE_HASH}, {_MERKLE.format(name="source_hash", rows="SELECT book_id, 0 AS level, ordinal AS pos, sha256(chunk_id) AS d FROM chunks")}
+        SELECT t.book_id, node_count, tree_hash, s.digest AS source_hash, count(*) FILTER (level = 1) AS chapter_count, count(*) FILTER (level = 2) AS window_count, 'deterministic' AS model
+        FROM tree_hash t JOIN source_hash s USING (book_id) JOIN nodes USING (book_id) GROUP BY ALL""",
+    "tree_members": f"""WITH {_TREE}, {_BELOW}
+        SELECT node_id, c.chunks, first_chunk, last_chunk, coalesce(children, 0) AS children, first_child, last_child
+        FROM (SELECT node_id, count(*) AS chunks, min_by(chunk_id, ordinal) AS first_chunk, max_by(chunk_id, ordinal) AS last_chunk FROM members GROUP BY 1) c
+        LEFT JOIN (SELECT node_id, count(*) AS children, min_by(child, n) AS first_child, max_by(child, n) AS last_child FROM children GROUP BY 1) b USING (node_id)""",
+    "tree_faults": f"""WITH {_TREE}, {_BELOW}, damaged AS (SELECT * FROM nodes WHERE n <> 7 UNION ALL SELECT * FROM nodes WHERE n = 5 AND level = 1), faults AS (
+          SELECT book_id, 'repeated node' AS reason, node_id AS what FROM damaged GROUP BY ALL HAVING count(*) > 1
+          UNION SELECT book_id, 'unknown child', child FROM children WHERE child NOT IN (SELECT node_id FROM damaged)
+          UNION SELECT book_id, 'unknown parent', node_id FROM children WHERE node_id NOT IN (SELECT node_id FROM damaged)
+          UNION SELECT m.book_id, 'unknown chunk', chunk_id FROM members m WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE doc_id % 9 = 0)
+        ) SELECT book_id, reason, count(*) AS n, min(what) AS least FROM faults GROUP BY ALL""",
     "context_prefixes": f"WITH {_CHUNKS} SELECT chunk_id, 'A passage about: ' || regexp_replace(substr({_ONE('substr(d.text, 1, 6000)')}, 1, 80), '[ .]+$', '') || '.' AS context FROM chunks c JOIN documents d ON d.doc_id = c.doc_id AND d.source = c.book_id",
     "enriched_chunks": f"""WITH {_CHUNKS}, titles AS (
           SELECT source AS book_id, 'part-' || substr(doc_id::VARCHAR, 1, 1) AS title, max_by(substr(text, 1, 6000), doc_id) AS excerpt FROM documents GROUP BY ALL

@@ -280,13 +280,39 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = thematic.tree(_chunks(spark, sf_dir))
-    return nodes.select("node_id", "book_id", "level", "title", F.size("children").alias("n_children"), F.size("chunk_ids").alias("n_chunks"), "summary")
+    return nodes.select("node_id", "book_id", "level", "title", F.col("n_children").cast("int").alias("n_children"), F.col("n_chunks").cast("int").alias("n_chunks"), "summary")
 
 
 def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thematic.tree_hash(thematic.tree(_chunks(spark, sf_dir)))
 
 
+def tree_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return thematic.tree_identity(kept(thematic.tree(chunks)), chunks)
+
+
+def tree_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies below each node: its children, and its chunks with the first and last of them."""
+    chunks = _chunks(spark, sf_dir)
+    nodes = kept(thematic.tree(chunks))
+    children = kept(thematic.node_children(nodes))
+    members = thematic.node_chunks(nodes, chunks, children).groupBy("node_id").agg(F.count(F.lit(1)).alias("chunks"), F.min_by("chunk_id", "ordinal").alias("first_chunk"), F.max_by("chunk_id", "ordinal").alias("last_chunk"))
+    below = children.groupBy("node_id").agg(F.count(F.lit(1)).alias("children"), F.min_by("child", "n").alias("first_child"), F.max_by("child", "n").alias("last_child"))
+    return members.join(below, "node_id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
+
+
+def tree_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of trees that were damaged: nodes numbered 7 are gone, those numbered 5 are there twice, and chunks of every ninth document, too."""
+    chunks = _chunks(spark, sf_dir)
+    nodes = kept(thematic.tree(chunks))
+    children = kept(thematic.node_children(nodes))
+    members = kept(thematic.node_chunks(nodes, chunks, children))
+    damaged = nodes.where("n <> 7").unionByName(nodes.where("n = 5 and level = 1"))
+    found = thematic.tree_faults(damaged, children, members, chunks.where("doc_id % 9 <> 0"))
+    return found.groupBy("book_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("what").alias("least"))
+
+
 def global_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = thematic.global_answers(thematic.tree(_chunks(spark, sf_dir)), _book_questions(spark, sf_dir))
     return out.select("question_id", F.array_join("nodes", ",").alias("nodes"), "text")
@@ -395,6 +421,6 @@ QUERIES = {
     for f in (
         tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf,
         rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
-        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
+        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, tree_identity, tree_members, tree_faults, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )
 }

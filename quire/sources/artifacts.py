@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import index, synthesis
+from quire.operators import index, synthesis, thematic
 
 
 def _by_book(df: DataFrame, path: str) -> None:
@@ -53,7 +53,9 @@ def read_index(spark: SparkSession, folder: str, *books: str) -> dict[str, DataF
 CONTEXT = "struct<chunk_id:string,text:string,is_golden:boolean>"
 EXAMPLES = f"example_id string, book_id string, question string, contexts array<{CONTEXT}>, answer string, answerable boolean"
 PAIRS = "pair_id string, book_id string, chunk_id string, chapter string, question string, answer string, quotes array<string>"
-NODES = "node_id string, book_id string, level int, n int, title string, children array<string>, chunk_ids array<string>, summary string"
+NODES = "node_id string, book_id string, level int, n int, title string, n_children long, n_chunks long, summary string"
+CHILDREN = "book_id string, node_id string, child string, n int"
+MEMBERS = "book_id string, node_id string, chunk_id string, ordinal int"
 
 
 def write_json_lines(rows: DataFrame, path: str, *by: str) -> None:
@@ -75,8 +77,27 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return read_json_lines(spark, path, PAIRS)
 
 
-def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_lines(spark, path, NODES)
+def write_tree(nodes: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """The nodes of trees, then what lies below them as rows, then what they were made from as the last: see `read_tree`."""
+    columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    write_json_lines(nodes.select(*columns(NODES)), f"{folder}/nodes")
+    written = read_json_lines(nodes.sparkSession, f"{folder}/nodes", NODES)
+    write_json_lines(thematic.node_children(written).select(*columns(CHILDREN)), f"{folder}/children")
+    children = read_json_lines(nodes.sparkSession, f"{folder}/children", CHILDREN)
+    write_json_lines(thematic.node_chunks(written, chunks, children).select(*columns(MEMBERS)), f"{folder}/members")
+    write_json_lines(thematic.tree_identity(written, chunks), f"{folder}/identity")
+
+
+def read_tree(spark: SparkSession, folder: str, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, children, members) of trees that fit the chunks; else an error that names the first of their faults."""
+    read = lambda name, schema: read_json_lines(spark, f"{folder}/{name}", schema)
+    parts = read("nodes", NODES), read("children", CHILDREN), read("members", MEMBERS)
+    faults = thematic.tree_faults(*parts, chunks)
+    stale = thematic.stale_trees(read("identity", "book_id string, source_hash string"), chunks).select("book_id", "reason", F.lit(None).cast("string").alias("what"))
+    first = faults.unionByName(stale).orderBy("book_id", "reason", "what").limit(5).collect()
+    if first:
+        raise ValueError("unusable trees: " + "; ".join(f"{r.book_id}: {r.reason} {r.what or ''}".strip() for r in first))
+    return parts
 
 
 def write_report(summaries: DataFrame, path: str, **identity: str) -> None:

@@ -130,9 +130,16 @@ def test_lines_wrap_and_join(spark):
 
 
 def test_json_lines_round_trip(spark, tmp_path):
-    nodes = thematic.tree(a_book(spark, "a", "one", "two")).select(*(c.split()[0] for c in artifacts.NODES.split(", ")))
-    artifacts.write_json_lines(nodes, str(tmp_path / "tree"))
-    assert sorted(map(tuple, artifacts.read_tree(spark, str(tmp_path / "tree")).select("node_id", "summary").collect())) == sorted(map(tuple, nodes.select("node_id", "summary").collect()))
+    chunks = a_book(spark, "a", "one", "two")
+    nodes, folder = thematic.tree(chunks), str(tmp_path / "tree")
+    artifacts.write_tree(nodes, chunks, folder)
+    again, children, members = artifacts.read_tree(spark, folder, chunks)
+    assert sorted(map(tuple, again.select("node_id", "summary").collect())) == sorted(map(tuple, nodes.select("node_id", "summary").collect()))
+    assert children.count() == 2 and members.count() == 4
+    with pytest.raises(ValueError, match="a: other chunks"):
+        artifacts.read_tree(spark, folder, chunks.where("ordinal = 0"))
+    with pytest.raises(ValueError, match="b: no tree"):
+        artifacts.read_tree(spark, folder, chunks.unionByName(a_book(spark, "b", "three")))
     (tmp_path / "bad.jsonl").write_text('{"pair_id": 3\n')
     with pytest.raises(Exception, match="(?i)malformed"):
         artifacts.read_pairs(spark, str(tmp_path / "bad.jsonl")).collect()
