@@ -50,12 +50,12 @@ def document_chapters(docs: DataFrame, most: int = MOST) -> DataFrame:
     return docs.select(F.col("source").alias("book_id"), "doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("chapter"), F.transform(parts, plain).alias("pieces"))
 
 
-def assign_chapters(blocks: DataFrame) -> DataFrame:
+def assign_chapters(blocks: DataFrame, drop_repeats: bool = True) -> DataFrame:
     """blocks (book_id, title, block_no, type, text, level) with chapter_no and chapter.
 
     Chapters break at headings of level 1, in books without any at those of level 2, else nowhere. The heading that
     opens a chapter is its title and goes; what comes before the first has the book's title. Chapters of blank blocks
-    go, and so does a first block that only repeats the title.
+    go, and so does, with drop_repeats, a first block that only repeats the title.
     """
     book = Window.partitionBy("book_id")
     is_heading = F.col("type") == "heading"
@@ -68,7 +68,7 @@ def assign_chapters(blocks: DataFrame) -> DataFrame:
     df = df.where(~F.col("_break") & (X.collapse(F.col("text")) != ""))
     inside = Window.partitionBy("book_id", "_no").orderBy("block_no")
     repeats = is_heading & (X.normalise(F.col("text")) == X.normalise(F.col("chapter"))) & (F.row_number().over(inside) == 1)
-    df = df.withColumn("_repeats", repeats).where("not _repeats")
+    df = df.withColumn("_repeats", repeats & F.lit(drop_repeats)).where("not _repeats")
     return df.withColumn("chapter_no", F.dense_rank().over(book.orderBy("_no"))).drop("_break", "_no", "_repeats")
 
 

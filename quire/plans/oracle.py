@@ -406,6 +406,21 @@ ORACLE_SQL = {
         WITH t AS (SELECT conv_id || '/' || role AS key, turn AS pos, md5(text) AS value, length(text) % 2 = 1 OR contains(text, '!') AS torn FROM conversations WHERE text IS NOT NULL)
         SELECT key, max(pos) AS pos, max_by(value, pos) AS value FROM t WHERE NOT torn GROUP BY key
         UNION ALL SELECT 'set aside', count(*), NULL FROM t WHERE torn""",
+    "markdown_blocks": """
+        WITH l AS (SELECT doc_id, u.n - 1 AS n, u.line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, unnest(l) WITH ORDINALITY AS u(line, n)),
+        m AS (SELECT doc_id, n, CASE WHEN n % 17 = 0 THEN '## ' || line WHEN n % 11 = 3 THEN ' - ' || line WHEN n % 11 = 4 THEN '12. ' || line WHEN n % 13 = 5 THEN '> ' || line WHEN n % 19 = 7 THEN '```'
+                                WHEN n % 23 = 1 THEN '' WHEN n % 29 = 2 THEN '|' || line || '|' WHEN n % 31 = 4 THEN ' ---' ELSE line END AS line FROM l),
+        b AS (SELECT *, trim(line) AS t, ltrim(line) AS o, length(line) - length(ltrim(line, '#')) AS h, length(ltrim(line)) - length(ltrim(ltrim(line), '0123456789')) AS d, count(*) FILTER (starts_with(trim(line), '```')) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM m),
+        k AS (SELECT *, CASE WHEN starts_with(t, '```') THEN 'fence' WHEN fences % 2 = 1 THEN 'code' WHEN t = '' THEN 'blank' WHEN h BETWEEN 1 AND 6 AND line[h + 1] = ' ' THEN 'heading'
+                               WHEN length(line) - length(o) <= 3 AND length(t) >= 3 AND t[1] IN ('-', '*', '_') AND replace(t, t[1], '') = '' THEN 'rule'
+                               WHEN length(t) >= 2 AND t[1] = '|' AND t[-1] = '|' THEN 'table' WHEN length(line) - length(o) <= 3 AND t[1] = '>' THEN 'quote'
+                               WHEN length(line) - length(o) <= 3 AND (o[1] IN ('-', '*', '+') AND o[2] = ' ' OR d BETWEEN 1 AND 3 AND o[d + 1] IN ('.', ')') AND o[d + 2] = ' ') THEN 'list' ELSE 'paragraph' END AS kind FROM b),
+        g AS (SELECT *, CASE WHEN kind IN ('list', 'paragraph') THEN 'text' ELSE kind END AS g FROM k),
+        r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM (SELECT *, CASE WHEN g IN ('heading', 'fence') OR g IS DISTINCT FROM lag(g) OVER (PARTITION BY doc_id ORDER BY n) THEN 1 ELSE 0 END AS new FROM g)),
+        y AS (SELECT *, CASE WHEN g <> 'text' THEN g WHEN bool_or(kind = 'list') OVER (PARTITION BY doc_id, run ORDER BY n) THEN 'list' ELSE 'paragraph' END AS type FROM r WHERE g NOT IN ('fence', 'blank', 'rule')),
+        p AS (SELECT *, CASE type WHEN 'heading' THEN trim(rtrim(trim(ltrim(line, '#')), '#')) WHEN 'code' THEN line WHEN 'quote' THEN rtrim(CASE WHEN o[2] = ' ' THEN o[3:] ELSE o[2:] END) ELSE t END AS part FROM y),
+        j AS (SELECT doc_id, min(n) AS n, type, trim(CASE WHEN type = 'paragraph' THEN string_agg(part, ' ' ORDER BY n) ELSE string_agg(part, chr(10) ORDER BY n) END, ' ' || chr(10)) AS text, max(CASE WHEN type = 'heading' THEN h ELSE 0 END) AS level FROM p GROUP BY doc_id, run, type)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS block_no, type, md5(text) AS md5, level::INT AS level FROM j WHERE text <> ''""",
     "location_labels": f"""WITH {_CHUNKS}, paged AS (SELECT *, char_start // 2000 AS p, char_end // 2000 AS q FROM chunks)
         SELECT chunk_id, chapter || ' — ' || book_id || CASE WHEN p = 0 THEN '' WHEN p = q THEN ' (p. ' || p || ')' ELSE ' (pp. ' || p || '-' || q || ')' END AS label FROM paged""",
     "library_listing": f"WITH {_CHUNKS} SELECT b.book_id, documents, chunk_count, chunk_count IS NOT NULL AS indexed FROM (SELECT source AS book_id, count(*) AS documents FROM documents GROUP BY 1) b LEFT JOIN (SELECT book_id, count(*) AS chunk_count FROM chunks GROUP BY 1) c USING (book_id)",

@@ -5,11 +5,11 @@ A source is a book, a document a chapter, a line a block; benchmark items are th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import answers, chunking, completions, index, synthesis, thematic, whole_book
+from quire.operators import answers, chunking, completions, index, markdown, synthesis, thematic, whole_book
 from quire.operators.tables import kept, new_folder
 
 
@@ -228,6 +228,20 @@ def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.assign_chapters(lines.withColumns({"type": F.when(short, "heading").otherwise("paragraph"), "level": F.when(short, F.length("text") % 3 + 1)}))
 
 
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of documents whose lines have got marks by their number."""
+
+    def marked(line: Column, n: Column) -> Column:
+        put = lambda mark: F.concat(F.lit(mark), line)
+        return (
+            F.when(n % 17 == 0, put("## ")).when(n % 11 == 3, put(" - ")).when(n % 11 == 4, put("12. ")).when(n % 13 == 5, put("> ")).when(n % 19 == 7, "```")
+            .when(n % 23 == 1, "").when(n % 29 == 2, F.concat(F.lit("|"), line, F.lit("|"))).when(n % 31 == 4, " ---").otherwise(line)
+        )
+
+    texts = _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), marked), "\n").alias("text"))
+    return markdown.blocks(texts, "doc_id").select("doc_id", "block_no", "type", F.md5("text").alias("md5"), F.coalesce("level", F.lit(0)).alias("level"))
+
+
 def chapter_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outline(spark, sf_dir).select("book_id", "block_no", "chapter_no", "chapter", F.coalesce("level", F.lit(0)).alias("level"))
 
@@ -421,6 +435,6 @@ QUERIES = {
     for f in (
         tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf,
         rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
-        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, tree_identity, tree_members, tree_faults, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
+        raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, markdown_blocks, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, tree_identity, tree_members, tree_faults, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )
 }

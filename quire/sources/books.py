@@ -13,67 +13,20 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCKS = "path string, book_id string, title string, authors string, language string, chapter_no int, chapter string, block_no int, type string, text string, level int"
-
-_HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-_RULE = re.compile(r" {0,3}(?:-{3,}|\*{3,}|_{3,})\s*$")
-_LIST = re.compile(r" {0,3}(?:[-*+]|\d{1,3}[.)])\s+")
-_QUOTE = re.compile(r" {0,3}> ?")
-_FENCE = re.compile(r"\s*(`{3}|~{3})")
-_TABLE = re.compile(r"\s*\|.*\|\s*$")
+from quire.functions import text as X
+from quire.operators import chunking, markdown
+from quire.operators.tables import kept
 
+BLOCKS = "path string, book_id string, title string, authors string, language string, chapter_no int, chapter string, block_no int, type string, text string, level int"
 
 def slug(text: str, most: int = 60) -> str:
     plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
     return re.sub(r"[^a-z0-9]+", "-", plain).strip("-")[:most].strip("-") or "book"
 
 
-def markdown_blocks(source: str) -> list[tuple[str, str, int | None]]:
-    """(type, text, level) of each block. Kinds are told by a line's start; a paragraph's lines are joined by spaces."""
-    kind_of = lambda line: (
-        "blank" if not line.strip() else "heading" if _HEADING.match(line) else "rule" if _RULE.match(line) else "code" if _FENCE.match(line)
-        else "table" if _TABLE.match(line) else "quote" if _QUOTE.match(line) else "list" if _LIST.match(line) else "paragraph"
-    )
-    out: list[tuple[str, str, int | None]] = []
-    lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    at = 0
-    while at < len(lines):
-        kind, start = kind_of(lines[at]), at
-        at += 1
-        if kind == "heading":
-            marks, text = _HEADING.match(lines[start]).groups()
-            out.append((kind, text.strip(), len(marks)))
-        elif kind == "code":
-            fence = lines[start].strip()[:3]
-            while at < len(lines) and not lines[at].strip().startswith(fence):
-                at += 1
-            out.append((kind, "\n".join(lines[start + 1 : at]), None))
-            at += 1
-        elif kind not in ("blank", "rule"):
-            goes_on = {kind, "paragraph"} if kind == "list" else {kind}
-            while at < len(lines) and kind_of(lines[at]) in goes_on:
-                at += 1
-            part = [_QUOTE.sub("", x, count=1).rstrip() if kind == "quote" else x.strip() for x in lines[start:at]]
-            out.append((kind, (" " if kind == "paragraph" else "\n").join(part), None))
-    return [b for b in out if b[1].strip()]
-
-
-def into_chapters(blocks: list[tuple[str, str, int | None]], title: str) -> list[tuple[str, list[tuple[str, str, int | None]]]]:
-    """Chapters break at h1, else at h2, else not at all; what comes first has the book's title; empty ones go."""
-    levels = {b[2] for b in blocks if b[0] == "heading"}
-    level = 1 if 1 in levels else 2 if 2 in levels else None
-    out: list[tuple[str, list]] = [(title, [])]
-    for block in blocks:
-        if block[0] == "heading" and block[2] == level:
-            out.append((block[1], []))
-        else:
-            out[-1][1].append(block)
-    return [c for c in out if c[1]]
-
-
 class _Visible(HTMLParser):
     """An XHTML chapter as Markdown lines."""
 
@@ -120,8 +73,8 @@ def _contents(file: zipfile.ZipFile, base: str, items: list) -> dict[str, str]:
     return titles
 
 
-def epub_chapters(content: bytes) -> tuple[dict[str, str | None], list[tuple[str, list]]]:
-    """(title, authors and language; chapters) of an EPUB in spine order; entries that aren't linear or have under 80 characters and no heading go."""
+def epub_parts(content: bytes) -> tuple[dict[str, str | None], list[tuple[str | None, str, str]]]:
+    """(title, authors and language; linear entries of the spine as their title in the contents, a name from the file, and Markdown)."""
     local = lambda e: e.tag.rpartition("}")[2]
     with zipfile.ZipFile(io.BytesIO(content)) as file:
         box = ElementTree.fromstring(file.read("META-INF/container.xml"))
@@ -139,52 +92,77 @@ def epub_chapters(content: bytes) -> tuple[dict[str, str | None], list[tuple[str
                 continue
             page = _Visible()
             page.feed(file.read(posixpath.join(base, item.get("href"))).decode("utf-8", "replace"))
-            blocks = markdown_blocks("\n".join(page.lines))
-            heading = next((t for k, t, n in blocks if k == "heading" and n <= 3), None)
-            if heading is None and sum(len(b[1]) for b in blocks) < 80:
-                continue
-            name = titles.get(item.get("href")) or heading or posixpath.splitext(posixpath.basename(item.get("href")))[0].replace("_", " ").replace("-", " ").title()
-            if blocks and blocks[0][0] == "heading" and " ".join(blocks[0][1].lower().split()) == " ".join(name.lower().split()):
-                blocks = blocks[1:]
-            if blocks:
-                out.append((name, blocks))
+            name = posixpath.splitext(posixpath.basename(item.get("href")))[0].replace("_", " ").replace("-", " ").title()
+            out.append((titles.get(item.get("href")), name, "\n".join(page.lines)))
     return about, out
 
 
-def book_rows(where: str, content: bytes) -> list[tuple]:
-    """The blocks of one file; what can't be read, or holds no text, is one row of type "error" with the reason as its text."""
+PARTS = "path string, book_id string, title string, authors string, language string, part int, named string, stem string, markdown string, error string"
+#: What an EPUB's entry needs, if it has no heading.
+MIN_PART = 80
+
+
+def file_parts(where: str, content: bytes) -> list[tuple]:
+    """A file's texts as Markdown: one, or those of an EPUB's spine; a file that can't be read is one row with the error."""
     stem = posixpath.splitext(posixpath.basename(where))[0]
-    about: dict[str, str | None] = {}
     try:
-        if where.lower().endswith(".epub"):
-            about, found = epub_chapters(content)
-        else:
-            found = into_chapters(markdown_blocks(content.decode("utf-8", "replace")), stem)
-        if not found:
-            raise ValueError("no text")
+        if not where.lower().endswith(".epub"):
+            return [(where, slug(stem), stem, None, None, 0, None, None, content.decode("utf-8", "replace"), None)]
+        about, found = epub_parts(content)
+        title = about.get("title") or stem
+        head = (where, slug(title), title, about.get("authors"), about.get("language"))
+        return [(*head, n, *part, None) for n, part in enumerate(found, 1)] or [(*head, 1, None, None, "", None)]
     except Exception as error:  # noqa: BLE001  one bad file is no reason to lose the others
-        return [(where, slug(stem), stem, None, None, 0, None, 0, "error", f"{type(error).__name__}: {error}", None)]
-    title = about.get("title") or stem
-    head = (where, slug(title), title, about.get("authors"), about.get("language"))
-    return [(*head, n, chapter, i, *b) for n, (chapter, blocks) in enumerate(found, 1) for i, b in enumerate(blocks, 1)]
+        return [(where, slug(stem), stem, None, None, 0, None, None, None, f"{type(error).__name__}: {error}")]
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of all .md, .markdown, .txt and .epub files below a path; one file per task row, none on the driver.
+    """The blocks of all .md, .markdown, .txt and .epub files below a path, with chapters.
 
-    A file that can't be read has one row of type "error"; `failures` lists these, and chunks leave them out.
+    Files are opened where the tasks run, none on the driver, and their Markdown becomes blocks in Spark. Texts break into
+    chapters at headings; an EPUB's entries are chapters, named by the contents, else by their first heading, else by the
+    file; those of under MIN_PART characters without a heading go. A file that can't be read or has no text has one row of
+    type "error"; `failures` lists these, and chunks leave them out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.lower("path").rlike(r"\.(md|markdown|txt|epub)$")).select("path", "content")
-    columns = [c.split()[0] for c in BLOCKS.split(", ")]
+    columns = [c.split()[0] for c in PARTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for where, content in zip(batch["path"], batch["content"]):
-                rows = pd.DataFrame(book_rows(where, content), columns=columns)
-                yield rows.astype({"level": "Int32", "chapter_no": "int32", "block_no": "int32"})
-
-    return files.mapInPandas(run, BLOCKS)
+                yield pd.DataFrame(file_parts(where, content), columns=columns).astype({"part": "int32"})
+
+    parts = kept(files.mapInPandas(run, PARTS).withColumn("key", F.concat_ws("\n", "path", "part")))
+    found = kept(markdown.blocks(parts.where("error is null"), "key", "markdown").join(parts.drop("markdown", "error"), "key"))
+    out = _of_texts(found.where("part = 0")).unionByName(_of_entries(found.where("part > 0")))
+    whole = out.select("path").distinct()
+    bad = parts.groupBy("path").agg(F.min(F.struct("part", "book_id", "title", F.coalesce("error", F.lit("ValueError: no text")).alias("text"))).alias("x")).join(whole, "path", "left_anti")
+    none = lambda kind: F.lit(None).cast(kind)
+    errors = bad.select("path", "x.book_id", "x.title", none("string").alias("authors"), none("string").alias("language"), F.lit(0).alias("chapter_no"), none("string").alias("chapter"), F.lit(0).alias("block_no"), F.lit("error").alias("type"), "x.text", none("int").alias("level"))
+    return out.unionByName(errors).select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in BLOCKS.split(", ")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with block_no from 1 in each chapter."""
+    return rows.withColumn("block_no", F.row_number().over(Window.partitionBy("path", "chapter_no").orderBy("block_no")))
+
+
+def _of_texts(rows: DataFrame) -> DataFrame:
+    """Blocks of text files with chapters by their headings; a file is a book, whatever other files are called."""
+    named = rows.withColumn("_id", F.col("book_id")).withColumn("book_id", F.col("path"))
+    return _numbered(chunking.assign_chapters(named, drop_repeats=False).withColumn("book_id", F.col("_id")).drop("_id", "key", "part", "named", "stem"))
+
+
+def _of_entries(rows: DataFrame) -> DataFrame:
+    """Blocks of EPUB entries, each a chapter; one that only repeats the chapter's name at its start goes."""
+    entry = Window.partitionBy("key")
+    heading = F.min(F.when((F.col("type") == "heading") & (F.col("level") <= 3), F.struct("block_no", "text"))).over(entry)["text"]
+    df = rows.withColumns({"_heading": heading, "_size": F.sum(F.length("text")).over(entry)}).where(F.col("_heading").isNotNull() | (F.col("_size") >= MIN_PART))
+    df = df.withColumn("chapter", F.coalesce("named", "_heading", "stem"))
+    df = df.where(~((F.col("block_no") == 0) & (F.col("type") == "heading") & (X.normalise(F.col("text")) == X.normalise(F.col("chapter")))))
+    numbers = F.dense_rank().over(Window.partitionBy("path").orderBy("part"))
+    return _numbered(df.withColumn("chapter_no", numbers).drop("key", "part", "named", "stem", "_heading", "_size"))
 
 
 def failures(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import chunking, index, synthesis, thematic
+from quire.operators import chunking, index, markdown, synthesis, thematic
 from quire.sources import artifacts, books
 from quire.streaming import postings
 
@@ -178,10 +178,26 @@ def test_cache_takes_the_last_entry(spark):
     assert [tuple(r) for r in hits.collect()] == [("a", "new")] and [r.key for r in misses.collect()] == ["b"]
 
 
-def test_markdown():
-    blocks = books.markdown_blocks("# One #\n\na\nb\n\n- x\n  more\n> q\n> r\n\n---\n```\ncode\n```\n|a|b|\n## Two\nend")
-    assert blocks == [("heading", "One", 1), ("paragraph", "a b", None), ("list", "- x\nmore", None), ("quote", "q\nr", None), ("code", "code", None), ("table", "|a|b|", None), ("heading", "Two", 2), ("paragraph", "end", None)]
-    assert [c[0] for c in books.into_chapters(blocks, "t")] == ["One"]
+def test_markdown(spark):
+    """Each case as the blocks it makes; the first is a whole page."""
+    cases = [
+        ("# One #\n\na\nb\n\n- x\n  more\n> q\n> r\n\n---\n```\ncode\n```\n|a|b|\n## Two\nend", [("heading", "One", 1), ("paragraph", "a b", None), ("list", "- x\nmore", None), ("quote", "q\nr", None), ("code", "code", None), ("table", "|a|b|", None), ("heading", "Two", 2), ("paragraph", "end", None)]),
+        ("a\r\n1. b\rc\n12) d\n1234. e", [("paragraph", "a", None), ("list", "1. b\nc\n12) d\n1234. e", None)]),
+        ("``` x\na\n~~~\n\n# no\n```\n~~~\nb\n```\nc", [("code", "a\n~~~\n\n# no", None), ("code", "b\n```\nc", None)]),
+        ("```\n```\n```\nx\n```\n```\ny\n```", [("code", "x", None), ("code", "y", None)]),
+        ("####### seven\n#none\n# C# ##\n# #\n#  \n###### six", [("paragraph", "####### seven #none", None), ("heading", "C#", 1), ("heading", "#", 1), ("heading", "six", 6)]),
+        ("***\n* a\n**b**\n---\n--\n    - far\n\n    > far", [("list", "* a\n**b**", None), ("paragraph", "-- - far", None), ("paragraph", "> far", None)]),
+        (">\n>x\n>  y \n|\n||\n|a", [("quote", "x\n y", None), ("paragraph", "|", None), ("table", "||", None), ("paragraph", "|a", None)]),
+        ("-\tx\n-y\n+ z", [("list", "-\tx\n-y\n+ z", None)]),
+        ("", []), (None, []), (" \n\t", []),
+    ]
+    texts = spark.createDataFrame([(i, c[0], "other") for i, c in enumerate(cases)], "id int, text string, line string")
+    got = markdown.blocks(texts, "id").orderBy("id", "block_no").collect()
+    for i, (_, want) in enumerate(cases):
+        assert [(r.type, r.text, r.level) for r in got if r.id == i] == want
+        assert [r.block_no for r in got if r.id == i] == list(range(len(want)))
+    again = markdown.blocks(markdown.rendered(markdown.blocks(texts.where("id in (0, 3)"), "id"), "id"), "id", "markdown")
+    assert sorted(map(tuple, again.collect())) == sorted(tuple(r) for r in got if r.id in (0, 3))
     assert books.slug("Été à Paris!") == "ete-a-paris" and books.slug("…") == "book"
 
 
