@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators.tables import kept
 
 QUOTE = 240
 REFUSED_HEAD = 200
@@ -158,6 +159,45 @@ def variant_items(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, go
     return item_results(expected, told).withColumn("variant", F.substring_index("question_id", "|", 1))
 
 
+#: Characters of the reason why a variant was skipped.
+MAX_REASON = 200
+
+
+def attempted(runs: dict[str, Callable[[], DataFrame]]) -> tuple[list[DataFrame], dict[str, str]]:
+    """The item results of variants that ran, and why the others didn't, by name.
+
+    Each is planned and written on its own, so one that fails, in its plan or in a task, costs itself only. A variant is
+    a few jobs, and there are a handful of variants.
+    """
+    done, skipped = [], {}
+    for name, run in runs.items():
+        try:
+            done.append(kept(run().withColumn("variant", F.lit(name))))
+        except Exception as problem:  # whatever it is belongs to the variant
+            first = (str(problem).strip().splitlines() or [""])[0]
+            skipped[name] = f"{type(problem).__name__}: {first}"[:MAX_REASON]
+    return done, skipped
+
+
+def ablation(spark: SparkSession, runs: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(variant, position, baseline, item_count, metrics, deltas, skipped) of all variants, in the order given.
+
+    The baseline is the first that ran; a variant that didn't has null metrics and its reason. If none ran, an error says
+    why the first didn't.
+    """
+    done, skipped = attempted(runs)
+    if not done:
+        raise ValueError("no variant ran: " + "; ".join(f"{k}: {v}" for k, v in skipped.items()))
+    first = next(name for name in runs if name not in skipped)
+    named = spark.createDataFrame([(name, n, name == first, skipped.get(name)) for n, name in enumerate(runs)], "variant string, position int, baseline boolean, skipped string")
+    results = done[0]
+    for more in done[1:]:
+        results = results.unionByName(more)
+    made = kept(summary(results, "variant"))
+    both = named.join(made.select("variant", "item_count", *METRICS), "variant", "left").join(deltas(made, F.col("variant") == first), "variant", "left")
+    return both.select("variant", "position", "baseline", F.coalesce("item_count", F.lit(0)).alias("item_count"), *METRICS, *(f"{m}_delta" for m in METRICS), "skipped")
+
+
 def compare(items: DataFrame, kinds: DataFrame) -> DataFrame:
     """(variant, kind, metrics, deltas) of item results per generator; kinds: (variant, kind), one of them "base".
 

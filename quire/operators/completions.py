@@ -58,7 +58,7 @@ def completed(asked: DataFrame, connect: Connect, attempts: int = ATTEMPTS, at_o
     return kept(rows.mapInArrow(run, "key string, reply string, error string, attempts int"))
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
     """The names of the folders in path whose writing ended, in order; none if there is no such path."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     top = hadoop.Path(path)
@@ -94,9 +94,9 @@ def scan_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     What was compacted comes from the newest base, the rest from the runs after it. A torn or foreign line costs itself
     only. A log that doesn't exist yet is empty.
     """
-    bases = _folders(spark, f"{folder}/base")
+    bases = complete_folders(spark, f"{folder}/base")
     upto = bases[-1].split("=")[1] if bases else ""
-    runs = [n for n in _folders(spark, f"{folder}/log") if n.split("=")[1] > upto]
+    runs = [n for n in complete_folders(spark, f"{folder}/log") if n.split("=")[1] > upto]
     of_file = F.regexp_extract(F.col("_metadata.file_path"), r"(?:run|upto)=([0-9]+)", 1)
     lines = _read(spark, [*(f"{folder}/base/{b}" for b in bases[-1:]), *(f"{folder}/log/{n}" for n in runs)], of_file)
     reason = F.when(F.col("key").isNull() | (F.col("key") == ""), "no key").when(F.col("pos").isNull(), "no position").when(F.col("value").isNull(), "no value")
@@ -116,7 +116,7 @@ def compact_log(spark: SparkSession, folder: str) -> DataFrame:
 
     Nothing is deleted: until the base is complete, scans go by the old one and the runs after it.
     """
-    runs = _folders(spark, f"{folder}/log")
+    runs = complete_folders(spark, f"{folder}/log")
     entries, rejected = scan_log(spark, folder)
     aside = kept(rejected)
     if runs:

@@ -38,18 +38,22 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def scored(posts: DataFrame, weighed: DataFrame, mean_length: float, k: int = DEPTH) -> DataFrame:
+    """(question_id, chunk_id, score, rank): the k best by BM25 of weighed (question_id, token, times, idf), with positive scores."""
+    tf = F.col("tf")
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
+    sums = posts.join(weighed, "token").groupBy("question_id", "chunk_id").agg(F.sum(F.col("times") * weight).alias("score"))
+    return _best(sums.where("score > 0"), k)
+
+
 def bm25(posts: DataFrame, questions: DataFrame, n: int, mean_length: float, k: int = DEPTH) -> DataFrame:
     """(question_id, chunk_id, score, rank) by BM25 with positive scores; a repeated query token counts again.
 
-    Only the tokens that are asked for get an idf and meet their postings, which filters before anything is shuffled
-    where the questions are few.
+    The mean idf takes all tokens' df, so all postings are counted; `sources.retrieval` keeps both in the index.
     """
     asked = postings(questions, "question_id", "question").select("question_id", "token", F.col("tf").alias("times"))
     weighed = asked.join(idf(posts, n), "token").select("question_id", "token", "times", "idf")
-    tf = F.col("tf")
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
-    scored = posts.join(weighed, "token").groupBy("question_id", "chunk_id").agg(F.sum(F.col("times") * weight).alias("score"))
-    return _best(scored.where("score > 0"), k)
+    return scored(posts, weighed, mean_length, k)
 
 
 def hashed(posts: DataFrame, key: str = "chunk_id", dim: int = DIM) -> DataFrame:

@@ -373,6 +373,10 @@ ORACLE_SQL = {
         SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id))::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
     "cited_answers": f"WITH {_ANSWERS} SELECT question_id, text, array_to_string(citations, ',') AS citations, refused, md5(documents) AS prompt_md5 FROM finished WHERE k = 8",
     "golden_items": f"WITH {_GOLDEN} SELECT question_id, answerable, array_to_string(expected, ',') AS expected_chapters FROM golden",
+    "stored_hybrid": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 9) AS score FROM hits",
+    "ablation_skipped": f"""WITH {_ITEMS}, v AS (SELECT * FROM (VALUES ('reranked', 0, false, 'no reranker is set'), ('top8', 1, true, NULL), ('judged', 2, false, 'the judge is gone'), ('top4', 3, false, NULL)) AS x(variant, position, baseline, skipped))
+        SELECT v.variant, position::INT AS position, baseline, coalesce(m.item_count, 0) AS item_count, {', '.join(f'round(m.{x}, 6) AS {x}, round(m.{x} - b.{x}, 6) AS {x}_delta' for x in _METRICS)}, skipped
+        FROM v LEFT JOIN metrics m USING (variant), (SELECT * FROM metrics WHERE variant = 'top8') b""",
     "eval_summary": f"WITH {_ITEMS} SELECT variant, item_count, answerable_count, unanswerable_count, round(unanswerable_refusal_rate, 6) AS unanswerable_refusal_rate, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM metrics",
     "ablation_deltas": f"WITH {_ITEMS} SELECT m.variant, {', '.join(f'round(m.{x} - b.{x}, 6) AS {x}_delta' for x in _METRICS)} FROM metrics m, metrics b WHERE b.variant = 'top8'",
     "qa_pairs": f"WITH {_PAIRS} SELECT pair_id, book_id, chunk_id, question, answer, quote AS quotes FROM named",

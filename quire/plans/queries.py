@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import answers, chunking, completions, index, markdown, synthesis, thematic, whole_book
 from quire.operators.tables import kept, new_folder
+from quire.sources import retrieval
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,14 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("question_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
+def stored_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval from an index that was stored before, whose postings are read by the tokens asked for."""
+    folder = new_folder(spark)
+    retrieval.write_retrieval(_chunks(spark, sf_dir), folder)
+    hits = retrieval.Retrieval(spark, folder).retrieve(_questions(spark, sf_dir))
+    return hits.select("question_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
 def rrf_chapter_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits in the first chapter that contains the question; ranks are those before the filter."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
@@ -138,6 +147,24 @@ def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(answers.deltas(answers.summary(_variants(spark, sf_dir), "variant"), F.col("variant") == "top8"))
 
 
+def ablation_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval depths as variants, of which the first can't be planned and another fails while it runs."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    hits, gold = kept(index.retrieve(chunks, questions)), answers.golden(questions, _docs(spark, sf_dir))
+
+    def top(k: int) -> DataFrame:
+        return answers.item_results(gold, answers.answer(answers.prompts(hits.where(F.col("rank") <= k), chunks, questions)))
+
+    def absent() -> DataFrame:
+        raise ValueError("no reranker is set")
+
+    def broken() -> DataFrame:
+        return top(4).withColumn("citation_count", F.raise_error(F.lit("the judge is gone")).cast("int"))
+
+    out = answers.ablation(spark, {"reranked": absent, "top8": lambda: top(8), "judged": broken, "top4": lambda: top(4)})
+    return _rounded(out.withColumn("skipped", F.regexp_extract("skipped", "no reranker is set|the judge is gone", 0)))
+
+
 def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics with reranking off and on, crossed with 4 and 8 hits kept."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
@@ -433,7 +460,7 @@ def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf,
+        tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf, stored_hybrid, ablation_skipped,
         rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
         raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, markdown_blocks, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, tree_identity, tree_members, tree_faults, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import index, synthesis, thematic
+from quire.operators.tables import kept
+from quire.sources import bundles
 
 
 def _by_book(df: DataFrame, path: str) -> None:
@@ -116,14 +118,41 @@ def append_cache(made: DataFrame, path: str) -> None:
     made.where("value is not null").select("key", "pos", "value").write.mode("append").parquet(path)
 
 
-def write_training(examples: DataFrame, folder: str, title: str = "the book") -> None:
-    """Chat examples (with split) as JSON lines for training and validation; nothing is written if one is at fault."""
-    faults = synthesis.errors(examples, title).groupBy("error").agg(F.count(F.lit(1)).alias("n")).orderBy("error").collect()  # a row per kind
+def write_training(examples: DataFrame, folder: str, title: str = "the book") -> str:
+    """Publishes chat examples (with split) as JSON lines for training and validation, with a manifest; the path of what was written.
+
+    The plan runs once: what is checked is what is written. Examples at fault publish nothing, and a failure between two
+    tables leaves the bundle that was there (see `bundles`, and `read_training`).
+    """
+    made = kept(examples)
+    faults = synthesis.errors(made, title).groupBy("error").agg(F.count(F.lit(1)).alias("n")).orderBy("error").collect()  # a row per kind
     if faults:
         raise ValueError("invalid examples: " + ", ".join(f"{r['error']} ({r['n']})" for r in faults))
-    kinds = {r["answerable"] for r in examples.select("answerable").distinct().collect()}  # two at most
+    kinds = {r["answerable"] for r in made.select("answerable").distinct().collect()}  # two at most
     if kinds != {True, False}:
         raise ValueError("training needs answerable and unanswerable examples")
-    write_json_lines(examples.select("split", "example_id", "messages"), f"{folder}/examples", "split")
-    if "book_id" in examples.columns:
-        write_json_lines(synthesis.training_manifest(examples, title).coalesce(1), f"{folder}/manifest")
+    tables = {"examples": lambda path: write_json_lines(made.select("split", "example_id", "messages"), path, "split")}
+    if "book_id" in made.columns:
+        tables["manifest"] = lambda path: write_json_lines(synthesis.training_manifest(made, title).coalesce(1), path)
+    return bundles.publish(made.sparkSession, folder, tables)
+
+
+def read_training(spark: SparkSession, folder: str) -> DataFrame:
+    """(split, example_id, messages) of the bundle published last."""
+    messages = "array<struct<role:string,content:string>>"
+    return read_json_lines(spark, f"{bundles.published(spark, folder)}/examples", f"example_id string, messages {messages}, split string")
+
+
+def write_synthesis(pairs: DataFrame, examples: DataFrame, manifest: DataFrame, folder: str) -> str:
+    """Publishes what synthesis gives, which appears as a whole: judged pairs kept and rejected, examples, and the manifest by book."""
+    judged, kept_ones = kept(pairs), F.col("reason").isNull()
+    plain = [c.split()[0] for c in PAIRS.split(", ") if c.split()[0] in judged.columns]
+    return bundles.publish(
+        judged.sparkSession, folder,
+        {
+            "pairs": lambda path: write_json_lines(judged.where(kept_ones).select(*plain), path),
+            "rejected": lambda path: write_json_lines(judged.where(~kept_ones).select(*plain, "reason"), path),
+            "raft": lambda path: write_json_lines(examples, path),
+            "manifest": lambda path: write_json_lines(manifest.coalesce(1), path),
+        },
+    )
