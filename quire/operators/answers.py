@@ -96,17 +96,27 @@ def golden(questions: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def item_results(golden_items: DataFrame, answers: DataFrame) -> DataFrame:
-    """A row per item: whether an expected chapter is within a retrieved one, and the share of snippets in the answer."""
-    both = golden_items.select("question_id", "question", "answerable", "expected_chapters").join(answers.select("question_id", "text", "refused", "citations", "chapters"), "question_id")
+    """A row per item: whether an expected chapter is within a retrieved one, and the share of snippets in the answer.
+
+    Snippets are the items' `snippets`, a list of an editor's length, compared without regard to case and spacing; an item
+    without any has no rate. A table without this column expects the question's beginning. All are matched in one pass.
+    """
+    given = "snippets" in golden_items.columns
+    both = golden_items.select("question_id", "question", "answerable", "expected_chapters", *(["snippets"] if given else [])).join(answers.select("question_id", "text", "refused", "citations", "chapters"), "question_id")
     within = F.exists("expected_chapters", lambda e: F.exists("chapters", lambda c: F.contains(X.normalise(c), X.normalise(e))))
-    snippet = F.contains(X.normalise(F.col("text")), X.normalise(F.substring("question", 1, 40))).cast("int")
+    has = lambda s: F.contains(X.normalise(F.col("text")), X.normalise(s))
+    if given:
+        wanted = F.filter("snippets", lambda s: X.normalise(s) != "")
+        snippet = F.try_divide(F.size(F.filter(wanted, has)), F.size(wanted))
+    else:
+        snippet = has(F.substring("question", 1, 40)).cast("int")
     return both.withColumns(
         {
             "retrieval_hit": F.when(F.col("answerable") & (F.size("expected_chapters") > 0), within),
             "contains_rate": F.when(F.col("answerable"), snippet.cast("double")),
             "citation_count": F.size("citations"),
         }
-    )
+    ).drop("snippets")
 
 
 def summary(items: DataFrame, *by: str) -> DataFrame:

@@ -176,15 +176,21 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): for each of asked (query_id, q) the k vectors (vec_id, v) of the largest cosine.
 
     Blocks of vectors meet blocks of queries as matrices; each pair of blocks gives k rows for a query. Vectors of zeros
-    have the cosine 0. All vectors have one length, and none is null.
+    have the cosine 0. A shorter vector counts as filled up with zeros; vectors that are null, empty, or hold null or
+    non-finite components take no part, as rows without an id.
     """
+    whole = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    vectors, asked = (df.where(F.col(i).isNotNull() & (F.size(v) > 0) & whole(F.col(v))) for df, i, v in ((vectors, "vec_id", "v"), (asked, "query_id", "q")))
 
     def blocks(rows: DataFrame, names: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(at, BLOCK)
-                    matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                    sizes = np.asarray(part.column(1).value_lengths())
+                    matrix = np.zeros((part.num_rows, sizes.max(initial=0)))
+                    row = np.repeat(np.arange(part.num_rows), sizes)
+                    matrix[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = part.column(1).flatten().to_numpy(zero_copy_only=False)
                     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
                     unit = matrix / np.where(norm > 0, norm, 1.0)
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column(0).to_numpy(), unit)], names.split())
@@ -198,7 +204,9 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             for row in range(batch.num_rows):
                 ids, matrix, queries, wanted = (c[row].as_py() for c in batch.columns)
                 ids, queries = np.frombuffer(ids, np.int64), np.frombuffer(queries, np.int64)
-                scores = np.round(np.frombuffer(wanted).reshape(len(queries), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T, 9)
+                left, right = np.frombuffer(wanted).reshape(len(queries), -1), np.frombuffer(matrix).reshape(len(ids), -1)
+                both = min(left.shape[1], right.shape[1])  # what one block lacks is zeros
+                scores = np.round(left[:, :both] @ right[:, :both].T, 9) + 0.0
                 best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
                 q = np.repeat(np.arange(len(queries)), best.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (queries[q], ids[best.ravel()], scores[q, best.ravel()])], ["query_id", "vec_id", "score"])

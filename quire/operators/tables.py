@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ids in a block of those that are numbered together.
-BLOCK = 4096
+#: The least and the greatest number of cells that ids are dealt to, and the error of their bounds as a part of all rows.
+CELLS, MOST_CELLS, ACCURACY = 64, 1024, 10_000
 
 
 def _set_folder(spark: SparkSession) -> None:
@@ -34,13 +34,32 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+def cells(rows: DataFrame, by: str) -> Column:
+    """The cell of a numeric column that a row falls into, along which the column grows; nulls come first.
+
+    Bounds are quantiles of the column, found in a job that reads nothing else, so cells hold about as many rows each
+    however far apart ids lie, and there are as many cells at most as twice the session's shuffle partitions ask for.
+    """
+    n = min(MOST_CELLS, max(CELLS, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = rows.agg(F.percentile_approx(F.col(by), [i / n for i in range(1, n)], ACCURACY)).first()[0]
+    bounds = sorted(set(found or []))
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(F.col(by) <= bounds[middle], place(lo, middle)).otherwise(place(middle + 1, hi))
+
+    return F.when(F.col(by).isNull(), -1).otherwise(place(0, len(bounds)))
+
+
 def running(rows: DataFrame, group: str, order: list[str], **sums: Column) -> DataFrame:
     """rows with a column for each of sums: its total over the rows before, within the group and by the order.
 
-    The first of `order` is an id. Rows are summed within blocks of ids and moved on by the sums of the blocks before,
-    so no task holds a group. Rows are numbered one by one, so repeated ones keep their own places.
+    The first of `order` is a number, of any size. Rows are summed within cells of it (see `cells`) and moved on by the
+    sums of the cells before, so no task holds a group. Rows are numbered one by one, so repeated ones keep their own places.
     """
-    rows = rows.withColumns({"_block": F.floor(F.col(order[0]) / BLOCK)} | {f"_{name}": value for name, value in sums.items()})
+    rows = rows.withColumns({"_block": cells(rows, order[0])} | {f"_{name}": value for name, value in sums.items()})
     blocks = rows.groupBy(F.col(group).alias("_g"), F.col("_block").alias("_b")).agg(*(F.sum(f"_{name}").alias(f"_t_{name}") for name in sums))
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_g", "_b", *(F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in sums))

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators.completions import Connect, asked_once
-from quire.operators.tables import kept
+from quire.operators.tables import cells, kept
 
 #: See `answers.Completion`.
 Completion = Callable[[Column, Column], Column]
 
 WINDOW, MAP_TOP_K, MAX_SOURCE, MAX_SUMMARY, MIN_SUMMARY = 4, 6, 6000, 1200, 10
-#: Document ids in a block of those that are numbered together.
-NUMBERED = 4096
 #: Fixed: a completion with one of these isn't a summary.
 UNUSABLE = ("i'm sorry", "as an ai", "cannot summarize", "couldn't find")
 
@@ -89,7 +87,7 @@ def chapters(chunks: DataFrame, cache: DataFrame | None = None, complete: Comple
     """
     by = ["book_id", "doc_id", "chapter"]
     sizes = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"))
-    thin = numbered(sizes, F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
+    thin = numbered(sizes, cells(chunks, "doc_id"), "doc_id", "chapter")
     told_by = chapter_sources(chunks).select(*(F.col(c).alias(f"_{c}") for c in by), "source")
     same = F.lit(True)
     for c in by:
@@ -166,7 +164,7 @@ def node_chunks(nodes: DataFrame, chunks: DataFrame, children: DataFrame) -> Dat
     children: of the same nodes, see `node_children`.
     """
     thin = chunks.select("book_id", "doc_id", "chapter", "chunk_id", "ordinal")
-    keys = numbered(thin.select("book_id", "doc_id", "chapter").distinct(), F.floor(F.col("doc_id") / NUMBERED), "doc_id", "chapter")
+    keys = numbered(thin.select("book_id", "doc_id", "chapter").distinct(), cells(thin, "doc_id"), "doc_id", "chapter")
     keys = keys.select(*(F.col(c).alias(f"_{c}") for c in ("book_id", "doc_id", "chapter")), "n")
     same = F.lit(True)
     for c in ("book_id", "doc_id", "chapter"):

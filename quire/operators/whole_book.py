@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import answers, completions, index, thematic
-from quire.operators.tables import kept
+from quire.operators.tables import cells, kept
 
 #: Nodes or questions of a book in a block of the product, and partial answers that one call puts together.
 BLOCK, AT_ONCE = 1024, 64
@@ -76,7 +76,7 @@ def nearest_nodes(nodes: DataFrame, questions: DataFrame, k: int = thematic.MAP_
 def chapters_in_order(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, book_id, rank, node_id, level, n): without vectors, all chapters of the question's book that have a summary."""
     told = nodes.where("level = 1 and summary is not null").select("book_id", "node_id", "level", F.col("n").alias("no"))
-    numbered = thematic.numbered(told, F.floor(F.col("no") / thematic.NUMBERED), "no").withColumnRenamed("n", "rank").withColumnRenamed("no", "n")
+    numbered = thematic.numbered(told, cells(told, "no"), "no").withColumnRenamed("n", "rank").withColumnRenamed("no", "n")
     return questions.select("question_id", "book_id").join(numbered, "book_id")
 
 

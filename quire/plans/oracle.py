@@ -374,6 +374,10 @@ ORACLE_SQL = {
     "cited_answers": f"WITH {_ANSWERS} SELECT question_id, text, array_to_string(citations, ',') AS citations, refused, md5(documents) AS prompt_md5 FROM finished WHERE k = 8",
     "golden_items": f"WITH {_GOLDEN} SELECT question_id, answerable, array_to_string(expected, ',') AS expected_chapters FROM golden",
     "stored_hybrid": f"WITH {_HITS} SELECT question_id, chunk_id, rank, round(score, 9) AS score FROM hits",
+    "snippet_rates": f"""WITH {_ANSWERS}, {_GOLDEN}, parts AS (
+          SELECT question_id, answerable, lower({_ONE("f.text")}) AS t, list_filter([lower({_ONE("substr(g.question, 1, 15)")}), lower({_ONE("substr(g.question, 16, 15)")}), lower({_ONE("substr(g.question, 31, 15)")}), 'no such words'], lambda x: x <> '') AS s
+          FROM finished f JOIN golden g USING (question_id) WHERE k = 8)
+        SELECT question_id, CASE WHEN answerable THEN round(len(list_filter(s, lambda x: contains(t, x)))::DOUBLE / len(s), 6) END AS contains_rate FROM parts""",
     "ablation_skipped": f"""WITH {_ITEMS}, v AS (SELECT * FROM (VALUES ('reranked', 0, false, 'no reranker is set'), ('top8', 1, true, NULL), ('judged', 2, false, 'the judge is gone'), ('top4', 3, false, NULL)) AS x(variant, position, baseline, skipped))
         SELECT v.variant, position::INT AS position, baseline, coalesce(m.item_count, 0) AS item_count, {', '.join(f'round(m.{x}, 6) AS {x}, round(m.{x} - b.{x}, 6) AS {x}_delta' for x in _METRICS)}, skipped
         FROM v LEFT JOIN metrics m USING (variant), (SELECT * FROM metrics WHERE variant = 'top8') b""",

@@ -147,6 +147,15 @@ def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(answers.deltas(answers.summary(_variants(spark, sf_dir), "variant"), F.col("variant") == "top8"))
 
 
+def snippet_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each item's four snippets in its answer: three parts of the question, and one that no text has."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    part = lambda at: F.upper(F.substring("question", at, 15))
+    gold = answers.golden(questions, _docs(spark, sf_dir)).withColumn("snippets", F.array(part(1), part(16), part(31), F.lit("no such words"), F.lit(" ")))
+    items = answers.item_results(gold, answers.answer(answers.prompts(index.retrieve(chunks, questions), chunks, questions)))
+    return items.select("question_id", F.round("contains_rate", 6).alias("contains_rate"))
+
+
 def ablation_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval depths as variants, of which the first can't be planned and another fails while it runs."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
@@ -460,7 +469,7 @@ def library_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf, stored_hybrid, ablation_skipped,
+        tokenize_stats, doc_term_stats, idf_table, char_offsets, chunk_packing, index_metadata, hash_buckets, bm25_topk, dense_topk_hash, hybrid_rrf, stored_hybrid, snippet_rates, ablation_skipped,
         rrf_chapter_filter, reranked_topk, label_topk, cited_answers, golden_items, eval_summary, ablation_deltas, qa_pairs, qa_filter_reasons, qa_echo_filter,
         raft_examples, ablation_matrix, generator_comparison, conversation_errors, synthesis_manifest, training_manifest, markdown_blocks, chapter_assignment, heading_paths, outline_chunks, tree_manifest, summary_keys, contextual_bm25, truncated_vectors, wrapped_lines, chat_split, chat_errors, conversation_split, tree_nodes, tree_hash, tree_identity, tree_members, tree_faults, global_answers, global_selection, global_prompts, global_chapters, context_prefixes, enriched_chunks, reply_log, summary_cache, chapter_markdown, page_headings, location_labels, library_listing,
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import chunking, index, markdown, synthesis, thematic
+from quire.operators import chunking, index, markdown, synthesis, tables, thematic
 from quire.sources import artifacts, books
 from quire.streaming import postings
 
@@ -158,6 +158,17 @@ def test_nearest_vectors(spark):
         assert sorted(got[i]) == [(n, j) for n, (_, j) in enumerate(best, 1)]
 
 
+def test_nearest_of_odd_vectors(spark):
+    """Vectors of other lengths, of nothing, with nulls or infinities, and in blocks of their own."""
+    odd = [(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 0.0, 2.0]), (4, None), (5, []), (6, [1.0, None]), (7, [float("nan")]), (8, [float("inf"), 1.0]), (9, [0.0]), (None, [1.0])]
+    vectors = spark.createDataFrame(odd, "vec_id long, v array<double>")
+    for n in (1, 4):
+        got = {(r.query_id, r.vec_id): r.score for r in index.nearest(vectors.repartition(n), vectors.toDF("query_id", "q"), 9).collect()}
+        assert {q for q, _ in got} == {v for _, v in got} == {1, 2, 3, 9} and len(got) == 16
+        assert got[1, 2] == 1.0 and got[1, 3] == 0.0 and got[3, 3] == 1.0 and got[9, 9] == 0.0
+    assert index.nearest(vectors.limit(0), vectors.toDF("query_id", "q"), 9).collect() == []
+
+
 def test_chapter_names(spark):
     rows = [("The  Storm", "storm"), ("Stormy", "storm"), ("a+b (c)", "+b (c)"), ("any", " ")]
     got = spark.createDataFrame(rows, "chapter string, wanted string").select(X.names_chapter(F.col("chapter"), F.col("wanted"))).collect()
@@ -212,6 +223,22 @@ def test_books_from_files(spark, tmp_path):
     assert [(r.book_id, r.chapter, r.type, r.text) for r in rows] == [("b", "b", "paragraph", "intro"), ("b", "A", "paragraph", "text"), ("my-book", "First", "paragraph", "Some & more")]
 
 
+def test_sums_run_over_ids_that_lie_far_apart(spark):
+    """Ids 2^40 apart, negative ones, ties and nulls: few cells, and the sums of the rows before each."""
+    ids = [(i - 500) << 40 for i in range(1000)] + [7] * 50 + [None]
+    rows = spark.createDataFrame([("ab"[n % 2], i, n, n % 9) for n, i in enumerate(ids)], "g string, id long, n int, w int").repartition(4)
+    placed = rows.withColumn("cell", tables.cells(rows, "id"))
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert 32 <= len(sizes) <= tables.CELLS + 1 and max(sizes) <= 3 * len(ids) // tables.CELLS + 50
+    got = {r.n: r.before for r in tables.running(rows, "g", ["id", "n"], before=F.col("w")).collect()}
+    for g in "ab":
+        total = 0
+        for _, n in sorted((-(1 << 62) if i is None else i, n) for n, i in enumerate(ids) if "ab"[n % 2] == g):
+            assert got[n] == total
+            total += n % 9
+    assert tables.running(rows.limit(0), "g", ["id", "n"], before=F.col("w")).collect() == []
+
+
 def test_books_are_numbered_in_blocks(spark):
     rng = random.Random(4)
     ids = rng.sample(range(-9000, 60000), 300)
