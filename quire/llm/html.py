@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +27,17 @@ BROADCAST_HOSTS = 50_000
 SALTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|math"
+#: Elements that run to their end tag, or to the page's end without one; those that need an end tag; those that may close themselves.
+RUNNING = "script|style"
+RAW = frozenset("noscript template iframe svg textarea select title object canvas math".split())
+FOREIGN = frozenset("svg math".split())
+#: Characters of a path beyond which it goes on from a digest.
+MOST_PATH = 400
 CONTAINERS = frozenset("body main article section div td center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tr caption figure figcaption address details summary fieldset hr".split()) | CONTAINERS | frozenset("nav aside header footer form html head menu dialog".split())
-NOISE_TAGS = frozenset("head nav aside footer form menu dialog button label input".split())
+NOISE_TAGS = frozenset("head nav aside footer menu dialog".split())
+#: What a form consists of; its words count in running text only.
+FIELDS = frozenset("button label option legend".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog menu menubar toolbar".split())
 #: Fixed: words that name what isn't the article, and words of layout beside them. A name of these alone is a hint, no proof.
 NOISE_NAMES = frozenset(
@@ -41,10 +50,11 @@ IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 SCOPES = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RUNNING})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
+_ENDS = re.compile(rf"</({'|'.join(sorted(RAW))})(?=[\s/>])[^>]*>", re.I)
 _NAMES = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[^\W_]+")
 
@@ -81,6 +91,8 @@ class Container:
     within: int = 0  # those of them inside an article or main
     first: int = -1  # its first and last block
     last: int = -1
+    form: bool = False
+    above: int = 0  # the nearest container around it that has more text, or the page
 
 
 class Page:
@@ -91,17 +103,33 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, noise
         self._buffer: list[str] = []
-        self._linked, self._in_link = 0, 0
-        for match in _TOKEN.finditer(source):
+        self._linked = self._fielded = 0
+        self._opened: Counter[str] = Counter()  # tags on the stack
+        ends: dict[str, list[tuple[int, int]]] = {}  # of raw elements, those still to come with the nearest last
+        for match in _ENDS.finditer(source):
+            ends.setdefault(match[1].lower(), []).append(match.span())
+        for found in ends.values():
+            found.reverse()
+        at = 0
+        while match := _TOKEN.match(source, at):
+            at = match.end()
             if (text := match["text"]) is not None:
                 if not (self._stack and self._stack[-1][2]):
                     text = html.unescape(text)
                     self._buffer.append(text)
-                    self._linked += len(text.strip()) * bool(self._in_link)
+                    self._linked += len(text.strip()) * bool(self._opened["a"])
+                    self._fielded += len("".join(text.split())) * any(self._opened[f] for f in FIELDS)
             elif tag := match["tag"]:
                 tag = tag.lower()
                 if match["end"]:
                     self._close(tag)
+                elif tag in RAW:
+                    coming = ends.get(tag, [])
+                    while coming and coming[-1][0] < at:
+                        coming.pop()
+                    if coming and not (tag in FOREIGN and match["attrs"].endswith("/")):
+                        at = coming[-1][1]
+                    self._buffer.append(" ")
                 else:
                     self._open(tag, match["attrs"])
             elif match["raw"]:
@@ -114,15 +142,16 @@ class Page:
 
     def _flush(self) -> None:
         if self._buffer:
-            if text := " ".join("".join(self._buffer).split()):
+            text = " ".join("".join(self._buffer).split())
+            if text and self._fielded < len(text) - text.count(" "):  # not of buttons and labels alone
                 self.blocks.append((self._here(), text, min(self._linked, len(text))))
             self._buffer = []
-        self._linked = 0
+        self._linked = self._fielded = 0
 
     def _pop_to(self, n: int) -> None:
         self._flush()
         while len(self._stack) > n:
-            self._in_link -= self._stack.pop()[0] == "a"
+            self._opened[self._stack.pop()[0]] -= 1
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in VOID:
@@ -139,7 +168,7 @@ class Page:
                     self._pop_to(n)
                     break
         ends = IMPLIED.get(tag, {"p"} if tag in BLOCKS and tag not in ("tr", "td") else set())
-        for n in range(len(self._stack) - 1, -1, -1):
+        for n in range(len(self._stack) - 1, -1, -1) if any(self._opened[e] for e in ends) else ():
             if self._stack[n][0] in ends:
                 self._pop_to(n)
                 break
@@ -153,20 +182,21 @@ class Page:
             hinted = role = False
         around = self.containers[here]
         noise = noise or role or tag in NOISE_TAGS or (tag == "header" and not around.inside)
-        if tag in CONTAINERS and tag != "td" or hinted and tag in BLOCKS:
-            self.containers.append(Container(f"{around.path}>{tag}{general}", here, hinted, around.inside or tag in ("article", "main")))
+        if tag in CONTAINERS and tag != "td" or (hinted or tag == "form") and tag in BLOCKS:
+            path = around.path if len(around.path) < MOST_PATH else "#" + hashlib.md5(around.path.encode("utf-8", "surrogatepass")).hexdigest()
+            self.containers.append(Container(f"{path}>{tag}{general}", here, hinted, around.inside or tag in ("article", "main"), form=tag == "form"))
             here = len(self.containers) - 1
         self._stack.append((tag, here, noise))
-        self._in_link += tag == "a"
+        self._opened[tag] += 1
 
     def _close(self, tag: str) -> None:
-        for n in range(len(self._stack) - 1, -1, -1):
+        for n in range(len(self._stack) - 1, -1, -1) if self._opened[tag] else ():
             if self._stack[n][0] == tag:
                 if tag in BLOCKS:
                     self._pop_to(n)
                 else:
-                    popped = self._stack.pop(n)
-                    self._in_link -= popped[0] == "a"
+                    del self._stack[n]
+                    self._opened[tag] -= 1
                 return
 
     def _measure(self) -> None:
@@ -182,32 +212,36 @@ class Page:
             up.size, up.linked, up.within = up.size + c.size, up.linked + c.linked, up.within + c.within
             if c.first >= 0:
                 up.first, up.last = min(c.first, up.first) if up.first >= 0 else c.first, max(c.last, up.last)
+        for c in self.containers[1:]:
+            up = self.containers[c.parent]
+            c.above = c.parent if up.size != c.size or up.parent < 0 else up.above
 
     def _aside(self, c: Container) -> bool:
         """Whether what a name hints at is borne out by where it stands, its size and its links."""
         page = self.containers[0]
         if not c.size or (c.within and not c.inside):
             return False  # empty, or around an article
+        if c.form:
+            return 2 * c.size <= page.size  # a page that lies in a form isn't one
         if not c.inside and page.within:
             return True  # beside an article
-        up = self.containers[c.parent]
-        while up.size == c.size and up.parent >= 0:
-            up = self.containers[up.parent]
+        up = self.containers[c.above]
         at_end = c.last == up.last and c.first != up.first
         if c.size > (0.9 if at_end else 0.5) * up.size:
             return False
         return at_end or c.first == up.first or 2 * c.linked >= c.size or 5 * c.size <= page.size
 
     def _drop_hinted(self) -> None:
-        """Blocks of containers with a noisy name go where more than the name tells against them."""
+        """Forms go, then blocks of containers with a noisy name, where more than the tag or name tells against them."""
         self._measure()
-        gone: set[int] = set()
-        for n, c in enumerate(self.containers):
-            if c.parent in gone or (c.hinted and self._aside(c)):
-                gone.add(n)
-        if gone:
-            self.blocks = [b for b in self.blocks if b[0] not in gone]
-            self._measure()
+        for is_noise in (lambda c: c.form, lambda c: c.hinted and not c.form):
+            gone: set[int] = set()
+            for n, c in enumerate(self.containers):
+                if c.parent in gone or (is_noise(c) and self._aside(c)):
+                    gone.add(n)
+            if gone:
+                self.blocks = [b for b in self.blocks if b[0] not in gone]
+                self._measure()
 
     def loose(self) -> set[int]:
         """Hashes of the blocks outside article and main."""
