@@ -25,7 +25,7 @@ def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> Dat
 def idf(posts: DataFrame, n: int | Column) -> DataFrame:
     """(token, df, idf): a token in more than half of the texts gets EPSILON times the mean over all tokens."""
     df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = F.lit(n)
+    total = n if isinstance(n, Column) else F.lit(n)
     df = df.withColumn("raw", F.log(total - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean"))
     df = df.crossJoin(F.broadcast(mean))  # one row

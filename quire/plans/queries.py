@@ -43,7 +43,8 @@ def doc_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return index.idf(index.postings(docs, "doc_id"), docs.count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    return index.idf(index.postings(docs, "doc_id"), n).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
