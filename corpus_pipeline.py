@@ -42,7 +42,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Model fitting, min-hash windows and packing have no SQL form; tests/llm holds the stages against brute force.
+#: Model fitting, min-hash windows and packing have no SQL form; tests/llm hold near copies and exact repeats against brute force.
 ORACLE_SQL = None
 
 
