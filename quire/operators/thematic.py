@@ -32,12 +32,6 @@ def summary_key(node_id: Column, source: Column, model: str = MODEL) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def node_documents(nodes: Column, body: Callable[[Column], Column]) -> Column:
-    """An array of nodes (node_id, level, title) as document blocks with their provenance, numbered from 1."""
-    block = lambda x, i: F.format_string('<doc id="%d" node="%s" level="%d" title="%s">\n%s\n</doc>', i + 1, x["node_id"], x["level"], x["title"], F.coalesce(body(x), F.lit("")))
-    return F.array_join(F.transform(nodes, block), "\n\n")
-
-
 def summarise(source: Column, complete: Completion | None = None) -> Column:
     """A summary of a source, cut to its budget; null if it can't be used. Without `complete`, the deterministic model's."""
     if complete is None:

@@ -80,9 +80,13 @@ def chapters_in_order(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "book_id").join(numbered, "book_id")
 
 
+#: Fixed: how a node stands in a prompt.
+NODE = '<doc id="%d" node="%s" level="%d" title="%s">\n%s\n</doc>'
+
+
 def _block(position: Column, node: Column | None, body: Column) -> Column:
     field = lambda c: F.col(c) if node is None else node[c]
-    return F.format_string('<doc id="%d" node="%s" level="%d" title="%s">\n%s\n</doc>', position, field("node_id"), field("level"), field("title"), body)
+    return F.format_string(NODE, position, field("node_id"), field("level"), field("title"), body)
 
 
 def map_prompts(selected: DataFrame, nodes: DataFrame, questions: DataFrame) -> DataFrame:
