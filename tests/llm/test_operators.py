@@ -432,6 +432,42 @@ def test_recall_of_edited_passages(spark, words):
     assert sum((i, i - 1) in got for i in real) >= 0.95 * len(real)
 
 
+@pytest.mark.parametrize("words,copies,edits", [(60, 30, 1), (60, 60, 1), (70, 60, 1), (60, 200, 1), (60, 200, 2), (120, 200, 2)])
+def test_recall_of_edited_passages_under_frequent_signatures(spark, words, copies, edits):
+    """Copies of one passage, each with edits of its own: what is 0.8 alike with an earlier one is found, whatever it is tied to."""
+    rng = random.Random(words * copies + edits)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    base, variants = fresh(words), []
+    for _ in range(copies):
+        v = list(base)
+        for _ in range(edits):
+            at, kind = rng.randrange(5, len(v) - 5), rng.randrange(3)
+            v[at : at + (kind != 0)] = [] if kind == 1 else fresh(1)
+        variants.append(v)
+    texts = [" ".join(fresh(rng.randint(20, 60)) + v + fresh(30)) for v in variants]
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    sets = [grams(v) for v in variants]
+    want = {i for i in range(copies) if len(variants[i]) >= 50 and any(alike(sets[i], sets[j]) for j in range(i))}
+    rows = passages.repeated_passages(docs_of(spark, texts)).collect()
+    assert len(want & {r.doc_id for r in rows}) >= 0.95 * len(want) > 0
+    for r in rows:
+        a, b = texts[r.doc_id].split(), texts[r.other_id].split()
+        x, y = grams(a[r.start_word : r.start_word + r.n_words]), grams(b[r.other_start : r.other_start + r.other_words])
+        assert r.other_id < r.doc_id and r.n_words >= 50 and alike(x, y)
+
+
+def test_common_lines_seek_no_partners():
+    """Grams of a line that many texts share don't suffice; those of two runs beside an edit do."""
+    line, halves = np.arange(0, 9), np.concatenate([np.arange(0, 7), np.arange(26, 33)])
+    assert not passages.dense(line, 50).any() and passages.dense(halves, 50).all()
+    assert passages.dense(np.concatenate([line, line + 500]), 50).sum() == 0
+    spans = [10 << 32 | 100]  # words 10 to 104
+    assert passages.uncovered(spans, [], 50) == [0 << 32 | 129]
+    assert passages.uncovered(spans, [(0, 20), (40, 60)], 50) == [] and passages.uncovered(spans, [(60, 200)], 50) == [0 << 32 | 85]
+    assert passages.uncovered(spans, [(0, 50), (40, 20), (90, 5)], 50) == [35 << 32 | 115]
+
+
 def test_passages_cover_the_same_words():
     rng = random.Random(1)
     covered = lambda found: {k for s, w, *_ in found for k in range(s, s + w)}
