@@ -57,6 +57,12 @@ def test_long_lines_are_cut_at_spaces(spark):
     assert parts[4] == [texts[4][:3600], texts[4][3600:]]
 
 
+def test_lines_keep_digits_and_lose_spaces_at_their_ends(spark):
+    lines = [f"{n} of {n} {n}" for n in range(12)]
+    docs = spark.createDataFrame([("a", 1, "\n".join(f" {line} " for line in lines))], "source string, doc_id bigint, text string")
+    assert [p.text for p in chunking.document_chapters(docs).first().pieces] == lines
+
+
 def test_books_may_share_ids_and_repeat(spark):
     docs = spark.createDataFrame([(0, "one two", "a"), (0, "three four", "b"), (None, "five", "a"), (0, None, "a"), (1, "six", "a"), (1, "six", "a")], "doc_id long, text string, source string")
     got = chunking.of_documents(docs).collect()
