@@ -63,6 +63,12 @@ def test_lines_keep_digits_and_lose_spaces_at_their_ends(spark):
     assert [p.text for p in chunking.document_chapters(docs).first().pieces] == lines
 
 
+def test_sources_end_in_what_lies_between_texts(spark):
+    for size, want in ((5997, "x" * 5997 + "\n\ny"), (5998, "x" * 5998 + "\n\n"), (5999, "x" * 5999 + "\n"), (6000, "x" * 6000)):
+        rows = spark.createDataFrame([("a", 1, "c", 0, "x" * size), ("a", 1, "c", 1, "yz")], "book_id string, doc_id long, chapter string, ordinal int, text string")
+        assert thematic.chapter_sources(rows).first().source == want
+
+
 def test_books_may_share_ids_and_repeat(spark):
     docs = spark.createDataFrame([(0, "one two", "a"), (0, "three four", "b"), (None, "five", "a"), (0, None, "a"), (1, "six", "a"), (1, "six", "a")], "doc_id long, text string, source string")
     got = chunking.of_documents(docs).collect()
