@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,18 @@ def postings(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> Dat
     return tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def frequencies(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token, df) of texts: tokens are counted where they stand before they are shuffled."""
+    return texts.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def idf(posts: DataFrame, n: int | Column) -> DataFrame:
+    """(token, df, idf) of postings, see `idf_of`."""
+    return idf_of(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")), n)
+
+
+def idf_of(df: DataFrame, n: int | Column) -> DataFrame:
     """(token, df, idf): a token in more than half of the texts gets EPSILON times the mean over all tokens."""
-    df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = n if isinstance(n, Column) else F.lit(n)
     df = df.withColumn("raw", F.log(total - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean"))
@@ -46,14 +56,12 @@ def scored(posts: DataFrame, weighed: DataFrame, mean_length: float, k: int = DE
     return _best(sums.where("score > 0"), k)
 
 
-def bm25(posts: DataFrame, questions: DataFrame, n: int, mean_length: float, k: int = DEPTH) -> DataFrame:
-    """(question_id, chunk_id, score, rank) by BM25 with positive scores; a repeated query token counts again.
+def bm25(texts: DataFrame, questions: DataFrame, k: int = DEPTH) -> DataFrame:
+    """(question_id, chunk_id, score, rank) by BM25 of texts (chunk_id, text) with positive scores; a repeated query token counts again.
 
-    The mean idf takes all tokens' df, so all postings are counted; `sources.retrieval` keeps both in the index.
+    The mean idf takes all tokens' df, so all tokens are counted; `sources.retrieval` keeps both in the index.
     """
-    asked = postings(questions, "question_id", "question").select("question_id", "token", F.col("tf").alias("times"))
-    weighed = asked.join(idf(posts, n), "token").select("question_id", "token", "times", "idf")
-    return scored(posts, weighed, mean_length, k)
+    return _hits(texts, questions, {"sparse": k}).drop("kind")
 
 
 def hashed(posts: DataFrame, key: str = "chunk_id", dim: int = DIM) -> DataFrame:
@@ -138,6 +146,110 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = DEPTH, dim: int = D
     return _best(pairs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items())), k)
 
 
+#: Texts and questions of a block of tokens. A block of questions has some thousand tokens, which a matrix has as columns.
+TEXTS, QUESTIONS = 1024, 256
+
+
+def _token_blocks(texts: DataFrame, key: str, text: str, size: int, names: str) -> DataFrame:
+    """Rows of up to `size` texts: their keys, lengths, where each ends, and the digests and counts of their distinct tokens.
+
+    A digest is the first 64 bits of a token's SHA-256, which give its bucket and its sign, too. Keys are distinct. Texts
+    stay where they are: nothing is shuffled.
+    """
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                lists = part.column(1)
+                lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                digests = np.array([int.from_bytes(sha256(w.encode()).digest()[:8]) for w in words.dictionary.to_pylist()], np.uint64)
+                n = max(len(digests), 1)
+                found, times = np.unique(np.repeat(np.arange(part.num_rows), lengths) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                ends = np.cumsum(np.bincount(found // n, minlength=part.num_rows)).astype(np.int64)
+                held = (lengths, ends, digests[found % n], times.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in held)], names.split())
+
+    first, *others = names.split()
+    return texts.select(key, X.tokens(F.col(text)).alias("tokens")).mapInArrow(run, f"{first} array<{kind}>, " + ", ".join(f"{c} binary" for c in others))
+
+
+def _first(scores: np.ndarray, names: np.ndarray, k: int) -> list[int]:
+    """The places of the k best scores above minus infinity, equal ones by name."""
+    least = np.partition(scores, -k)[-k] if k < len(scores) else -np.inf
+    found = np.flatnonzero((scores >= least) & (scores > -np.inf)).tolist()
+    return sorted(found, key=lambda j: (-scores[j], names[j]))[:k]
+
+
+def _hits(texts: DataFrame, questions: DataFrame, depths: dict[str, int], dim: int = DIM) -> DataFrame:
+    """(kind, question_id, chunk_id, score, rank): the best texts (chunk_id, text) of each question by the kinds asked for.
+
+    kinds: "dense" as in `dense`, "sparse" as in `bm25`, and how many of each. Texts become blocks of tokens where they
+    are and meet all blocks of questions; what is shuffled is a question's best of each block.
+    """
+    n, mean_length = index_figures(texts)
+    times = postings(questions, "question_id", "question").select("question_id", "token", F.col("tf").alias("times"))
+    weighed = times.join(idf_of(frequencies(texts), n), "token", "left") if "sparse" in depths else times.withColumn("idf", F.lit(None).cast("double"))
+    digest = F.unhex(X.digest(F.col("token"), 16))
+    listed = weighed.groupBy("question_id").agg(F.collect_list(F.struct(digest.alias("d"), F.col("times"), F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("x"))
+    kind = dict(questions.dtypes)["question_id"]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUESTIONS):
+                part = batch.slice(at, QUESTIONS)
+                lists = part.column(1)
+                ends, flat = np.cumsum(np.asarray(lists.value_lengths())).astype(np.int64), lists.flatten()
+                digests = np.frombuffer(b"".join(flat.field(0).to_pylist()), ">u8").astype(np.uint64)
+                held = (ends, digests, np.asarray(flat.field(1)), np.asarray(flat.field(2)))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in held)], ["queries", "q_ends", "q_digests", "q_times", "q_idf"])
+
+    wanted = kept(listed.repartition(1).mapInArrow(asked, f"queries array<{kind}>, q_ends binary, q_digests binary, q_times binary, q_idf binary"))
+    pairs = _token_blocks(texts, "chunk_id", "text", TEXTS, "ids lengths ends digests times").crossJoin(wanted)
+    types = {"kind": "string", "question_id": kind, "chunk_id": dict(texts.dtypes)["chunk_id"], "score": "double"}
+
+    def unit(rows: np.ndarray, digests: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """Signed counts by bucket as unit vectors."""
+        signed = np.where(digests >> np.uint64(63) > 0, times, -times)
+        out = np.bincount(rows * dim + (digests % np.uint64(dim)).astype(np.int64), signed, n * dim).reshape(n, dim)
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, lengths, ends, digests, times, queries, q_ends, q_digests, q_times, q_idf = (c[row] for c in batch.columns)
+                lengths, ends, times, q_ends, q_times = (np.frombuffer(x.as_py(), np.int64) for x in (lengths, ends, times, q_ends, q_times))
+                digests, q_digests, q_idf = np.frombuffer(digests.as_py(), np.uint64), np.frombuffer(q_digests.as_py(), np.uint64), np.frombuffer(q_idf.as_py())
+                at, q_at = (np.repeat(np.arange(len(e)), np.diff(e, prepend=0)) for e in (ends, q_ends))
+                names = np.array(ids.as_py(), object)
+                for name, k in depths.items():
+                    if name == "dense":
+                        left, right = unit(q_at, q_digests, q_times, len(q_ends)), unit(at, digests, times, len(ends))
+                        scores = left @ right.T
+                        scores[((left != 0).astype(np.float32) @ (right != 0).astype(np.float32).T) == 0] = -np.inf  # nothing in common
+                    else:
+                        terms, place = np.unique(q_digests, return_inverse=True)
+                        left, right = np.zeros((len(q_ends), len(terms))), np.zeros((len(ends), len(terms)))
+                        left[q_at, place] = q_times * q_idf
+                        found = np.searchsorted(terms, digests)
+                        known = np.flatnonzero(terms[np.minimum(found, len(terms) - 1)] == digests) if len(terms) else np.empty(0, np.int64)
+                        tf, length = times[known], lengths[at[known]]
+                        right[at[known], found[known]] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+                        scores = left @ right.T
+                        scores[scores <= 0] = -np.inf
+                    best = [_first(mine, names, k) for mine in np.round(scores, 9)]
+                    which, chosen = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.array([j for x in best for j in x], np.int64)
+                    columns = (pa.array([name] * len(which), pa.string()), queries.values.take(pa.array(which)), ids.values.take(pa.array(chosen)), pa.array(scores[which, chosen]))
+                    yield pa.RecordBatch.from_arrays(list(columns), list(types))
+
+    found = pairs.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()))
+    order = Window.partitionBy("kind", "question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    depth = F.coalesce(*(F.when(F.col("kind") == name, k) for name, k in depths.items()))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+
+
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = FINAL, rrf_k: int = RRF_K) -> DataFrame:
     """(question_id, chunk_id, score, rank): reciprocal ranks summed; ties by dense, then by sparse rank."""
     both = dense_hits.select("question_id", "chunk_id", F.col("rank").alias("d"), F.lit(None).cast("int").alias("s"))
@@ -152,11 +264,11 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = FINAL, rrf_k: i
 def retrieve(chunks: DataFrame, questions: DataFrame, depth: int = DEPTH, k: int = FINAL) -> DataFrame:
     """Hybrid retrieval of every question over all chunks, which are best a table that is built (see `kept`).
 
-    Postings are built once; two figures of the index come to the driver.
+    Both kinds of hits are found in one pass over the chunks; two figures of the index come to the driver.
     """
-    posts = kept(postings(chunks))
-    n, mean = index_figures(chunks)
-    return fuse(dense(hashed(posts), questions, depth), bm25(posts, questions, n, mean, depth), k)
+    hits = kept(_hits(chunks, questions, {"dense": depth, "sparse": depth}))
+    of = lambda kind: hits.where(F.col("kind") == kind).drop("kind")
+    return fuse(of("dense"), of("sparse"), k)
 
 
 def index_figures(chunks: DataFrame) -> tuple[int, float]:

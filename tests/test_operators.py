@@ -1,8 +1,10 @@
 import io
+import math
 import random
 import re
 import struct
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +78,31 @@ def test_capitals_keep_what_small_letters_say(spark):
     assert [r[0] for r in got] == ["ENLICH SCHß. Ö.", "DAS. EIN ÜBER"]
 
 
+def test_bm25_shuffles_no_chunks_and_equals_brute_force(spark):
+    rng = random.Random(5)
+    texts = {f"c{i:04d}": " ".join(rng.choices([f"w{n}" for n in range(60)], k=rng.randint(0, 30))) for i in range(1500)} | {"c-empty": "", "c-none": None}
+    asked = {i: " ".join(rng.choices([f"w{n}" for n in range(70)], k=5)) for i in range(300)} | {900: "absent", 901: "", 902: "w1 w1 w2"}
+    chunks = tables.kept(spark.createDataFrame(list(texts.items()), "chunk_id string, text string"))
+    got = index.bm25(chunks, spark.createDataFrame(list(asked.items()), "question_id long, question string"), 4)
+    assert "hashpartitioning(chunk_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+    words = {c: (t or "").split() for c, t in texts.items()}
+    df = Counter(w for t in words.values() for w in set(t))
+    raw = {w: math.log(len(words) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, r in raw.items()}
+    # The size of an absent text's tokens is null, and a mean leaves it out.
+    mean = sum(len(t) for c, t in words.items() if c != "c-none") / (len(words) - 1)
+    want = []
+    for q, text in asked.items():
+        scores = {}
+        for c, t in words.items():
+            of = lambda w: t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean))  # noqa: E731, B023
+            scores[c] = sum(idf.get(w, 0) * of(w) for w in text.split() if w in t)
+        best = sorted((c for c in scores if scores[c] > 0), key=lambda c: (-round(scores[c], 9), c))[:4]
+        want += [(q, c, n + 1) for n, c in enumerate(best)]
+    assert sorted((r.question_id, r.chunk_id, r["rank"]) for r in got.collect()) == sorted(want)
+
+
 def test_books_may_share_ids_and_repeat(spark):
     docs = spark.createDataFrame([(0, "one two", "a"), (0, "three four", "b"), (None, "five", "a"), (0, None, "a"), (1, "six", "a"), (1, "six", "a")], "doc_id long, text string, source string")
     got = chunking.of_documents(docs).collect()
