@@ -184,9 +184,9 @@ def _first(scores: np.ndarray, names: np.ndarray, k: int) -> list[int]:
 
 
 def _hits(texts: DataFrame, questions: DataFrame, depths: dict[str, int], dim: int = DIM) -> DataFrame:
-    """(kind, question_id, chunk_id, score, rank): the best texts (chunk_id, text) of each question by the kinds asked for.
+    """(kind, question_id, chunk_id, score, rank): the best texts (chunk_id, text) of each question by each kind asked for.
 
-    kinds: "dense" as in `dense`, "sparse" as in `bm25`, and how many of each. Texts become blocks of tokens where they
+    depths: how many of each kind, "dense" as in `dense`, "sparse" as in `bm25`. Texts become blocks of tokens where they
     are and meet all blocks of questions; what is shuffled is a question's best of each block.
     """
     n, mean_length = index_figures(texts)
