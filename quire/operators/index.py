@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators.tables import kept
+from quire.operators.tables import few, kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIM, DEPTH, FINAL, RRF_K, POOL = 512, 20, 8, 60, 40
@@ -42,6 +42,18 @@ def idf_of(df: DataFrame, n: int | Column) -> DataFrame:
     return df.select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def idf_of_asked(texts: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(token, idf) of the tokens of texts that asked (token) has, see `idf_of`; all tokens are counted, and once.
+
+    What isn't asked for is one row with its number and sum, which the mean needs.
+    """
+    each = frequencies(texts).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    wanted = few(asked.select("token").distinct().withColumn("asked", F.lit(True)))
+    sums = kept(each.join(wanted, "token", "left").groupBy(F.when(F.col("asked"), F.col("token")).alias("token")).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("n")))
+    mean = F.lit(sums.agg(F.sum("raw") / F.sum("n")).first()[0]).cast("double")
+    return sums.where("token is not null").select("token", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each question: scores equal to nine digits go by chunk."""
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
@@ -59,7 +71,7 @@ def scored(posts: DataFrame, weighed: DataFrame, mean_length: float, k: int = DE
 def bm25(texts: DataFrame, questions: DataFrame, k: int = DEPTH) -> DataFrame:
     """(question_id, chunk_id, score, rank) by BM25 of texts (chunk_id, text) with positive scores; a repeated query token counts again.
 
-    The mean idf takes all tokens' df, so all tokens are counted; `sources.retrieval` keeps both in the index.
+    The mean idf takes all tokens' df, so all tokens are counted, once; `sources.retrieval` keeps both in the index.
     """
     return _hits(texts, questions, {"sparse": k}).drop("kind")
 
@@ -191,7 +203,7 @@ def _hits(texts: DataFrame, questions: DataFrame, depths: dict[str, int], dim: i
     """
     n, mean_length = index_figures(texts)
     times = postings(questions, "question_id", "question").select("question_id", "token", F.col("tf").alias("times"))
-    weighed = times.join(idf_of(frequencies(texts), n), "token", "left") if "sparse" in depths else times.withColumn("idf", F.lit(None).cast("double"))
+    weighed = times.join(idf_of_asked(texts, times, n), "token", "left") if "sparse" in depths else times.withColumn("idf", F.lit(None).cast("double"))
     digest = F.unhex(X.digest(F.col("token"), 16))
     listed = weighed.groupBy("question_id").agg(F.collect_list(F.struct(digest.alias("d"), F.col("times"), F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("x"))
     kind = dict(questions.dtypes)["question_id"]
@@ -339,7 +351,7 @@ def rerank(pool: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = FI
 
     score: a column expression or pandas UDF. Equal scores keep the order of the pool. Only the pool's chunks are read.
     """
-    both = pool.select("question_id", "chunk_id", F.col("rank").alias("was")).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions, "question_id")
+    both = few(pool.select("question_id", "chunk_id", F.col("rank").alias("was"))).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions, "question_id")
     scored = both.withColumn("score", score(F.col("question"), F.col("text")).cast("double"))
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "was")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question_id", "chunk_id", "score", "rank")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import chunking, index, markdown, synthesis, tables, thematic
+from quire.operators import answers, chunking, index, markdown, synthesis, tables, thematic
 from quire.plans import queries
 from quire.sources import artifacts, books
 from quire.streaming import postings
@@ -365,3 +365,28 @@ def test_dense_equals_brute_force(spark):
         got = index.dense(vectors, questions, k, dim).select("question_id", "chunk_id", "rank").collect()
         assert want and sorted(map(tuple, got)) == sorted(want)
     assert index.dense(vectors.limit(0), questions).count() == index.dense(vectors, questions.limit(0)).count() == 0
+
+
+def test_texts_are_shuffled_once_for_running_sums_and_not_for_hits(spark):
+    rows = spark.createDataFrame([(g, i, (i or 0) % 7, "text") for g in ("a", "b", None) for i in [None, *range(300)]], "g string, id long, w int, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        summed = tables.running(rows, "g", ["id"], before=F.coalesce("w", F.lit(0)))
+        # The rows, and the sums of cells three times: by cell, by group, and to where the rows are.
+        assert summed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        got = sorted((r.g or "", r.id, r.before) for r in summed.where("id is not null").collect())
+        assert got == [(g, i, sum(k % 7 for k in range(i))) for g in ("", "a", "b") for i in range(300)]
+
+        chunks = tables.kept(spark.createDataFrame([(f"c{i}", "one", f"text {i}") for i in range(50)], "chunk_id string, chapter string, text string"))
+        hits = spark.createDataFrame([(1, "c3", 2), (1, "c5", 1), (2, "c5", 1)], "question_id long, chunk_id string, rank int")
+        questions = spark.createDataFrame([(1, "text 5"), (2, "text"), (3, "none")], "question_id long, question string")
+        asked, again = answers.prompts(hits, chunks, questions), index.rerank(hits, chunks, questions)
+        for df in (asked, again):
+            assert "hashpartitioning(chunk_id" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.question_id: [c.chunk_id for c in r.contexts or []] for r in asked.collect()} == {1: ["c5", "c3"], 2: ["c5"], 3: []}
+        assert [(r.question_id, r.chunk_id) for r in again.orderBy("question_id", "rank").collect()] == [(1, "c5"), (1, "c3"), (2, "c5")]
+        many = chunks.join(tables.few(hits, 2), "chunk_id")  # three rows are more than a few
+        assert "hashpartitioning(chunk_id" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
