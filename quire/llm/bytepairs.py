@@ -23,7 +23,9 @@ KNOWN, KNOWN_BYTES, PLACES = 1 << 17, 64, 262_139
 #: Buckets of pairs, and the least number of places for them: prime numbers.
 BUCKETS, PAIR_PLACES = 65_521, 131_071
 
-#: For two columns of ids the id that the pair becomes, which is its rank, or null.
+#: Bits of an id, and of a rank beside it; the rank of an id that can't be joined with the next.
+BITS, NONE = 20, 1 << 20
+#: For two columns of ids the element that the first is in a fold's state: its rank with the second (or NONE), then itself.
 Ranks = Callable[[Column, Column], Column]
 
 
@@ -85,13 +87,16 @@ def literal_ranks(path: str, body: Callable[[Ranks], Column]) -> Column:
     Spark looks through the whole of a map value for a key, so it isn't one.
     """
     shifts, keys, ranks = displaced(path)
-    held = F.struct(_literal(shifts, "int").alias("shifts"), _literal(keys, "long").alias("keys"), _literal(ranks, "int").alias("ranks"))
+    # A slot is a key and its rank; one that isn't taken has a key that no pair has.
+    slots = [(key if key >= 0 else 1 << 32) << BITS | rank for key, rank in zip(keys, ranks)]
+    held = F.struct(_literal(shifts, "long").alias("shifts"), _literal(slots, "long").alias("slots"))
 
     def ranked(map_: Column) -> Column:
         def of(first: Column, second: Column) -> Column:
-            mine = first.cast("long") * (1 << 16) + second
-            place = ((mine + F.get(map_["shifts"], (mine % BUCKETS).cast("int"))) % len(keys)).cast("int")
-            return F.when(F.get(map_["keys"], place) == mine, F.get(map_["ranks"], place))
+            # Apart from the key, a slot is a rank below NONE; another key leaves more than that, and no second is null.
+            place = lambda mine: ((mine + F.get(map_["shifts"], (mine % BUCKETS).cast("int"))) % len(slots)).cast("int")
+            rank = _named(F.shiftleft(first, 16).bitwiseOR(second), lambda mine: F.get(map_["slots"], place(mine)).bitwiseXOR(F.shiftleft(mine, BITS)))
+            return F.shiftleft(F.least(rank, F.lit(NONE).cast("long")), BITS).bitwiseOR(first)
 
         return body(of)
 
@@ -122,32 +127,32 @@ def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
 def folded(word: Column, path: str, rank: Ranks) -> Column:
     """The ids of a word's bytes (binary) after all ranked merges.
 
-    The state of the fold is the array of the bytes' ids, and the rank of each with the one after it. A step joins the
-    first pair of the lowest rank and looks up the two ranks that this changes; without a pair, nothing changes any more.
-    There are no more steps than bytes, and each copies the word's array: a word of 10^5 letters is slow, but takes no
-    more memory than its arrays.
+    The state of the fold is one array of a long for each id: its rank with the next above it (see `Ranks`), so the least
+    is the pair to join and says what it becomes. A step joins the first of them and looks up the two ranks that this
+    changes; without a pair, nothing changes any more. A null stands before the first and after the last. There are no
+    more steps than bytes, and each copies the word's array: a word of 10^5 letters is slow, but takes no more memory
+    than its arrays.
     """
     ids = {piece: n for n, piece in enumerate(pieces(path))}
-    of_byte = _literal([ids[bytes([b])] for b in range(256)], "int")
+    of_byte = _literal([ids[bytes([b])] for b in range(256)], "long")
     # As Latin-1 every byte is a character.
     letters = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda x: F.get(of_byte, F.ascii(x)))
-    pairs = lambda s: F.transform(s, lambda x, i: rank(x, F.get(s, i + 1)))  # noqa: E731  the last has none: null
-    start = _named(letters, lambda s: F.struct(s.alias("s"), pairs(s).alias("r")))
+    edge = F.array(F.lit(None).cast("long"))
+    start = _named(letters, lambda s: F.concat(edge, F.transform(s, lambda x, i: rank(x, F.get(s, i + 1))), edge))
+    id_of = lambda x: x.bitwiseAND(F.lit(NONE - 1).cast("long"))
 
-    def merged(s: Column, r: Column, p: Column, made: Column) -> Column:
+    def joined(state: Column, least: Column, p: Column) -> Column:
         """The state after the ids at p and p + 1, counted from 1, have become one."""
-        rest = lambda x: F.slice(x, p + 2, F.size(x))
-        before = F.when(p > 1, F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), F.array(rank(F.get(s, p - 2), made)))).otherwise(F.array().cast("array<int>"))
-        new = F.concat(F.slice(s, F.lit(1), p - 1), F.array(made), rest(s))
-        return F.struct(new.alias("s"), F.concat(before, F.array(rank(made, F.get(s, p + 1))), rest(r)).alias("r"))
+        made = F.shiftright(least, BITS)
+        pair = F.array(rank(id_of(F.get(state, p - 2)), made), rank(made, id_of(F.get(state, p + 1))))
+        return F.concat(F.slice(state, F.lit(1), p - 2), pair, F.slice(state, p + 2, F.size(state)))
 
     def step(state: Column, _: Column) -> Column:
-        s, r = state["s"], state["r"]
-        join = lambda least: _named(F.array_position(r, least).cast("int"), lambda p: merged(s, r, p, least))
-        return _named(F.array_min(r), lambda least: F.when(least.isNull(), state).otherwise(join(least)))
+        join = lambda least: _named(F.array_position(state, least).cast("int"), lambda p: joined(state, least, p))
+        return _named(F.array_min(state), lambda least: F.when(least < NONE << BITS, join(least)).otherwise(state))
 
     size = F.octet_length(word)
-    folds = F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, step, lambda state: state["s"])
+    folds = F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, step, lambda state: F.transform(F.filter(state, F.isnotnull), lambda x: id_of(x).cast("int")))
     return F.when(size > 0, folds).otherwise(F.array().cast("array<int>"))
 
 
@@ -165,8 +170,8 @@ def frequent_words(docs: DataFrame, text_col: str, path: str, known: int = KNOWN
     # Spread again: the best of all come in one partition.
     best = words.orderBy(F.desc("n"), "word").limit(known).repartition("word")
     ids = literal_ranks(path, lambda rank: F.array_join(folded(F.col("word").cast("binary"), path, rank), ","))
-    rows = best.select(_place(F.col("word")).alias("place"), "n", "word", ids.alias("ids")).collect()
-    return [(r.place, r.word, r.ids) for r in sorted(rows, key=lambda r: (r.n, r.word))]
+    held = best.select(_place(F.col("word")).alias("place"), "n", "word", ids.alias("ids")).toArrow().sort_by([("n", "ascending"), ("word", "ascending")])
+    return list(zip(*(held.column(c).to_pylist() for c in ("place", "word", "ids"))))
 
 
 def _place(word: Column) -> Column:

@@ -148,3 +148,9 @@ def test_words_of_odd_texts(spark):
     got = {r.word: r.n for r in spelling.counted_words(docs, min_count=2).collect()}
     assert got == {"straße": 4, "strasse": 2, "ÀÉÎÕÜß": 2, "abcdef": 4}
     assert spelling.variants(spelling.counted_words(docs.limit(0))).collect() == []
+
+
+def test_a_step_of_the_fold_copies_one_array():
+    path = public_tokenizers.path(bytepairs.VOCABULARY)
+    made = str(bytepairs.literal_ranks(path, lambda rank: bytepairs.folded(F.col("word"), path, rank)))
+    assert made.count("slice(") == 2 and made.count("array_min(") == 1
