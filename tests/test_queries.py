@@ -17,3 +17,12 @@ def test_examples_are_sound(spark):
 
 def test_split_has_both_sides(spark):
     assert {r.split for r in queries.chat_split(spark, SMALL).collect()} == {"train", "validation"}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_read_by_column(spark):
+    chunks = queries._chunks(spark, SMALL)
+    assert "parquet" in _plan(chunks) and "text" not in chunks.select("doc_id")._jdf.queryExecution().executedPlan().toString()
