@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from quire.operators import thematic
 from quire.plans import oracle, queries
 from tests.conftest import SMALL
 
@@ -23,6 +25,12 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_replies_are_made_once(spark):
+    rows = spark.createDataFrame([("Some source text.", "b", "c", 1)], "source string, book_id string, chapter string, pos int")
+    assert _plan(rows.select(thematic.summarise(F.col("source")).alias("z"))).count("regexp_replace(substring(source") == 1
+    assert _plan(rows.select(thematic.usable_context(F.col("source")).alias("z"))).count("regexp_replace(source") == 1
+
+
 def test_chunks_are_read_by_column(spark):
     chunks = queries._chunks(spark, SMALL)
     assert "parquet" in _plan(chunks) and "text" not in chunks.select("doc_id")._jdf.queryExecution().executedPlan().toString()
