@@ -34,3 +34,12 @@ def test_replies_are_made_once(spark):
 def test_chunks_are_read_by_column(spark):
     chunks = queries._chunks(spark, SMALL)
     assert "parquet" in _plan(chunks) and "text" not in chunks.select("doc_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_excerpts_become_contexts_before_they_are_sent(spark):
+    chunks = spark.createDataFrame([("1", "b", "c", "text")], "chunk_id string, book_id string, chapter string, text string")
+    excerpts = spark.createDataFrame([("b", "c", 1, "An older start of it."), ("b", "c", 2, "The start of the chapter.")], "book_id string, chapter string, pos int, excerpt string")
+    found = thematic.enriched(chunks, excerpts)
+    assert found.first().context == "A passage about: The start of the chapter."
+    joined = _plan(found).split("Join", 1)[0]
+    assert "regexp_replace" not in joined
