@@ -468,6 +468,38 @@ def test_common_lines_seek_no_partners():
     assert passages.uncovered(spans, [(0, 50), (40, 20), (90, 5)], 50) == [35 << 32 | 115]
 
 
+def test_pairs_without_a_passage_are_not_compared():
+    """Of pairs of all degrees of similarity, in parts and ranges as they are sent, none with a passage is left out, and most others are."""
+    rng = random.Random(31)
+    rows, expected = [], []
+    for n in range(200):
+        a, b = prose(rng, rng.randint(3, 60)).split(), prose(rng, rng.randint(3, 60)).split()
+        same = prose(rng, rng.randint(30, 110)).split()
+        a, b = a + same, b + edited(rng, same, n % 3, n % 4) + ["and"] * (n % 5) if n % 2 else b
+        a, b = (passages.hashed(pa.array([" ".join(x)]))[0] for x in (a, b))
+        cut_at = rng.randrange(len(a)) if n % 7 == 0 else 0
+        parts, ranges = [a[:cut_at], a[cut_at:]][not cut_at :], [0, len(b) // 2, len(b) // 2, len(b) + 9] if n % 11 == 0 else [0, len(b) + 9]
+        rows.append(([p.tobytes() for p in parts], ranges, b.tobytes()))
+        whole = passages._spread(parts, [0] * len(parts), 0, 26)[0], passages._spread([b[x:y] for x, y in zip(ranges[::2], ranges[1::2])], ranges[::2], 1, 26)[0]
+        expected.append(bool(passages.shared_passages(*whole)))
+    kinds = (pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["parts", "ranges", "words"])
+    for lo, hi in ((0, 200), (37, 140), (5, 6)):
+        got = passages.comparable(batch.slice(lo, hi - lo), 50, 0.8)
+        assert all(g or not e for g, e in zip(got, expected[lo:hi]))
+    assert 20 < sum(expected) < sum(passages.comparable(batch, 50, 0.8)) < sum(expected) + 30
+    assert not passages.comparable(batch.slice(0, 0), 50, 0.8).any()
+
+
+def test_a_task_keeps_one_python_worker_for_grams(spark):
+    docs = docs_of(spark, [" ".join(map(str, range(80)))])
+    stretches = spark.createDataFrame([(0, [0 << 32 | 80], [0 << 32 | 80])], "doc long, seeks array<long>, offers array<long>")
+    kept = passages._grams_of(docs.select("doc_id", "text"), stretches, 50)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    (row,) = kept.collect()
+    assert np.frombuffer(row.words, np.uint32).tolist() == passages.hashed(pa.array([" ".join(map(str, range(80)))]))[0].tolist() and len(row.grams) > 10
+
+
 def test_passages_cover_the_same_words():
     rng = random.Random(1)
     covered = lambda found: {k for s, w, *_ in found for k in range(s, s + w)}
