@@ -1,7 +1,10 @@
+from collections import Counter
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import thematic
+from quire.operators import synthesis, thematic
 from quire.plans import oracle, queries
 from tests.conftest import SMALL
 
@@ -43,3 +46,30 @@ def test_excerpts_become_contexts_before_they_are_sent(spark):
     assert found.first().context == "A passage about: The start of the chapter."
     joined = _plan(found).split("Join", 1)[0]
     assert "regexp_replace" not in joined
+
+
+def test_manifest_counts_echoes(spark):
+    """Every rule over the pairs one by one: an echo is rejected, counted, and makes no example."""
+    level = lambda text: " ".join(text.lower().split())
+    chunks = {r.chunk_id: r for r in queries._chunks(spark, SMALL).collect()}
+    found = sorted(queries.qa_pairs(spark, SMALL).collect(), key=lambda r: (r.book_id, chunks[r.chunk_id].ordinal, r.question.startswith("Why")))
+    want, asked = Counter(), set()
+    for r in found:
+        q, a = level(r.question), level(r.answer)
+        if len(r.quotes) < synthesis.MIN_QUOTE or level(r.quotes) not in level(chunks[r.chunk_id].text):
+            reason = "no_verified_quotes"
+        elif len(r.question) < synthesis.MIN_QUESTION or len(r.answer) < synthesis.MIN_ANSWER:
+            reason = "too_short"
+        elif (r.book_id, q) in asked:
+            reason = "duplicate_question"
+        elif SequenceMatcher(None, q, a).ratio() >= synthesis.ECHO:
+            reason = "question_echoes_answer"
+        else:
+            reason = "kept_pairs"
+            asked.add((r.book_id, q))
+        want[r.book_id, reason] += 1
+    got = queries.synthesis_manifest(spark, SMALL).collect()
+    assert sum(r.question_echoes_answer for r in got) > 0
+    for r in got:
+        assert {c: r[c] for c in (*synthesis.REASONS, "kept_pairs")} == {c: want[r.book_id, c] for c in (*synthesis.REASONS, "kept_pairs")}
+        assert r.example_count == r.kept_pairs
