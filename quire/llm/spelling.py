@@ -64,10 +64,15 @@ def _keys(words: DataFrame) -> DataFrame:
     return df.select(F.xxhash64("shorter", "side", "band", value).alias("key"), "word", "n")
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle: words are short in Parquet, so Spark would size what an explode makes of them far too low and send it through the driver."""
+    return df.hint("merge")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n), both ways, for all words (word, n) that differ by one letter put in, taken out or replaced."""
     a, b = _keys(words), _keys(words).toDF("key", "other", "other_n")
-    pairs = a.join(b, "key").where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).drop("key").distinct()
+    pairs = a.join(_large(b), "key").where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).drop("key").distinct()
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
 
@@ -79,7 +84,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(at.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = stored(at.join(_large(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         at = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return at
@@ -95,10 +100,10 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     words = stored(words)
     best = F.min(F.struct((-F.col("other_n")).alias("minus_n"), "other"))
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    df = words.join(near, "word", "left")
+    df = words.join(_large(near), "word", "left")
     has = -F.col("best.minus_n") >= ratio * F.col("n")
     df = stored(df.select("word", F.when(has, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, -F.col("best.minus_n")).alias("form_n")))
-    df = df.join(roots(df.where("form is not null")), "word", "left")
+    df = df.join(_large(roots(df.where("form is not null"))), "word", "left")
     return df.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

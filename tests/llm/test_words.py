@@ -154,3 +154,13 @@ def test_a_step_of_the_fold_copies_one_array():
     path = public_tokenizers.path(bytepairs.VOCABULARY)
     made = str(bytepairs.literal_ranks(path, lambda rank: bytepairs.folded(F.col("word"), path, rank)))
     assert made.count("slice(") == 2 and made.count("array_min(") == 1
+
+
+def test_spelling_sends_no_words_through_the_driver(spark, tmp_path):
+    """Words take few bytes as Parquet, but twelve keys each: none of the joins may take them for small."""
+    spark.createDataFrame([(f"{x}spelling", 9) for x in "abcdef"], "word string, n long").write.parquet(str(tmp_path / "w"))
+    words = spark.read.parquet(str(tmp_path / "w"))
+    for df in (spelling.near_words(words), spelling.variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert spelling.near_words(words).count() == 30
