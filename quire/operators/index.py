@@ -60,14 +60,6 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def scored(posts: DataFrame, weighed: DataFrame, mean_length: float, k: int = DEPTH) -> DataFrame:
-    """(question_id, chunk_id, score, rank): the k best by BM25 of weighed (question_id, token, times, idf), with positive scores."""
-    tf = F.col("tf")
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
-    sums = posts.join(weighed, "token").groupBy("question_id", "chunk_id").agg(F.sum(F.col("times") * weight).alias("score"))
-    return _best(sums.where("score > 0"), k)
-
-
 def bm25(texts: DataFrame, questions: DataFrame, k: int = DEPTH) -> DataFrame:
     """(question_id, chunk_id, score, rank) by BM25 of texts (chunk_id, text) with positive scores; a repeated query token counts again.
 
@@ -162,11 +154,24 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = DEPTH, dim: int = D
 TEXTS, QUESTIONS = 1024, 256
 
 
+def counted(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(lengths, rows, words, times, dictionary): the length of each list of tokens and how often each has each word of the dictionary, by rows."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    n = max(len(words.dictionary), 1)
+    found, times = np.unique(np.repeat(np.arange(len(lists)), lengths) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return lengths, found // n, found % n, times.astype(np.int64), words.dictionary
+
+
+def digests_of(words: pa.Array) -> np.ndarray:
+    """The first 64 bits of each word's SHA-256, which give its bucket and its sign."""
+    return np.array([int.from_bytes(sha256(w.encode()).digest()[:8]) for w in words.to_pylist()], np.uint64)
+
+
 def _token_blocks(texts: DataFrame, key: str, text: str, size: int, names: str) -> DataFrame:
     """Rows of up to `size` texts: their keys, lengths, where each ends, and the digests and counts of their distinct tokens.
 
-    A digest is the first 64 bits of a token's SHA-256, which give its bucket and its sign, too. Keys are distinct. Texts
-    stay where they are: nothing is shuffled.
+    Keys are distinct. Texts stay where they are: nothing is shuffled.
     """
     kind = dict(texts.dtypes)[key]
 
@@ -174,14 +179,9 @@ def _token_blocks(texts: DataFrame, key: str, text: str, size: int, names: str)
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                lists = part.column(1)
-                lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                words = lists.flatten().dictionary_encode()
-                digests = np.array([int.from_bytes(sha256(w.encode()).digest()[:8]) for w in words.dictionary.to_pylist()], np.uint64)
-                n = max(len(digests), 1)
-                found, times = np.unique(np.repeat(np.arange(part.num_rows), lengths) * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                ends = np.cumsum(np.bincount(found // n, minlength=part.num_rows)).astype(np.int64)
-                held = (lengths, ends, digests[found % n], times.astype(np.int64))
+                lengths, rows, words, times, known = counted(part.column(1))
+                ends = np.cumsum(np.bincount(rows, minlength=part.num_rows)).astype(np.int64)
+                held = (lengths, ends, digests_of(known)[words], times)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in held)], names.split())
 
     first, *others = names.split()
@@ -204,9 +204,15 @@ def _hits(texts: DataFrame, questions: DataFrame, depths: dict[str, int], dim: i
     n, mean_length = index_figures(texts)
     times = postings(questions, "question_id", "question").select("question_id", "token", F.col("tf").alias("times"))
     weighed = times.join(idf_of_asked(texts, times, n), "token", "left") if "sparse" in depths else times.withColumn("idf", F.lit(None).cast("double"))
+    blocks = _token_blocks(texts, "chunk_id", "text", TEXTS, "ids lengths ends digests times")
+    return hits_of(blocks, dict(texts.dtypes)["chunk_id"], weighed, mean_length, depths, dim)
+
+
+def hits_of(blocks: DataFrame, key_type: str, weighed: DataFrame, mean_length: float, depths: dict[str, int], dim: int = DIM) -> DataFrame:
+    """What `_hits` gives, from blocks (ids, lengths, ends, digests, times; see `_token_blocks`) and the questions' tokens (question_id, token, times, idf)."""
     digest = F.unhex(X.digest(F.col("token"), 16))
     listed = weighed.groupBy("question_id").agg(F.collect_list(F.struct(digest.alias("d"), F.col("times"), F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("x"))
-    kind = dict(questions.dtypes)["question_id"]
+    kind = dict(weighed.dtypes)["question_id"]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +225,8 @@ def _hits(texts: DataFrame, questions: DataFrame, depths: dict[str, int], dim: i
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in held)], ["queries", "q_ends", "q_digests", "q_times", "q_idf"])
 
     wanted = kept(listed.repartition(1).mapInArrow(asked, f"queries array<{kind}>, q_ends binary, q_digests binary, q_times binary, q_idf binary"))
-    pairs = _token_blocks(texts, "chunk_id", "text", TEXTS, "ids lengths ends digests times").crossJoin(wanted)
-    types = {"kind": "string", "question_id": kind, "chunk_id": dict(texts.dtypes)["chunk_id"], "score": "double"}
+    pairs = blocks.crossJoin(wanted)
+    types = {"kind": "string", "question_id": kind, "chunk_id": key_type, "score": "double"}
 
     def unit(rows: np.ndarray, digests: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
         """Signed counts by bucket as unit vectors."""

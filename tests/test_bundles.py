@@ -3,6 +3,8 @@
 import glob
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,30 @@ def test_retrieval_reads_the_folders_of_asked_tokens(spark, tmp_path):
     assert rows(stored.bm25(questions.limit(0))) == []
 
 
+def test_postings_are_kept_by_block(spark, tmp_path):
+    """A token has one row for a block of texts, not one for each text; places lead back to the texts."""
+    rows = [(f"c{i:04d}", "every word" + " again" * (i % 3) + (" once" if i == 900 else "")) for i in range(3000)] + [("none", None), ("empty", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").repartition(2)
+    retrieval.write_retrieval(chunks, str(tmp_path))
+    stored = retrieval.Retrieval(spark, str(tmp_path))
+    posts = stored.table("postings")
+    assert posts.count() <= 4 * 4 and posts.agg(F.sum(F.size("places"))).first()[0] == index.postings(chunks).count()
+    ids = stored.table("chunks").select("chunk_id", F.floor(F.col("number") / retrieval.TEXTS).alias("block"), (F.col("number") % retrieval.TEXTS).cast("int").alias("place"))
+    back = posts.select("token", "block", F.explode(F.arrays_zip("places", "times")).alias("x")).selectExpr("token", "block", "x.places AS place", "x.times AS tf").join(ids, ["block", "place"])
+    pairs = lambda df: sorted(tuple(r) for r in df.select("chunk_id", "token", F.col("tf").cast("int")).collect())
+    assert pairs(back) == pairs(index.postings(chunks))
+    questions = spark.createDataFrame([(1, "once again"), (2, "again again every"), (3, "unknown")], "question_id long, question string")
+    hits = lambda df: sorted((r.question_id, r.chunk_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    assert hits(stored.bm25(questions)) == hits(index.bm25(chunks, questions))
+    assert hits(stored.retrieve(questions)) == hits(index.retrieve(chunks, questions))
+
+
+def test_runs_end_with_their_block():
+    number = np.array([0, 1, 2, 1022, 1023, 1024, 1025, 1 << 33, (1 << 33) + 1])
+    found = [(block, first, part.num_rows) for block, first, part in retrieval._runs([pa.record_batch([pa.array(number)], ["number"]), pa.record_batch([pa.array([5])], ["number"])])]
+    assert found == [(0, 0, 3), (0, 1022, 2), (1, 0, 2), ((1 << 33) // 1024, 0, 2), (0, 5, 1)]
+
+
 def test_no_variant_ran(spark):
     def absent():
         raise ValueError("not set")
