@@ -619,3 +619,25 @@ def test_contract_columns(spark, name):
         assert all(len(r.text) == r.n_chars for r in rows)
     elif name == "op10_tokens":
         assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
+
+
+def test_words_of_documents_without_pairs_are_not_hashed(spark):
+    """Ids that a join would drop go before; none that it needs does, whatever its sign."""
+    ids = [*range(-3000, 3000, 3), 2**62, -(2**63)]
+    docs = spark.createDataFrame([(i, "a text") for i in [*range(-3000, 3000), 2**62, -(2**63)]], "doc_id long, text string")
+    got = [r.doc_id for r in passages._among(docs, spark.createDataFrame([(i,) for i in ids], "doc long")).collect()]
+    assert set(ids) <= set(got) and len(got) == len(set(got)) < len(ids) + 10
+    assert passages._among(docs, spark.createDataFrame([], "doc long")).count() == 0
+
+
+def test_what_is_covered_needs_no_look(monkeypatch):
+    """Rows of runs whose words lie in a passage found before aren't looked at again."""
+    looked = []
+    stretches = passages._stretches
+    monkeypatch.setattr(passages, "_stretches", lambda path, *more: looked.append(path) or stretches(path, *more))
+    one = np.arange(1, 121, dtype=np.uint32)
+    one[60] = 500
+    two = np.arange(1, 121, dtype=np.uint32)
+    both = np.concatenate([two, two, two])
+    assert [r[:2] for r in passages.shared_passages(one, both)] == [(0, 120)]
+    assert len(looked) == 1
